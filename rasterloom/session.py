@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "raste
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
