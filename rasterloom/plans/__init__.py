@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue_queries, frame_queries, raster_queries  # noqa: F401
+from . import catalogue_queries, frame_queries, graph_queries, raster_queries, stream_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

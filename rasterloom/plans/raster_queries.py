@@ -385,10 +385,10 @@ def _(t):
 
 @query("ras19_smart_resize_mask", VALID + RESOLVE.format(presets="thumb_presets_fx", requests="valid").strip().removeprefix("with") + "," + GEOMETRY.format(targets="targets") + """,
 cells as (select g.*, y, x from geo g, unnest(generate_series(0, out_h - 1)) as a(y), unnest(generate_series(0, out_w - 1)) as b(x)),
-at as (select *, x - pad_left as rx, y - pad_top as ry from cells),
+spot as (select *, x - pad_left as rx, y - pad_top as ry from cells),
 src as (select *, case when rx between 0 and resized_w - 1 and ry between 0 and resized_h - 1 then true else false end as hit,
   ((2 * rx + 1) * crop_w) // (2 * resized_w) + case when keep_proportion = 'crop' then crop_x else 0 end as sx,
-  ((2 * ry + 1) * crop_h) // (2 * resized_h) + case when keep_proportion = 'crop' then crop_y else 0 end as sy from at)
+  ((2 * ry + 1) * crop_h) // (2 * resized_h) + case when keep_proportion = 'crop' then crop_y else 0 end as sy from spot)
 select src.image_id, src.y::int as y, src.x::int as x, round(case when not hit then 1.0 when has_mask then mk.m else 0.0 end, 6) + 0.0 as m
 from src left join mask_fx mk on mk.image_id = src.image_id and mk.y = sy and mk.x = sx""", THUMB)
 def _(t):
