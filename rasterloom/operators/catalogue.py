@@ -80,6 +80,7 @@ def first_choices(presets: DataFrame) -> DataFrame:
             F.min("model_ord").alias("model_ord"),
             F.min(F.struct("res_ord", "resolution", "item")).alias("first"),
         )
+        .withColumn("resolution_text", resolution_output(F.col("first.resolution")))
     )
 
 
@@ -91,10 +92,14 @@ def lookup_preset(requests: DataFrame, presets: DataFrame) -> DataFrame:
     shuffles, where adaptive execution splits popular models.
     """
     models = first_choices(presets)
-    first_model = models.agg(F.min(F.struct("model_ord", "model", "first")).alias("m")).scalar()
-    by_model = models.select(F.col("model").alias("_model"), F.col("first").alias("_of_model"))
+    # The printed resolution is worked out once per catalogue row, not once per request.
+    default = F.struct(F.col("first.resolution").alias("resolution"), F.col("first.item").alias("item"), "resolution_text")
+    defaults = models.select("model", "model_ord", default.alias("default"))
+    first_model = defaults.agg(F.min(F.struct("model_ord", "model", "default")).alias("m")).scalar()
+    by_model = defaults.select(F.col("model").alias("_model"), F.col("default").alias("_of_model"))
     by_resolution = _first_items(presets).select(
-        F.col("model").alias("_res_model"), F.col("resolution").alias("_resolution"), F.col("item").alias("_of_res")
+        F.col("model").alias("_res_model"), F.col("resolution").alias("_resolution"),
+        F.struct("resolution", "item", resolution_output(F.col("resolution")).alias("resolution_text")).alias("_of_res"),
     )
     by_label = (
         presets.withColumn("_label", label_of_item())
@@ -106,7 +111,7 @@ def lookup_preset(requests: DataFrame, presets: DataFrame) -> DataFrame:
     with_model = (
         requests.join(by_model, F.col("model") == F.col("_model"), "left")
         .withColumn("chosen_model", F.coalesce("_model", first_model["model"]))
-        .withColumn("_of_model", F.coalesce("_of_model", first_model["first"]))
+        .withColumn("_of_model", F.coalesce("_of_model", first_model["default"]))
     )
     with_resolution = (
         with_model.join(
@@ -114,8 +119,8 @@ def lookup_preset(requests: DataFrame, presets: DataFrame) -> DataFrame:
             (F.col("chosen_model") == F.col("_res_model")) & (F.col("resolution_preset") == F.col("_resolution")),
             "left",
         )
-        .withColumn("chosen_resolution", F.coalesce("_resolution", F.col("_of_model.resolution")))
-        .withColumn("_of_res", F.coalesce("_of_res", F.col("_of_model.item")))
+        .withColumn("_of_res", F.coalesce("_of_res", "_of_model"))
+        .withColumn("chosen_resolution", F.col("_of_res.resolution"))
     )
     return (
         with_resolution.join(
@@ -125,8 +130,8 @@ def lookup_preset(requests: DataFrame, presets: DataFrame) -> DataFrame:
             & (F.col("dimensions") == F.col("_label")),
             "left",
         )
-        .withColumn("chosen", F.coalesce("_item", "_of_res"))
-        .withColumn("resolution_text", resolution_output(F.col("chosen_resolution")))
+        .withColumn("chosen", F.coalesce("_item", "_of_res.item"))
+        .withColumn("resolution_text", F.col("_of_res.resolution_text"))
         .drop("_model", "_of_model", "_res_model", "_resolution", "_of_res",
               "_lab_model", "_lab_resolution", "_label", "_item")
     )
@@ -152,6 +157,16 @@ def ratio_breakpoints(presets: DataFrame) -> DataFrame:
     near = F.struct("_shape", "item.item_ord", "item.width", "item.height")
     # Distinct width:height quotients only, so a window group cannot grow with copies of a preset.
     order = Window.partitionBy("model", "resolution").orderBy("_shape")
+    c = F.col
+    big = lambda name: c(name).cast("bigint")
+
+    def margin(rival: str, side: str, absent: int) -> Column:
+        return F.coalesce(big(f"item.{side}") * big(f"{rival}.{side}"), F.lit(absent).cast("bigint"))
+
+    def needed(rival: str) -> Column:
+        first = c("item.item_ord") < c(f"{rival}.item_ord")
+        return F.when(c(rival).isNull() | first, F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+
     return (
         shapes.withColumn("below", F.lag(near).over(order))
         .withColumn("above", F.lead(near).over(order))
@@ -159,38 +174,26 @@ def ratio_breakpoints(presets: DataFrame) -> DataFrame:
             "bucket",
             F.explode(
                 F.sequence(
-                    F.when(F.col("below").isNull(), F.lit(-_LAST)).otherwise(_bucket(F.col("below._shape"))),
-                    F.when(F.col("above").isNull(), F.lit(_LAST)).otherwise(_bucket(F.col("above._shape"))),
+                    F.when(c("below").isNull(), F.lit(-_LAST)).otherwise(_bucket(c("below._shape"))),
+                    F.when(c("above").isNull(), F.lit(_LAST)).otherwise(_bucket(c("above._shape"))),
                 )
             ),
         )
         .select(
-            F.col("model").alias("_near_model"), F.col("resolution").alias("_near_resolution"),
-            F.col("bucket").alias("_near_bucket"), F.col("item").alias("_near"), "below", "above",
+            c("model").alias("_near_model"), c("resolution").alias("_near_resolution"),
+            c("bucket").alias("_near_bucket"), c("item").alias("_near"),
+            margin("below", "height", 1).alias("_low_h"), margin("below", "width", 0).alias("_low_w"),
+            needed("below").alias("_low_need"),
+            margin("above", "height", 0).alias("_high_h"), margin("above", "width", 1).alias("_high_w"),
+            needed("above").alias("_high_need"),
         )
     )
 
 
-def _beats(item: Column, rival: Column, rival_is_smaller: bool) -> Column:
-    """Whether ``item`` is nearer than a neighbour: source ratio squared against the product of both ratios.
-
-    |ln(s/a)| < |ln(s/b)| for a > b means s*s > a*b, which is exact in BIGINT for sides up to 46,340
-    pixels against catalogue sides up to 32,768; larger products fall back to DOUBLE.
-    """
-    source = (F.col("_w"), F.col("_h"))
-    def square(side, p, q):
-        return F.try_multiply(
-            F.try_multiply(side.cast("bigint"), side.cast("bigint")),
-            F.try_multiply(p.cast("bigint"), q.cast("bigint")),
-        )
-    left = square(source[0], item["height"], rival["height"])
-    right = square(source[1], item["width"], rival["width"])
-    s = source[0].cast("double") / source[1]
-    left_d = s * s
-    right_d = (item["width"] / item["height"]) * (rival["width"] / rival["height"])
-    nearer = (left > right, left_d > right_d) if rival_is_smaller else (left < right, left_d < right_d)
-    equal = F.coalesce(left == right, left_d == right_d)
-    return F.coalesce(*nearer) | (equal & (item["item_ord"] < rival["item_ord"]))
+def _lead(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """a * b - c * d, exact in BIGINT; beyond it the sign of the DOUBLE difference."""
+    sign = F.when(a.cast("double") * b > c.cast("double") * d, 1).otherwise(-1).cast("bigint")
+    return F.coalesce(F.try_subtract(F.try_multiply(a, b), F.try_multiply(c, d)), sign)
 
 
 def closest_preset(requests: DataFrame, presets: DataFrame) -> DataFrame:
@@ -204,20 +207,25 @@ def closest_preset(requests: DataFrame, presets: DataFrame) -> DataFrame:
     groups = presets.groupBy("model", "resolution").agg(F.count("*").alias("n"))
     rows = groups.agg(F.sum(2 * F.col("n") + 4 * _LAST + 2)).first()[0] or 0
     breaks = F.broadcast(breaks) if rows <= BROADCAST_ROWS else breaks.hint("merge")
+    c = F.col
+    height = F.greatest(F.lit(1), c("src_height")).cast("bigint")
+    width = c("src_width").cast("bigint")
     sized = (
-        requests.withColumn("_w", F.col("src_width"))
-        .withColumn("_h", F.greatest(F.lit(1), F.col("src_height")))
-        .withColumn("_bucket", _bucket(F.col("_w") / F.col("_h")))
+        requests.withColumn("_w2", width * width)
+        .withColumn("_h2", height * height)
+        .withColumn("_bucket", _bucket(width / height))
     )
+    # |ln(s/a)| < |ln(s/b)| for a > b means s*s > a*b; a tie goes to the item that comes first.
     wins = (
-        (F.col("chosen_model") == F.col("_near_model"))
-        & (F.col("chosen_resolution") == F.col("_near_resolution"))
-        & (F.col("_bucket") == F.col("_near_bucket"))
-        & (F.col("below").isNull() | _beats(F.col("_near"), F.col("below"), True))
-        & (F.col("above").isNull() | _beats(F.col("_near"), F.col("above"), False))
+        (c("chosen_model") == c("_near_model"))
+        & (c("chosen_resolution") == c("_near_resolution"))
+        & (c("_bucket") == c("_near_bucket"))
+        & (_lead(c("_w2"), c("_low_h"), c("_h2"), c("_low_w")) >= c("_low_need"))
+        & (_lead(c("_h2"), c("_high_w"), c("_w2"), c("_high_h")) >= c("_high_need"))
     )
     return (
         sized.join(breaks, wins, "left")
         .withColumnRenamed("_near", "nearest")
-        .drop("_w", "_h", "_bucket", "_near_model", "_near_resolution", "_near_bucket", "below", "above")
+        .drop("_w2", "_h2", "_bucket", "_near_model", "_near_resolution", "_near_bucket", "_low_h", "_low_w",
+              "_low_need", "_high_h", "_high_w", "_high_need")
     )

@@ -281,7 +281,7 @@ with r as (select image_id, (1 + image_id % 4)::int as n, case image_id % 6 when
 p as (select *, list_transform(list_filter(string_split(pad_color, ','), lambda v: trim(v) <> ''), lambda v: try_cast(trim(v) as double)) as parsed from r),
 v as (select *, case when len(parsed) = 0 or list_contains(list_transform(parsed, lambda v: v is null), true) then [0.0::double, 0.0::double, 0.0::double] else parsed end as vals from p),
 s as (select *, list_transform(vals, lambda v: v / case when list_max(vals) > 1.0 then 255.0::double else 1.0::double end) as scaled from v)
-select image_id, n as channels, i as c, round(least(1.0::double, greatest(0.0::double, scaled[least(i + 1, len(scaled))])), 9) as value
+select image_id, n as channels, i::int as c, round(least(1.0::double, greatest(0.0::double, scaled[least(i + 1, len(scaled))])), 9) as value
 from s, unnest(generate_series(0, n - 1)) as u(i)""", "requests_fx")
 def _(t):
     key = F.col("image_id")

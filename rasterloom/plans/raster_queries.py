@@ -286,7 +286,7 @@ def _(t):
 
 @query("join5_unfit_mask_batches", "with " + BATCH + """
 n as (select batch_id, count(*) as images from ib group by batch_id)
-select batch_id, images, 2 as masks from n where batch_id % 5 = 4 and images > 2""", "raster_fx sizes_fx")
+select batch_id, images, 2::bigint as masks from n where batch_id % 5 = 4 and images > 2""", "raster_fx sizes_fx")
 def _(t):
     images, masks = _batches(t)
     return K.align_masks(images, masks)[1]
