@@ -51,25 +51,23 @@ def output_range(i: Column, n_in: Column, n_out: Column, method: Column) -> tupl
     return F.greatest(F.lit(0), first).cast("int"), F.least(n_out - 1, last).cast("int")
 
 
-def _cubic(t: Column) -> Column:
-    near = ((CUBIC_A + 2) * t - (CUBIC_A + 3)) * t * t + 1
-    far = CUBIC_A * (((t - 5) * t + 8) * t - 4)
-    return F.when(t < 1, near).when(t < 2, far).otherwise(0.0)
+def distance(o: Column, i: Column, n_in: Column, n_out: Column) -> Column:
+    """Distance of an input pixel's centre from an output's, in kernel units."""
+    scale = n_in.cast("double") / n_out
+    return F.abs(i + 0.5 - scale * (o + 0.5)) / F.greatest(scale, F.lit(1.0))
 
 
-def _sinc(t: Column) -> Column:
+def kernel(t: Column, method: Column) -> Column:
+    """Relative weight at distance ``t``; one for the methods that only count cells."""
+    near = ((CUBIC_A + 2) * t - (CUBIC_A + 3)) * t * t + 1
+    far = CUBIC_A * (((t - 5) * t + 8) * t - 4)
+    cubic = F.when(t < 1, near).when(t < CUBIC_RADIUS, far).otherwise(0.0)
     angle = t * F.pi()
-    return F.when(t == 0, 1.0).otherwise(F.sin(angle) / F.when(t == 0, 1.0).otherwise(angle))
-
-
-def weight(o: Column, i: Column, n_in: Column, n_out: Column, method: Column) -> Column:
-    """Relative weight of input ``i`` in output ``o``, inside the output range of ``i``."""
-    scale = n_in.cast("double") / n_out
-    t = F.abs(i + 0.5 - scale * (o + 0.5)) / F.greatest(scale, F.lit(1.0))
-    lanczos = F.when(t < LANCZOS_RADIUS, _sinc(t) * _sinc(t / LANCZOS_RADIUS)).otherwise(0.0)
+    window = LANCZOS_RADIUS * F.sin(angle) * F.sin(angle / LANCZOS_RADIUS) / (angle * angle)
+    lanczos = F.when(t == 0, 1.0).when(t < LANCZOS_RADIUS, window).otherwise(0.0)
     return (
-        F.when(method == "bilinear", F.greatest(F.lit(0.0), 1.0 - t))
-        .when(method == "bicubic", _cubic(t))
-        .when(method == "lanczos", lanczos)
+        F.when(method == "lanczos", lanczos)
+        .when(method == "bilinear", F.greatest(F.lit(0.0), 1.0 - t))
+        .when(method == "bicubic", cubic)
         .otherwise(1.0)
     )

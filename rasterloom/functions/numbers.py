@@ -11,6 +11,11 @@ FLOAT_TEXT = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def half_even(value: Column) -> Column:
     """Round half to even, as a BIGINT."""
     return F.rint(value.cast("double")).cast("bigint")

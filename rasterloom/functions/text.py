@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .constants import DEFAULT_FPS, DEFAULT_VIDEO_NAME, FRAME_NAME_FORMAT, OUTPUT_ROOTS
-from .numbers import half_even, parse_float
+from .numbers import half_even, let, parse_float
 
 
 def dimension_text(ratio: Column, label: Column, width: Column, height: Column) -> Column:
@@ -27,22 +27,26 @@ def parse_color(text: Column, channels: Column | int) -> Column:
     """Comma list to ``channels`` values in 0..1; unreadable lists are black, 0..255 lists are scaled."""
     channels = F.lit(channels) if isinstance(channels, int) else channels
     parts = F.filter(F.split(text, ",", -1), lambda p: F.trim(p) != "")
-    parsed = F.transform(parts, parse_float)
-    readable = (F.size(parsed) > 0) & ~F.exists(parsed, lambda v: v.isNull())
-    values = F.when(readable, parsed).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-    # A NaN never wins or loses a comparison, so it only stays on top when it came first.
-    top = F.aggregate(
-        values, values[0], lambda m, v: F.when(~F.isnan(m) & ~F.isnan(v) & (v > m), v).otherwise(m)
-    )
-    divisor = F.when(~F.isnan(top) & (top > 1.0), F.lit(255.0)).otherwise(F.lit(1.0))
-    scaled = F.transform(values, lambda v: v / divisor)
-    filled = F.concat(
-        scaled, F.array_repeat(F.element_at(scaled, -1), F.greatest(F.lit(0), channels - F.size(scaled)))
-    )
-    return F.transform(
-        F.slice(filled, F.lit(1), channels),
-        lambda v: F.when(F.isnan(v), v).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))),
-    )
+    black = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+
+    def readable(parsed: Column) -> Column:
+        return F.when((F.size(parsed) > 0) & ~F.exists(parsed, lambda v: v.isNull()), parsed).otherwise(black)
+
+    def divisor(values: Column) -> Column:
+        # A NaN never wins or loses a comparison, so it only stays on top when it came first.
+        top = F.aggregate(
+            values, values[0], lambda m, v: F.when(~F.isnan(m) & ~F.isnan(v) & (v > m), v).otherwise(m),
+            lambda m: F.when(~F.isnan(m) & (m > 1.0), F.lit(255.0)).otherwise(F.lit(1.0)),
+        )
+        return F.struct(values.alias("values"), top.alias("divisor"))
+
+    def channel(color: Column, i: Column) -> Column:
+        # The last value stands in for channels that have none.
+        value = F.get(color["values"], F.least(i, F.size(color["values"]) - 1)) / color["divisor"]
+        return F.when(F.isnan(value), value).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
+
+    color = let(let(F.transform(parts, parse_float), readable), divisor)
+    return let(color, lambda known: F.transform(F.sequence(F.lit(0), channels - 1), lambda i: channel(known, i)))
 
 
 def _rate(text: Column) -> Column:

@@ -158,16 +158,17 @@ def blur_planned(df: DataFrame) -> DataFrame:
         at = F.col(axis)
         return F.greatest(F.lit(0), at - p("radius")), F.least(p(size) - 1, at + p("radius"))
 
-    def bell(axis):
-        d = F.col("_o") - F.col(axis)
-        return F.exp(-(d * d) / (2.0 * p("sigma") * p("sigma")))
-
+    apart = lambda axis: (F.col("_o") - F.col(axis)) / p("sigma")
+    bell = F.exp(F.col("_t") * F.col("_t") * -0.5)
     summed = F.col("_vw") / p("total")
     spread = strips(df, *outputs("x", "w"), F.lit(STRIP))
     across = blend(
-        spread, "x", span(F.col("_first"), F.col("_last")), bell("x"), ["image_id", "p", "c", "_strip", "y"], summed
+        spread, "x", span(F.col("_first"), F.col("_last")), apart("x"), bell,
+        ["image_id", "p", "c", "_strip", "y"], summed,
+    )
+    down = blend(
+        across, "y", span(*outputs("y", "h")), apart("y"), bell, ["image_id", "p", "c", "_strip", "x"], summed
     )
-    down = blend(across, "y", span(*outputs("y", "h")), bell("y"), ["image_id", "p", "c", "_strip", "x"], summed)
     return down.select("image_id", "p", "y", "x", "c", "v")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import RESAMPLE_METHODS
-from ..functions.kernels import LEGACY_NEAREST, output_range, span, weight
+from ..functions.kernels import LEGACY_NEAREST, distance, kernel, output_range, span
 
 STRIP = 256
 
@@ -37,22 +37,27 @@ def with_sizes(raster: DataFrame, plan: DataFrame, **columns: Column) -> DataFra
 
 def strips(df: DataFrame, first: Column, last: Column, width: Column) -> DataFrame:
     """Send every pixel to the strips that hold its outputs ``first..last``; usually one, two at a border."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         df.withColumn("_first", first)
         .withColumn("_last", last)
         .withColumn("_wide", width)
         .where("_first <= _last")
         .withColumn("_strip", F.explode(F.sequence(F.expr("_first div _wide"), F.expr("_last div _wide"))))
-        .repartition(tasks, "image_id", "c", "_strip")
+        .repartition("image_id", "c", "_strip")
         .withColumn("_first", F.greatest(F.col("_first"), (F.col("_strip") * F.col("_wide")).cast("int")))
         .withColumn("_last", F.least(F.col("_last"), ((F.col("_strip") + 1) * F.col("_wide") - 1).cast("int")))
     )
 
 
-def blend(df: DataFrame, axis: str, outputs: Column, value: Column, keys: list[str], mean: Column) -> DataFrame:
-    """Scatter along one axis and combine per output; ``mean`` reads the sums ``_vw`` and ``_ww``."""
-    scattered = df.withColumn("_o", F.explode(outputs)).withColumn("_w", value).where("_w <> 0")
+def blend(
+    df: DataFrame, axis: str, outputs: Column, at: Column, value: Column, keys: list[str], mean: Column
+) -> DataFrame:
+    """Scatter along one axis and combine per output.
+
+    ``at`` is worked out per pair of pixel and output ``_o`` as ``_t``, which ``value`` turns into a weight;
+    ``mean`` reads the sums ``_vw`` and ``_ww``.
+    """
+    scattered = df.withColumn("_o", F.explode(outputs)).withColumn("_t", at).withColumn("_w", value)
     sums = scattered.groupBy(*keys, "_o").agg(F.sum(F.col("v") * F.col("_w")).alias("_vw"), F.sum("_w").alias("_ww"))
     return sums.select(*keys, F.col("_o").alias(axis), mean.alias("v"))
 
@@ -66,12 +71,13 @@ def resample_planned(df: DataFrame) -> DataFrame:
     mean = F.col("_vw") / F.col("_ww")
     across = blend(
         strips(df, first, last, wide), "x", span(F.col("_first"), F.col("_last")),
-        weight(F.col("_o"), F.col("x"), p("sw"), p("w"), method), ["image_id", "p", "c", "_strip", "y"], mean,
+        distance(F.col("_o"), F.col("x"), p("sw"), p("w")), kernel(F.col("_t"), method),
+        ["image_id", "p", "c", "_strip", "y"], mean,
     )
     top, bottom = output_range(F.col("y"), p("sh"), p("h"), method)
     down = blend(
-        across, "y", span(top, bottom), weight(F.col("_o"), F.col("y"), p("sh"), p("h"), method),
-        ["image_id", "p", "c", "_strip", "x"], mean,
+        across, "y", span(top, bottom), distance(F.col("_o"), F.col("y"), p("sh"), p("h")),
+        kernel(F.col("_t"), method), ["image_id", "p", "c", "_strip", "x"], mean,
     )
     return down.select("image_id", "p", "y", "x", "c", "v")
 
@@ -120,7 +126,8 @@ def weights(sizes: DataFrame) -> DataFrame:
     c = F.col
     inputs = sizes.distinct().withColumn("i", F.explode(F.sequence(F.lit(0), c("n_in") - 1)))
     pairs = inputs.withColumn("o", F.explode(span(*output_range(c("i"), c("n_in"), c("n_out"), c("method")))))
-    raw = pairs.withColumn("w", weight(c("o"), c("i"), c("n_in"), c("n_out"), c("method"))).where("w <> 0")
+    apart = distance(c("o"), c("i"), c("n_in"), c("n_out"))
+    raw = pairs.withColumn("_t", apart).withColumn("w", kernel(c("_t"), c("method"))).where("w <> 0")
     # One window group holds the taps of one output pixel.
     total = F.sum("w").over(Window.partitionBy("method", "n_in", "n_out", "o"))
     return raw.select("method", "n_in", "n_out", "o", "i", (c("w") / total).alias("w"))

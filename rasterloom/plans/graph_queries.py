@@ -76,13 +76,14 @@ def _(t):
 
 def _workflow_documents(t):
     """One saved workflow per order line: loop start, a step, loop end, and an unconnected input."""
-    links = F.format_string(
-        '[[1, 1, 0, 3, 0, "FLOW_CONTROL"], [2, 1, 1, 2, 0, "IMAGE"], [3, 2, %d, 3, 1, "IMAGE"]]', F.col("l_linenumber")
+    links = F.concat(
+        F.lit('[[1, 1, 0, 3, 0, "FLOW_CONTROL"], [2, 1, 1, 2, 0, "IMAGE"], [3, 2, '), F.col("l_linenumber").cast("string"),
+        F.lit(', 3, 1, "IMAGE"]]'),
     )
-    nodes = F.format_string(
-        '[{"id": 1, "type": "start", "inputs": []}, {"id": 2, "type": "step_%d", "inputs": [{"name": "image", "type": "IMAGE", "link": 2}, '
-        '{"name": "mask", "link": null}]}, {"id": 3, "type": "end", "inputs": [{"name": "flow", "link": 1}, {"name": "processed_image", "link": 3}], "mode": 0}]',
-        F.col("l_partkey"),
+    nodes = F.concat(
+        F.lit('[{"id": 1, "type": "start", "inputs": []}, {"id": 2, "type": "step_'), F.col("l_partkey").cast("string"),
+        F.lit('", "inputs": [{"name": "image", "type": "IMAGE", "link": 2}, {"name": "mask", "link": null}]}, '
+              '{"id": 3, "type": "end", "inputs": [{"name": "flow", "link": 1}, {"name": "processed_image", "link": 3}], "mode": 0}]'),
     )
     document = F.concat(F.lit('{"id": "x", "nodes": '), nodes, F.lit(', "links": '), links, F.lit(', "version": 0.4}'))
     return t.lineitem.select(F.col("l_orderkey").alias("graph_id"), document.alias("document"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import let
+
 # A link is a mixed array: id, source node, source slot, target node, target slot, type.
 WORKFLOW_SCHEMA = (
     "nodes array<struct<id:string, type:string, inputs:array<struct<name:string, link:string>>>>, "
@@ -12,21 +14,28 @@ WORKFLOW_SCHEMA = (
 )
 
 
+# Nodes alone need neither inputs nor links, and the parser skips what a schema leaves out.
+NODE_SCHEMA = "nodes array<struct<id:string, type:string>>"
+
+
 def parse_workflows(df: DataFrame, column: str, graph_id: str = "graph_id") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the documents in ``column``, one document per row."""
-    parsed = df.select(F.col(graph_id).alias("graph_id"), F.from_json(column, WORKFLOW_SCHEMA).alias("w"))
-    nodes = parsed.select("graph_id", F.explode("w.nodes").alias("n")).select(
-        "graph_id", F.col("n.id").alias("node_id"), "n.type"
-    )
-    inputs = F.flatten(F.transform("w.nodes", lambda n: F.coalesce(n["inputs"], F.array().cast(
-        "array<struct<name:string, link:string>>"))))
-    edge = lambda link: F.struct(
-        link[1].alias("src"), link[2].try_cast("int").alias("src_slot"), link[3].alias("dst"),
-        F.get(F.filter("_inputs", lambda i: i["link"] == link[0]), F.lit(0))["name"].alias("dst_input"),
-        link[5].alias("link_type"),
-    )
-    edges = parsed.withColumn("_inputs", inputs).select("graph_id", F.inline(F.transform("w.links", edge)))
-    return nodes, edges
+    key = F.col(graph_id).alias("graph_id")
+    named = df.select(key, F.from_json(column, NODE_SCHEMA).alias("w"))
+    nodes = named.select("graph_id", F.inline("w.nodes").alias("node_id", "type"))
+    parsed = df.select(key, F.from_json(column, WORKFLOW_SCHEMA).alias("w"))
+    no_inputs = F.array().cast("array<struct<name:string, link:string>>")
+    inputs = F.flatten(F.transform("w.nodes", lambda n: F.coalesce(n["inputs"], no_inputs)))
+
+    def edge(link, known):
+        return F.struct(
+            link[1].alias("src"), link[2].try_cast("int").alias("src_slot"), link[3].alias("dst"),
+            F.get(F.filter(known, lambda i: i["link"] == link[0]), F.lit(0))["name"].alias("dst_input"),
+            link[5].alias("link_type"),
+        )
+
+    links = let(inputs, lambda known: F.transform("w.links", lambda link: edge(link, known)))
+    return nodes, parsed.select("graph_id", F.inline(links))
 
 
 def read_workflows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
