@@ -121,7 +121,7 @@ def timeline(frames: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def concat_lines(timeline_rows: DataFrame, folder: Column) -> DataFrame:
     """Text lines of the sequence lists, with their place: header, then file and duration lines."""
-    quote = F.regexp_replace(F.concat(folder, F.lit("/"), F.col("frame_name")), "'", r"'\\\\''")
+    quote = F.replace(F.concat(folder, F.lit("/"), F.col("frame_name")), F.lit("'"), F.lit("'\\''"))
     file_line = F.concat(F.lit("file '"), quote, F.lit("'"))
     duration_line = F.format_string("duration %.12f", F.col("duration"))
     lines = F.array_compact(

@@ -18,13 +18,19 @@ NODE = ["graph_id", "node_id"]
 
 
 def _visited(edges: DataFrame, seeds: DataFrame, near: str, far: str) -> DataFrame:
-    """Seeds and everything reached from ``near`` to ``far``."""
+    """Seeds and everything reached from ``near`` to ``far``.
+
+    A round costs one join with the edges and one grouping that both drops copies and tells new nodes from
+    known ones; copies collapse before its shuffle, so a hub that everything points to is one row per task.
+    """
     links = edges.select("graph_id", F.col(near).alias("node_id"), F.col(far).alias("_next"))
     frontier = materialise(seeds.select(*NODE).distinct(), "seeds")
     visited = frontier
     while not frontier.isEmpty():
-        reached = frontier.join(links, NODE).select("graph_id", F.col("_next").alias("node_id")).distinct()
-        frontier = materialise(reached.join(visited, NODE, "left_anti"), "reached")
+        reached = frontier.join(links, NODE).select("graph_id", F.col("_next").alias("node_id"))
+        seen = visited.withColumn("_new", F.lit(False)).unionByName(reached.withColumn("_new", F.lit(True)))
+        new = seen.groupBy(*NODE).agg(F.min("_new").alias("_new")).where("_new").select(*NODE)
+        frontier = materialise(new, "reached")
         visited = visited.unionByName(frontier)
     return visited
 

@@ -1,7 +1,7 @@
 """Resampling of pixel tables (image_id, y, x, c, v).
 
 An input pixel is scattered to the outputs it feeds and the weighted values are summed per output. The
-pixels of a vertical strip of outputs are brought together once, by (image, channel, strip); the horizontal
+pixels of a vertical strip of outputs are brought together once, by (image, strip); the horizontal
 and the vertical pass then both run inside that strip without another exchange. A strip is at most
 ``STRIP`` input or output columns wide plus the kernel's reach, so a single giant image is spread over many
 tasks.
@@ -43,7 +43,7 @@ def strips(df: DataFrame, first: Column, last: Column, width: Column) -> DataFra
         .withColumn("_wide", width)
         .where("_first <= _last")
         .withColumn("_strip", F.explode(F.sequence(F.expr("_first div _wide"), F.expr("_last div _wide"))))
-        .repartition("image_id", "c", "_strip")
+        .repartition("image_id", "_strip")
         .withColumn("_first", F.greatest(F.col("_first"), (F.col("_strip") * F.col("_wide")).cast("int")))
         .withColumn("_last", F.least(F.col("_last"), ((F.col("_strip") + 1) * F.col("_wide") - 1).cast("int")))
     )
