@@ -16,6 +16,9 @@ from ..functions.text import parse_color
 from .ordering import spread_range
 from .resample import PIXEL, STRIP, blend, nearest_planned, resample_planned, strips, with_sizes
 
+# Canvas rows listed by one task at a time.
+CANVAS_ROWS = 256
+
 
 def crop(raster: DataFrame, plan: DataFrame) -> DataFrame:
     """Keep the plan's crop box and move its corner to the origin."""
@@ -54,7 +57,7 @@ def border_cells(df: DataFrame, key: list[str]) -> DataFrame:
     """Cells (y, x) of the canvas outside the image box, for rows that carry the placement columns."""
     at = lambda name: F.col(f"_{name}")
     padded = df.where((at("tw") > at("w")) | (at("th") > at("h")))
-    rows = spread_range(padded, key, F.lit(0), at("th") - 1, "y")
+    rows = spread_range(padded, key, F.lit(0), at("th") - 1, "y", CANVAS_ROWS)
     beside = (F.col("y") >= at("top")) & (F.col("y") < at("top") + at("h"))
     none = F.array().cast("array<int>")
     left = F.coalesce(span(F.lit(0), at("left") - 1), none)
@@ -65,7 +68,7 @@ def border_cells(df: DataFrame, key: list[str]) -> DataFrame:
 
 def all_cells(df: DataFrame, key: list[str], height: Column, width: Column) -> DataFrame:
     """Every (y, x) of a height x width canvas per row."""
-    rows = spread_range(df, key, F.lit(0), height - 1, "y")
+    rows = spread_range(df, key, F.lit(0), height - 1, "y", CANVAS_ROWS)
     return rows.withColumn("x", F.explode(span(F.lit(0), width - 1)))
 
 

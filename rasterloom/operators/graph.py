@@ -55,7 +55,8 @@ def downstream(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame
 def between(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
     """Nodes on a way from a graph's start to its end, both included."""
     _, towards_end = upstream(edges, ends)
-    inner, _ = downstream(towards_end, starts)
+    # Stored, because every round back from the start reads these edges again.
+    inner, _ = downstream(materialise(towards_end, "used"), starts)
     return inner.unionByName(starts.select(*NODE)).unionByName(ends.select(*NODE)).distinct()
 
 

@@ -56,7 +56,7 @@ inner_nodes as (select graph_id, dst as node_id from used where src = 'start' un
 select graph_id, node_id from inner_nodes""", "graphs_fx")
 def _(t):
     used = G.upstream(_graphs(t), _ends(t, "end"))[1]
-    return G.downstream(used, _ends(t, "start"))[0]
+    return G.downstream(materialise(used, "used"), _ends(t, "start"))[0]
 
 
 @query("grf3_subgraph_between", UP + "select graph_id, node_id from members", "graphs_fx")

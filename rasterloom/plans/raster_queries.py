@@ -132,7 +132,7 @@ select image_id::varchar as video_id, image_id % 4 as frame_idx, y, x, c, round_
 def _(t):
     path = scratch_path(t.spark, "frames")
     frames = K.quantise(t.raster_fx).withColumn("video_id", F.col("image_id").cast("string"))
-    M.write_frames(frames.withColumn("frame_idx", F.col("image_id") % 4).drop("image_id"), path, buckets=8, spread=2)
+    M.write_frames(frames.withColumn("frame_idx", F.col("image_id") % 4).drop("image_id"), path, buckets=8)
     return t.spark.read.parquet(path).drop("bucket")
 
 

@@ -39,17 +39,15 @@ def write_manifest(manifest: DataFrame, path: str, format: str = "parquet") -> N
         manifest.select(*_FIELDS).write.mode("overwrite").parquet(path)
 
 
-def write_frames(frames: DataFrame, path: str, buckets: int = 256, spread: int = 8) -> None:
+def write_frames(frames: DataFrame, path: str, buckets: int = 256) -> None:
     """Write frame or pixel rows in a fixed number of folders by video.
 
-    One folder per video would mean millions of folders. The rows of one bucket go to ``spread`` tasks by
-    frame, so a very long video does not end in a single task and a bucket has few files.
+    One folder per video would mean millions of folders. Range partitioning gives every task an equal share
+    in (bucket, video, frame) order, so a very long video is cut into many files and a bucket has few.
     """
-    frame = next(c for c in ("frame_name", "frame_idx") if c in frames.columns)
+    order = ["bucket", "video_id"] + [c for c in ("frame_idx", "frame_name", "y") if c in frames.columns]
     bucketed = frames.withColumn("bucket", F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int"))
-    bucketed.repartition("bucket", F.pmod(F.xxhash64(frame), F.lit(spread))).write.mode("overwrite").partitionBy(
-        "bucket"
-    ).parquet(path)
+    bucketed.repartitionByRange(*order).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def write_timeline(timeline: DataFrame, path: str) -> None:

@@ -22,6 +22,6 @@ def list_media(
         .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     )
     folder = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    relative = F.expr(f"substring(path, instr(path, '{folder}') + {len(folder)})")
+    relative = F.substr(F.col("path"), F.instr("path", F.lit(folder)) + F.lit(len(folder)))
     listed = files.where(supported(F.col("path"), suffixes)).withColumn("path", relative)
     return listed.orderBy(natural_key(F.col("path")), "path") if natural else listed.orderBy("path")
