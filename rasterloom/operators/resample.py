@@ -17,6 +17,9 @@ from ..functions.kernels import LEGACY_NEAREST, distance, kernel, output_range,
 
 STRIP = 256
 
+# Largest plan (rows of some 200 bytes) that is broadcast to the pixels.
+BROADCAST_PLANS = 250_000
+
 PIXEL = ["image_id", "y", "x", "c", "v"]
 
 
@@ -30,9 +33,14 @@ def method_or_fallback(method: Column, host_resampler: bool) -> Column:
 
 
 def with_sizes(raster: DataFrame, plan: DataFrame, **columns: Column) -> DataFrame:
-    """Pixels with the plan facts they need packed in one struct ``p``."""
+    """Pixels with the plan facts they need packed in one struct ``p``.
+
+    The plan is counted: a small one is broadcast, a large one merged. Left to estimates, Spark might
+    broadcast the pixels instead, whose number a compressed or exploded source does not show.
+    """
     facts = plan.select("image_id", F.struct(*[c.alias(n) for n, c in columns.items()]).alias("p"))
-    return raster.join(facts, "image_id")
+    small = plan.limit(BROADCAST_PLANS + 1).count() <= BROADCAST_PLANS
+    return raster.join(F.broadcast(facts) if small else facts.hint("merge"), "image_id")
 
 
 def strips(df: DataFrame, first: Column, last: Column, width: Column) -> DataFrame:

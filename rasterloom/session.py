@@ -17,6 +17,10 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "raste
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # The JVM compiles no method beyond 8000 bytes; wider plans do better in separate operators.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Hash the smaller side of a shuffled join where its partitions are known to be small.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

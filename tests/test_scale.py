@@ -107,6 +107,16 @@ def test_both_passes_share_one_exchange(spark):
     assert text.count("Exchange hashpartitioning") == 1, text
 
 
+def test_large_plans_are_merged(spark, monkeypatch):
+    t = Tables(spark, SF)
+    plan = t.sizes_fx.withColumn("resized_w", F.col("target_w")).withColumn("resized_h", F.col("target_h"))
+    small = R.resample_nearest(t.raster_fx, plan)
+    monkeypatch.setattr(R, "BROADCAST_PLANS", 10)
+    large = R.resample_nearest(t.raster_fx, plan)
+    assert "BroadcastHashJoin" not in plan_text(large)
+    assert large.exceptAll(small).count() == 0 and large.count() == small.count()
+
+
 def test_nearest_and_edge_pixels_need_no_exchange(spark):
     t = Tables(spark, SF)
     raster = materialise(t.raster_fx, "raster")
