@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, secrets, sentencepieces, simhash, substring_dedup, url_filter
+from . import decontaminate, exact_dedup, language, quality, secrets, sentencepieces, simhash, substring_dedup, toxicity, url_filter
 from .common import table
 
 #: The rules of the URL query, as (host, path, verdict).
@@ -52,6 +52,33 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites are the sources; a source's texts in one language are its sections, as under ``/en/``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out()).select("doc_id", "quality")
+    judged = quality.judge(docs, quality.train(docs.where(~quality.held_out()), labels), path=F.col("lang"))
+    return judged.select(
+        "doc_id", quality.held_out().alias("held_out"), "host", "path", "host_mean", "path_mean", "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out()).select("text", "lang"))
+    found = language.identify(docs.select("doc_id", "text"), model, ["doc_id"])
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out()).select("doc_id", "toxic")
+    model = toxicity.train(docs.where(~toxicity.held_out()), labels)
+    found = toxicity.score_texts(docs, model, ["doc_id"])
+    return found.select(
+        "doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(
         table(spark, sf_dir, "documents").select("doc_id", "text"), result=lambda kept: F.sha2(kept, 256)
@@ -75,7 +102,9 @@ def encoded(docs: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_secret_scan, op3_decontamination, op4_simhash, op5_exact_dedup, op9_substring_dedup, op10_sentencepiece)
+    for f in (
+        op1_url_filter, op2_secret_scan, op3_decontamination, op4_simhash, op5_exact_dedup, op6_quality, op7_language_id,
+        op8_toxicity, op9_substring_dedup, op10_sentencepiece)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
