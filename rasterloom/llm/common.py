@@ -66,6 +66,12 @@ def remainder(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def without(docs: DataFrame, dropped: DataFrame, doc_id: Column, text: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text key aren't in ``dropped(_id, _t)``, with their columns, whatever their names."""
+    rows = docs.select(F.struct("*").alias("_row"), doc_id.alias("_own_id"), text_key(F.col(text)).alias("_own_t"))
+    return rows.join(dropped, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_t") == F.col("_t")), "left_anti").select("_row.*")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is counted to be small, else unmarked for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, scratch_path
-from .common import ascii_lower, small, text_key
+from .common import ascii_lower, small, text_key, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: No word contains this character; its posting gives a document's number of words.
@@ -175,4 +175,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
     bad = contamination(docs, benchmark, doc_id, text).where("contaminated").select(
         F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
     bad = materialise(bad, "contaminated")
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_id")) & (text_key(F.col(text)) == F.col("_t")), "left_anti")
+    return without(docs, bad, F.col(doc_id), text)

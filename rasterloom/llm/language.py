@@ -361,16 +361,19 @@ def _reader(model: Model) -> Reader:
     return _latest[0]
 
 
-def _predict(shared):
+def _predict(shared, at: int, stays: bool):
+    """For mapInArrow: languages of the texts in column ``at``, which is handed on or not."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                langs, scores = reader.predict(part.column(0).to_pylist())
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                langs, scores = reader.predict(part.column(at).to_pylist())
+                kept = part if stays else part.select([i for i in range(part.num_columns) if i != at])
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                    [*part.schema.names[1:], "lang_pred", "lang_score"])
+                    [*kept.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                    [*kept.schema.names, "lang_pred", "lang_score"])
 
     return run
 
@@ -382,12 +385,16 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str =
     texts where no model could be fitted, are ``und`` with score 0. Equal texts get equal answers; repeated rows stay.
     Rows stay where they are; only the model is sent to the tasks, and its size is bounded by the fit's sample.
     """
+    keep = [k for k in keep if k not in ("lang_pred", "lang_score")]
     if model is None:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("lang_score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(text).alias("_text"), *[k for k in keep if k not in ("lang_pred", "lang_score")])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_predict(shared), f"{schema + ', ' if schema else ''}lang_pred string, lang_score double")
+    stays = text in keep
+    rows = docs.select(*keep) if stays else docs.select(*keep, F.col(text).alias("_text"))
+    fields = rows.schema.fields if stays else rows.schema.fields[:-1]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    predict = _predict(shared, keep.index(text) if stays else len(keep), stays)
+    return rows.mapInArrow(predict, f"{schema + ', ' if schema else ''}lang_pred string, lang_score double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -404,6 +411,8 @@ def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     model = train(docs.where(~held_out(doc_id)), text, lang)
     if model is None:
         return docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    found = identify(docs, model, docs.columns, text)
-    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select(*names)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    found = identify(plain, model, plain.columns, f"c{names.index(text)}")
+    found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least))
+    return found.select(*plain.columns).toDF(*names)
