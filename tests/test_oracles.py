@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from check import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from rasterloom.plans import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,13 +16,13 @@ def db():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_query_equals_sql(spark, db, name):
-    assert compare(queries()[name](spark, SF), db, oracle_sql()[name]) == ""
+    assert compare(all_queries()[name](spark, SF), db, all_oracles()[name]) == ""
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(all_oracles()) == set(all_queries())
 
 
 def test_entry(spark):
