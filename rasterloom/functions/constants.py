@@ -11,6 +11,7 @@ IMAGE_SUFFIXES = [".bmp", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp"]
 
 # Names, formats and defaults of frame sequences.
 FRAME_NAME_FORMAT = "frame_%08d.png"
+FRAME_FILES = r"^frame_.*\.png$"
 DEFAULT_VIDEO_NAME = "processed_video.mp4"
 DEFAULT_FPS = 24.0
 VIDEO_CODECS = ["libx264", "libx265"]

@@ -19,14 +19,17 @@ def dimension_text(ratio: Column, label: Column, width: Column, height: Column)
 def resolution_output(resolution: Column) -> Column:
     """``1.5K`` as ``1536``; text without a numeric K size stays as it is."""
     number = parse_float(F.regexp_extract(resolution, r"(?s)^(.*)[kK]$", 1))
-    pixels = F.when(~F.isnan(number) & (F.abs(number) < 1e15), half_even(number * 1024).cast("string"))
+    # Beyond 2 ** 53 every double is whole; its digits come from the decimal form.
+    whole = F.when(F.abs(number) < 1e15, half_even(number * 1024).cast("string")).otherwise(
+        F.coalesce((number * 1024).try_cast("decimal(38,0)").cast("string"), F.format_string("%.0f", number * 1024)))
+    pixels = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), whole)
     return F.coalesce(F.when(F.upper(resolution).endswith("K"), pixels), resolution)
 
 
 def parse_color(text: Column, channels: Column | int) -> Column:
     """Comma list to ``channels`` values in 0..1; unreadable lists are black, 0..255 lists are scaled."""
     channels = F.lit(channels) if isinstance(channels, int) else channels
-    parts = F.filter(F.split(text, ",", -1), lambda p: F.trim(p) != "")
+    parts = F.filter(F.split(text, ",", -1), lambda p: strip(p) != "")
     black = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
 
     def readable(parsed: Column) -> Column:
@@ -93,14 +96,37 @@ def frame_number(name: Column) -> Column:
     return F.regexp_extract(name, r"(\d+)\.[^.]*$", 1).try_cast("bigint")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def unquote(path: Column) -> Column:
-    return F.regexp_replace(F.trim(path), r'^"+|"+$', "")
+    return F.regexp_replace(strip(path), r'^"+|"+$', "")
+
+
+def fold_parents(parts: Column) -> Column:
+    """Path components with ``..`` taken up; what climbs above the beginning keeps its ``..``."""
+    def step(done, part):
+        last = F.try_element_at(done, F.lit(-1))
+        climbs = (part == "..") & last.isNotNull() & (last != "..")
+        return F.when(climbs, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
+def relative_folder(path: Column, root: str | None) -> Column:
+    """An absolute path at or below ``root`` as the relative one it stands for; others as they are."""
+    if root is None:
+        return path
+    root = root.rstrip("/")
+    return F.when(path == root, F.lit("")).when(path.startswith(root + "/"), F.substring(path, len(root) + 2, 1 << 30)).otherwise(path)
 
 
 def clean_path(path: Column, roots: list[str] = OUTPUT_ROOTS) -> Column:
     """Trimmed path without quotes, empty components and a leading output-root name; null when blank."""
     text = unquote(path)
-    parts = F.filter(F.split(text, "/"), lambda p: (p != "") & (p != "."))
+    parts = fold_parents(F.filter(F.split(text, "/"), lambda p: (p != "") & (p != ".")))
     absolute = text.startswith("/")
     cut = F.lit(0)
     for root in sorted(roots, key=len):
@@ -115,7 +141,7 @@ def clean_path(path: Column, roots: list[str] = OUTPUT_ROOTS) -> Column:
 
 def safe_output_name(name: Column) -> Column:
     """Base name with an ``.mp4`` suffix; blank names get the default."""
-    base = base_name(F.trim(name))
+    base = base_name(strip(name))
     base = F.when(base.isin("", "."), F.lit(DEFAULT_VIDEO_NAME)).otherwise(base)
     return F.when(suffix(base) == ".mp4", base).otherwise(F.concat(stem(base), F.lit(".mp4")))
 
@@ -132,6 +158,11 @@ def relative_to(path: Column, root: Column | str) -> Column:
     )
 
 
+def _digits(run: Column) -> Column:
+    """Without leading zeros; numbers then compare by length, then as text, however long they are."""
+    return F.regexp_replace(run, "^0+(?=.)", "")
+
+
 def natural_key(name: Column) -> Column:
     """Sort key: digit runs as numbers, other runs in lower case, always starting with a text piece."""
     runs = F.split(F.lower(name), r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
@@ -139,7 +170,7 @@ def natural_key(name: Column) -> Column:
     return F.transform(
         runs,
         lambda r: F.struct(
-            F.when(r.rlike(r"^\d+$"), r.try_cast("decimal(38,0)")).alias("number"),
-            F.when(r.rlike(r"^\d+$"), F.lit("")).otherwise(r).alias("text"),
+            F.when(r.rlike(r"^[0-9]+$"), F.length(_digits(r))).alias("digits"),
+            F.when(r.rlike(r"^[0-9]+$"), _digits(r)).otherwise(r).alias("text"),
         ),
     )

@@ -5,29 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import CRF_RANGE, VIDEO_CODECS, VIDEO_SUFFIXES
-from ..functions.text import clean_path, frame_name, natural_key, safe_output_name, suffix, unquote
+from ..functions.constants import CRF_RANGE, FRAME_FILES, VIDEO_CODECS, VIDEO_SUFFIXES
+from ..functions.text import (
+    clean_path, frame_name, natural_key, relative_folder, safe_output_name, suffix, unquote, usable_rate,
+)
 from .ordering import grouped_position, name_block, natural_block, spread_range
 
 
-def frame_listing(frames: DataFrame) -> DataFrame:
-    """Every (video, name) once, as a folder would list it; copies collapse before the shuffle."""
-    return frames.select("video_id", "frame_name").distinct()
+def frame_listing(frames: DataFrame, names: str | None = FRAME_FILES) -> DataFrame:
+    """Every (video, name) once, as a folder would list it; copies collapse before the shuffle.
+
+    Other files of the folder, such as a cover or the finished video, are no frames; ``names=None`` takes all.
+    """
+    listed = frames.select("video_id", "frame_name")
+    return (listed if names is None else listed.where(F.col("frame_name").rlike(names))).distinct()
 
 
-def index_frames(frames: DataFrame) -> DataFrame:
+def index_frames(frames: DataFrame, names: str | None = FRAME_FILES) -> DataFrame:
     """Position of each frame in name order and the number of frames of its video."""
     return grouped_position(
-        frame_listing(frames), ["video_id"], [F.col("frame_name")], name_block(F.col("frame_name")),
+        frame_listing(frames, names), ["video_id"], [F.col("frame_name")], name_block(F.col("frame_name")),
         "frame_idx", "frame_count",
     )
 
 
-def natural_index(frames: DataFrame) -> DataFrame:
+def natural_index(frames: DataFrame, names: str | None = FRAME_FILES) -> DataFrame:
     """Position of each frame in natural order (numbers by value), name as tie-break."""
     name = F.col("frame_name")
     return grouped_position(
-        frame_listing(frames), ["video_id"], [natural_key(name), name], natural_block(name), "frame_idx", "found_count"
+        frame_listing(frames, names), ["video_id"], [natural_key(name), name], natural_block(name), "frame_idx", "found_count"
     )
 
 
@@ -69,10 +75,12 @@ def missing_frames(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 def match_manifest(sources: DataFrame, manifest: DataFrame) -> DataFrame:
     """Add ``matches``: path, size and modification time equal those of the last extraction."""
-    seen = manifest.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
+    # The same file may have been extracted into several folders: a video's own entry counts, where entries name it.
+    key = ["video_id", "path"] if "video_id" in manifest.columns else ["path"]
+    seen = manifest.select(*key, F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
     same = (F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime"))
     return (
-        sources.join(seen, "path", "left")
+        sources.join(seen, key, "left")
         .withColumn("matches", F.coalesce(same, F.lit(False)))
         .drop("_size", "_mtime")
     )
@@ -99,13 +107,22 @@ def updated_manifest(sources: DataFrame, probes: DataFrame, counts: DataFrame) -
 
 
 def frame_context(frames: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Every frame with the facts about its video."""
-    return frames.join(manifest.select("video_id", "path", "fps", "frame_count"), "video_id")
+    """Every frame with the facts about its video; NULL where the video has no manifest."""
+    return frames.join(manifest.select("video_id", "path", "fps", "frame_count"), "video_id", "left")
+
 
+def timeline(frames: DataFrame, manifest: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+    """Ordered listing with start and duration; the last frame is listed once more without a duration.
 
-def timeline(frames: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Ordered listing with start and duration; the last frame is listed once more without a duration."""
-    rated = natural_index(frames).join(manifest.select("video_id", "fps"), "video_id")
+    Where the manifest's rate is absent, not finite or not positive, that of ``probes(video_id, fps)`` counts, then the
+    default.
+    """
+    rates = manifest.select("video_id", "fps")
+    if probes is not None:
+        finite = ~F.isnan("fps") & (F.col("fps") > 0) & (F.col("fps") < float("inf"))
+        probed = probes.groupBy("video_id").agg(F.max("fps").alias("_probed"))
+        rates = rates.join(probed, "video_id", "left").withColumn("fps", F.when(finite, F.col("fps")).otherwise(F.col("_probed"))).drop("_probed")
+    rated = natural_index(frames).join(rates.withColumn("fps", usable_rate(F.col("fps"))), "video_id")
     shown = F.struct(
         F.col("frame_idx").alias("pos"), (F.col("frame_idx") / F.col("fps")).alias("start"),
         (F.lit(1.0) / F.col("fps")).alias("duration"),
@@ -134,11 +151,11 @@ def concat_lines(timeline_rows: DataFrame, folder: Column) -> DataFrame:
 
 
 def check_index(loops: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Loop positions below zero count as zero; positions past the last frame are rejected."""
-    known = loops.join(manifest.select("video_id", "frame_count"), "video_id").withColumn(
+    """Loop positions below zero count as zero; those past the last frame or of an unknown video are rejected."""
+    known = loops.join(manifest.select("video_id", "frame_count"), "video_id", "left").withColumn(
         "loop_index", F.greatest(F.lit(0), F.col("loop_index"))
     )
-    inside = F.col("loop_index") < F.col("frame_count")
+    inside = F.coalesce(F.col("loop_index") < F.col("frame_count"), F.lit(False))
     return known.where(inside), known.where(~inside)
 
 
@@ -159,10 +176,14 @@ def supported(path: Column, suffixes: list[str] = VIDEO_SUFFIXES) -> Column:
     return suffix(path).isin(suffixes)
 
 
-def check_jobs(jobs: DataFrame) -> DataFrame:
-    """Add ``errors`` to extraction jobs (video, frames_folder, processed_folder, clear_processed)."""
+def check_jobs(jobs: DataFrame, output_root: str | None = None) -> DataFrame:
+    """Add ``errors`` to extraction jobs (video, frames_folder, processed_folder, clear_processed).
+
+    ``output_root`` is the absolute path that relative folders are below; a folder may name it in full.
+    """
     blank = lambda name: F.coalesce(unquote(F.col(name)), F.lit("")) == ""
-    frames, processed = clean_path(F.col("frames_folder")), clean_path(F.col("processed_folder"))
+    below = lambda name: relative_folder(clean_path(F.col(name)), output_root)
+    frames, processed = below("frames_folder"), below("processed_folder")
     checks = F.array(
         F.when(blank("video"), "no video"),
         F.when(~blank("video") & ~supported(unquote(F.col("video"))), "unsupported extension"),

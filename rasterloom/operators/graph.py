@@ -74,14 +74,15 @@ def classify_edges(edges: DataFrame, members: DataFrame, ends: DataFrame) -> Dat
     inside = members.select(*NODE).distinct()
     inputs = _used(edges, inside, "dst")
     sources = inside.select("graph_id", F.col("node_id").alias("src"), F.lit(True).alias("_inside"))
-    end_ids = ends.select("graph_id", F.col("node_id").alias("_end")).distinct()
-    copy = lambda node: F.when(F.col(node) == F.col("_end"), LOOP_END_ID).otherwise(F.col(node))
+    end_ids = lambda node: ends.select("graph_id", F.col("node_id").alias(node), F.lit(True).alias(f"_{node}_ends")).distinct()
+    copy = lambda node: F.when(F.col(f"_{node}_ends"), LOOP_END_ID).otherwise(F.col(node))
     internal = F.coalesce(F.col("_inside"), F.lit(False))
     return (
         inputs.join(sources, ["graph_id", "src"], "left")
-        .join(end_ids, "graph_id", "left")
+        .join(end_ids("dst"), ["graph_id", "dst"], "left")
+        .join(end_ids("src"), ["graph_id", "src"], "left")
         .withColumn("kind", F.when(internal, "internal").otherwise("boundary"))
         .withColumn("copy_dst", copy("dst"))
         .withColumn("copy_src", F.when(internal, copy("src")).otherwise(F.col("src")))
-        .drop("_inside", "_end")
+        .drop("_inside", "_dst_ends", "_src_ends")
     )

@@ -10,7 +10,8 @@ from ..functions.text import natural_key
 # Names of one frame sequence that share this many leading characters differ in the last four digits only
 # (``frame_`` plus eight digits), so a block holds about ten thousand names.
 NAME_BLOCK_CHARS = 10
-NATURAL_BLOCK_NUMBERS = 4096
+# Numbers of the same length that differ in this many last digits only share a block.
+NATURAL_BLOCK_DIGITS = 4
 
 
 def name_block(name: Column) -> Column:
@@ -19,10 +20,11 @@ def name_block(name: Column) -> Column:
 
 
 def natural_block(name: Column) -> Column:
-    """Coarse key of natural order: leading text and the first number in steps."""
+    """Coarse key of natural order: leading text and the first number in steps, however long it is."""
     key = natural_key(name)
-    number = F.get(key, F.lit(1))["number"]
-    return F.struct(F.get(key, F.lit(0))["text"].alias("text"), F.floor(number / NATURAL_BLOCK_NUMBERS).alias("step"))
+    digits, text = F.get(key, F.lit(1))["digits"], F.get(key, F.lit(1))["text"]
+    step = F.when(digits.isNotNull(), F.substring(text, F.lit(1), F.greatest(F.lit(0), digits - NATURAL_BLOCK_DIGITS)))
+    return F.struct(F.get(key, F.lit(0))["text"].alias("text"), digits.alias("digits"), step.alias("step"))
 
 
 def grouped_position(

@@ -12,8 +12,8 @@ from .catalogue import closest_preset, lookup_preset
 
 
 def is_padded(mode: Column) -> Column:
-    """Modes that fill a border; an unknown mode is one of them (constant fill)."""
-    return ~mode.isin("stretch", "resize", "crop", "total_pixels")
+    """Modes that fill a border; an unknown or absent mode is one of them (constant fill)."""
+    return ~F.coalesce(mode, F.lit("pad")).isin("stretch", "resize", "crop", "total_pixels")
 
 
 def select_targets(requests: DataFrame, presets: DataFrame) -> DataFrame:
@@ -96,8 +96,12 @@ def split_by_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def check_requests(requests: DataFrame) -> DataFrame:
-    """Add ``errors``: a request needs an image or a mask."""
-    return _with_errors(requests, {"no image and no mask": ~F.col("has_image") & ~F.col("has_mask")})
+    """Add ``errors``: a request needs an image or a mask, and a method that the resampler knows."""
+    given = lambda name: F.coalesce(F.col(name), F.lit(False))
+    return _with_errors(requests, {
+        "no image and no mask": ~given("has_image") & ~given("has_mask"),
+        "unknown method": ~F.coalesce(F.col("upscale_method").isin(RESAMPLE_METHODS), F.lit(False)),
+    })
 
 
 def validate_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -24,7 +24,12 @@ PIXEL = ["image_id", "y", "x", "c", "v"]
 
 
 def method_or_fallback(method: Column, host_resampler: bool) -> Column:
-    """Kernel of a method. Without the host's resampler nearest-exact and lanczos have stand-ins."""
+    """Kernel of a method. Without the host's resampler nearest-exact and lanczos have stand-ins.
+
+    A method outside the list ends the job: it has no kernel, and requests that name one are rejected before.
+    """
+    known = F.coalesce(method.isin(*RESAMPLE_METHODS, LEGACY_NEAREST), F.lit(False))
+    method = F.when(known, method).otherwise(F.raise_error(F.concat(F.lit("unknown method "), F.coalesce(method, F.lit("NULL")))))
     if host_resampler:
         return method
     return (

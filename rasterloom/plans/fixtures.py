@@ -34,7 +34,7 @@ select o_orderkey as image_id,
   cast(o_orderkey % 1920 + 1 as int) as src_width, cast(o_custkey % 1080 + 1 as int) as src_height,
   o_orderkey % 19 <> 0 as has_image, o_orderkey % 3 = 0 as has_mask,
   cast(case when o_orderkey % 7 = 0 then o_custkey % 1024 else null end as int) as resolution
-from orders join part on p_partkey = o_orderkey % 200""",
+from (select *, o_orderkey % (select count(*) from part) as _part from orders) o join part on p_partkey = _part""",
     "sources_fx": """
 select cast(o_orderkey as string) as video_id, concat('in/', cast(o_orderkey as string), '.mp4') as path,
   o_custkey * 1000 + o_orderkey % 997 as size, o_orderdate as mtime

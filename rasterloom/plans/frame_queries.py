@@ -164,7 +164,7 @@ def _(t):
 
 LOOPS_SQL = """
 with l as (select video_id, frame_idx - 1 as i from frames_fx),
-k as (select l.video_id, greatest(0, i) as loop_index, frame_count from l join manifest_fx m on m.video_id = l.video_id)
+k as (select l.video_id, greatest(0, i) as loop_index, frame_count from l left join manifest_fx m on m.video_id = l.video_id)
 select video_id, loop_index, case when loop_index < frame_count then 'ok' else 'outside' end as verdict from k"""
 
 
@@ -221,7 +221,7 @@ def _(t):
     names = t.paths_fx.select(
         (F.col("page_id") % 7).cast("string").alias("video_id"), X.base_name(F.col("path")).alias("frame_name")
     )
-    return V.natural_index(names).select("video_id", "frame_name", "frame_idx")
+    return V.natural_index(names, names=None).select("video_id", "frame_name", "frame_idx")
 
 
 @query("sort2_listing_order", f"select page_id, path from paths_fx where {SUFFIX_SQL.format('path')} = '.png' order by path, page_id", "paths_fx")
@@ -321,7 +321,7 @@ def _(t):
 
 
 @query("join6_frame_context", """
-select f.video_id, f.frame_idx, f.frame_name, f.payload, m.path, fps, frame_count from frames_fx f join manifest_fx m on m.video_id = f.video_id""",
+select f.video_id, f.frame_idx, f.frame_name, f.payload, m.path, fps, frame_count from frames_fx f left join manifest_fx m on m.video_id = f.video_id""",
        "frames_fx manifest_fx")
 def _(t):
     return V.frame_context(t.frames_fx, t.manifest_fx).drop("arrived")

@@ -402,3 +402,23 @@ select image_id, target_w, target_h, resized_w, resized_h,
   (out_w // gcd(out_w, out_h)) || ':' || (out_h // gcd(out_w, out_h)) as aspect_ratio, resolution_text from geo""", THUMB)
 def _(t):
     return flat_plan(_smart(t)[2])
+
+
+@query("ras19_rejects", """
+select image_id, case when image_id % 12 = 3 and not has_mask then case when image_id % 7 = 2 then 'no image and no mask,unknown method' else 'no image and no mask' end
+  when image_id % 7 = 2 then 'unknown method'
+  when image_id % 12 <> 3 and image_id % 10 = 4 then 'image pixels missing' || case when has_mask and image_id % 9 = 6 then ',mask pixels missing' else '' end
+  when image_id % 12 <> 3 and image_id % 11 = 5 then 'image size differs' || case when has_mask and image_id % 9 = 6 then ',mask pixels missing' else '' end
+  when has_mask and image_id % 9 = 6 then 'mask pixels missing' else 'accepted' end as outcome
+from thumb_requests_fx""", THUMB)
+def _(t):
+    i = F.col("image_id")
+    requests = t.thumb_requests_fx.withColumns({
+        "has_image": i % 12 != 3, "upscale_method": F.when(i % 7 != 2, F.col("upscale_method")),
+        "keep_proportion": F.when(i % 8 != 1, F.col("keep_proportion")),
+        "src_width": F.when((i % 11 == 5) & (i % 12 != 3), 9).otherwise(F.col("src_width")),
+    })
+    raster, mask = t.raster_fx.where(i % 10 != 4), t.mask_fx.where(i % 9 != 6)
+    _, _, plan, rejects = smart_resize(requests, t.thumb_presets_fx, raster, mask)
+    return plan.select("image_id", F.lit("accepted").alias("outcome")).unionByName(
+        rejects.select("image_id", F.array_join("errors", ",").alias("outcome")))

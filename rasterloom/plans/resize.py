@@ -52,8 +52,7 @@ def _placed(resized: DataFrame) -> DataFrame:
 
 def _resize_masks(mask: DataFrame, plan: DataFrame) -> DataFrame:
     c = F.col
-    sizes = mask.groupBy("image_id").agg((F.max("y") + 1).alias("mask_h"), (F.max("x") + 1).alias("mask_w"))
-    masked = plan.where("has_mask").join(sizes, "image_id")
+    masked = plan.where("has_mask")
     as_source = with_sizes(
         mask, masked, sw=c("mask_w"), sh=c("mask_h"), w=c("src_width"), h=c("src_height"), crop=c("crop"),
         rw=c("resized_w"), rh=c("resized_h"), left=c("pad.left"), top=c("pad.top"),
@@ -82,16 +81,41 @@ def _resize_masks(mask: DataFrame, plan: DataFrame) -> DataFrame:
     return given.unionByName(zeros).unionByName(border)
 
 
+def check_pixels(requests: DataFrame, raster: DataFrame, mask: DataFrame) -> DataFrame:
+    """Requests with ``mask_h``, ``mask_w`` and ``errors`` about pixels that are absent or of another size than asked.
+
+    The extents are one partial aggregate over each pixel table; a request without an image takes its mask's pixels,
+    which need its size then.
+    """
+    extent = lambda df, h, w: df.groupBy("image_id").agg((F.max("y") + 1).alias(h), (F.max("x") + 1).alias(w))
+    seen = requests.join(extent(raster, "_h", "_w"), "image_id", "left").join(extent(mask, "mask_h", "mask_w"), "image_id", "left")
+    c = F.col
+    differs = lambda h, w: (c(h) != c("src_height")) | (c(w) != c("src_width"))
+    checks = F.array(
+        F.when(c("has_image") & c("_h").isNull(), "image pixels missing"),
+        F.when(c("has_image") & differs("_h", "_w"), "image size differs"),
+        F.when(c("has_mask") & c("mask_h").isNull(), "mask pixels missing"),
+        F.when(~c("has_image") & differs("mask_h", "mask_w"), "image size differs"),
+    )
+    return seen.withColumn("errors", F.array_compact(checks)).drop("_h", "_w")
+
+
 def smart_resize(
     requests: DataFrame, presets: DataFrame, raster: DataFrame, mask: DataFrame, host_resampler: bool = True
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pixels, mask, plan) of all valid requests.
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(pixels, mask, plan, rejects): every request is either in the plan or in ``rejects(image_id, errors)``.
 
     The plan is metadata, one row per image, and is written once because pixels, masks and borders all read
     it. Pixels that are needed again for their own border are written once too; other modes stream through.
+    A request without a mode is padded.
     """
-    accepted, _ = validate_requests(requests)
-    plan = materialise(plan_resize(accepted, presets), "plan")
+    given = {n: F.coalesce(F.col(n), F.lit(False)) for n in ("has_image", "has_mask")}
+    requests = requests.withColumns(given | {"keep_proportion": F.coalesce("keep_proportion", F.lit("pad"))})
+    accepted, unfit = validate_requests(requests)
+    checked = materialise(check_pixels(accepted, raster, mask), "requests")
+    sound = checked.where(F.size("errors") == 0).drop("errors")
+    rejects = unfit.select("image_id", "errors").unionByName(checked.where(F.size("errors") > 0).select("image_id", "errors"))
+    plan = materialise(plan_resize(sound, presets), "plan")
     mode = F.col("keep_proportion")
     used = plan.agg(
         *[F.coalesce(F.max(mode == m), F.lit(False)).alias(m) for m in _FROM_PIXELS],
@@ -117,4 +141,4 @@ def smart_resize(
         if used["pillarbox_blur"]:
             blurred = K.blur_around(resized, plan.where(mode == "pillarbox_blur"))
             pixels = pixels.unionByName(blurred)
-    return pixels, _resize_masks(mask, plan), plan
+    return pixels, _resize_masks(mask, plan), plan, rejects

@@ -265,3 +265,79 @@ def test_mask_border_counts_the_added_area(spark):
     mask = spark.range(12).select(F.lit(1).alias("image_id"), F.expr("cast(id div 4 as int)").alias("y"), (F.col("id") % 4).cast("int").alias("x"), F.lit(0.0).alias("m"))
     padded = K.pad_mask(mask, plan)
     assert padded.count() == 35 and padded.agg(F.sum("m")).first()[0] == 35 - 12
+
+
+def test_no_request_disappears(spark):
+    from rasterloom.operators.planning import is_padded, validate_requests
+
+    requests = spark.createDataFrame(
+        [(1, True, False, "bilinear"), (2, None, None, "bilinear"), (3, True, False, None), (4, False, True, "typo")],
+        "image_id int, has_image boolean, has_mask boolean, upscale_method string")
+    good, bad = validate_requests(requests)
+    assert [r.image_id for r in good.collect()] == [1]
+    assert {r.image_id: r.errors for r in bad.collect()} == {
+        2: ["no image and no mask"], 3: ["unknown method"], 4: ["unknown method"]}
+    assert spark.range(1).select(is_padded(F.lit(None).cast("string"))).first()[0]
+
+
+def test_unknown_method_ends_the_job(spark):
+    from rasterloom.operators.resample import method_or_fallback
+
+    with pytest.raises(Exception, match="unknown method typo"):
+        spark.createDataFrame([("typo",)], "m string").select(method_or_fallback(F.col("m"), True)).collect()
+
+
+def test_other_files_are_no_frames(spark):
+    frames = spark.createDataFrame([("v", n) for n in ("frame_1.png", "cover.png", "processed_video.mp4", "frame_2.jpg")], "video_id string, frame_name string")
+    manifest = spark.createDataFrame([("v", 3)], "video_id string, frame_count int")
+    row = V.completeness(frames, manifest).first()
+    assert (row.found, row.complete) == (1, False)
+    assert V.natural_index(frames, names=None).count() == 4
+
+
+def test_videos_without_manifest_stay(spark):
+    manifest = spark.createDataFrame([("v", "p", 24.0, 2)], "video_id string, path string, fps double, frame_count int")
+    loops = spark.createDataFrame([("v", -1), ("v", 2), ("zz", 0)], "video_id string, loop_index int")
+    ok, rejects = V.check_index(loops, manifest)
+    assert [(r.video_id, r.loop_index) for r in ok.collect()] == [("v", 0)]
+    assert sorted((r.video_id, r.loop_index) for r in rejects.collect()) == [("v", 2), ("zz", 0)]
+    frames = spark.createDataFrame([("v", 0), ("zz", 0)], "video_id string, frame_idx int")
+    assert {r.video_id: r.fps for r in V.frame_context(frames, manifest).collect()} == {"v": 24.0, "zz": None}
+
+
+def test_unusable_rate_falls_back(spark):
+    frames = spark.createDataFrame([(v, "frame_1.png") for v in "abcd"], "video_id string, frame_name string")
+    manifest = spark.createDataFrame([("a", 0.0), ("b", float("nan")), ("c", 50.0), ("d", None)], "video_id string, fps double")
+    probes = spark.createDataFrame([("a", 10.0), ("c", 10.0), ("d", 20.0)], "video_id string, fps double")
+    shown = {r.video_id: r.duration for r in V.timeline(frames, manifest, probes).where("pos = 0").collect()}
+    assert shown == {"a": 0.1, "b": 1 / 24, "c": 0.02, "d": 0.05}
+
+
+def test_same_file_in_two_folders(spark):
+    sources = spark.createDataFrame([("one", "p", 5, 7)], "video_id string, path string, size long, mtime long")
+    manifest = spark.createDataFrame([("one", "p", 5, 7), ("two", "p", 6, 7)], "video_id string, path string, size long, mtime long")
+    assert [r.matches for r in V.match_manifest(sources, manifest).collect()] == [True]
+
+
+def test_graph_with_two_ends(spark):
+    from rasterloom.operators.graph import classify_edges
+
+    edges = spark.createDataFrame([("g", "s", "a"), ("g", "a", "e"), ("g", "a", "f")], "graph_id string, src string, dst string")
+    node = lambda *names: spark.createDataFrame([("g", n) for n in names], "graph_id string, node_id string")
+    found = sorted((r.src, r.dst, r.copy_dst) for r in classify_edges(edges, node("s", "a", "e", "f"), node("e", "f")).collect())
+    assert found == [("a", "e", "Recurse"), ("a", "f", "Recurse"), ("s", "a", "a")]
+
+
+def test_texts_with_any_white_space_and_long_numbers(value):
+    from rasterloom.functions import text as X
+
+    assert value(X.unquote(F.lit('\t"out/a"\n'))) == "out/a"
+    assert value(X.clean_path(F.lit("frames/x/../a"))) == "frames/a"
+    assert value(X.clean_path(F.lit("output/.."))) == value(X.clean_path(F.lit(".")))
+    assert value(X.relative_folder(F.lit("/srv/out"), "/srv/out/")) == ""
+    assert value(X.parse_color(F.lit("0.1,\t,0.3"), 2)) == [0.1, 0.3]
+    assert value(X.resolution_output(F.lit("1e15K"))) == "1024000000000000000"
+    assert value(X.resolution_output(F.lit("nanK"))) == "nanK"
+    low, high = "a" + "0" * 3 + "9" * 40, "a" + "1" + "0" * 40
+    assert value(X.natural_key(F.lit(low)) < X.natural_key(F.lit(high)))
+    assert value(X.natural_key(F.lit("a10")) > X.natural_key(F.lit("a9")))
