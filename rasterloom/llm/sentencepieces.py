@@ -13,8 +13,10 @@ vocabulary with piece probabilities (``rule="scores"``) the path of the greatest
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ SPACE = "▁"
 #: Chunks, and pairs of pieces, that a worker remembers at most; longer chunks aren't remembered.
 REMEMBERED = 300_000
 REMEMBERED_CHARS = 48
+#: Beginnings of so many characters whose search is remembered: paths up to there depend on nothing that follows.
+PREFIXES = (9, 7, 5)
 
 
 @dataclass
@@ -60,7 +64,15 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.chunks: dict[str, bytes] = {}
-        self.stable: dict[tuple[str | None, str], bool] = {}
+        self.stable: dict[str | None, dict[str, bool]] = {}
+        self.n_stable = 0
+        self.prefixes: dict[str, tuple[list, list]] = {}
+        ends: dict[str, set[int]] = {}
+        for p in vocabulary.pieces:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        #: Lengths of the pieces with these last three characters, longest first.
+        self.sizes = {e: (*sorted(n, reverse=True), 2, 1) for e, n in ends.items()}
         inside = any(SPACE in p.lstrip(SPACE) for p in vocabulary.pieces)
         #: No piece goes on from another character to a space, so every path has a boundary there.
         self.cut = None if inside else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -82,43 +94,64 @@ class Encoder:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def follows(self, a: str | None, b: str) -> bool:
+    def _follows(self, a: str | None, b: str) -> bool:
         """Whether ``a`` and ``b`` stay two pieces when merged on their own; without ``a``, whether ``b`` comes out whole."""
-        found = self.stable.get((a, b))
-        if found is None:
-            if len(self.stable) >= REMEMBERED:
-                self.stable.clear()
-            found = self.stable[a, b] = self.merged(b) == [b] if a is None else self.merged(a + b) == [a, b]
+        if self.n_stable >= REMEMBERED:
+            self.stable, self.n_stable = {}, 0
+        self.n_stable += 1
+        found = self.merged(b) == [b] if a is None else self.merged(a + b) == [a, b]
+        self.stable.setdefault(a, {})[b] = found
         return found
 
-    def search(self, characters: Iterable[str]) -> Iterator[str]:
-        """Pieces of a stream of characters, each given out as soon as it is decided."""
-        pieces, longest, scores = self.v.pieces, self.v.longest, self.v.scores
-        merges = self.v.rule == "merges"
-        held, back, sums = "", [None], [0.0]  # back[j]: the piece that ends the best path to j, or the piece before held
-        for character in characters:
-            held += character
-            end = len(held)
+    def _advance(self, held: str, back: list[str | None], sums: list[float]) -> None:
+        """Adds the best path's last piece (and its sum) for each further position of ``held``."""
+        pieces, scores, sizes, none = self.v.pieces, self.v.scores, self.sizes, {}
+        merges, unknown = self.v.rule == "merges", self.v.unknown_score
+        begins = len(back) == 1 and back[0] is None
+        if begins:
+            for size in PREFIXES:
+                if len(held) >= size and (state := self.prefixes.get(held[:size])):
+                    back[:], sums[:] = state
+                    break
+        from_here = len(back)
+        for end in range(len(back), len(held) + 1):
             best, total = None, None
-            for start in range(max(0, end - longest), end):
+            for size in sizes.get(held[end - 3 : end] if end >= 3 else "", (2, 1)):
+                start = end - size
+                if start < 0:
+                    continue
                 piece = held[start:end]
-                if piece not in pieces and end - start > 1:
+                if size > 1 and piece not in pieces:
                     continue
                 if merges:
-                    if self.follows(back[start], piece):
+                    before = back[start]
+                    stays = self.stable.get(before, none).get(piece)
+                    if stays or stays is None and self._follows(before, piece):
                         best = piece
                         break
                     continue
-                value = sums[start] + scores.get(piece, self.v.unknown_score)
-                if total is None or value > total:
+                value = sums[start] + scores.get(piece, unknown)
+                if total is None or value >= total:
                     best, total = piece, value
             back.append(best)
             sums.append(total or 0.0)
-            if end >= 4 * longest:
-                decided = self._common(back, end)
-                if decided:
-                    yield from self._path(back, decided)
-                    held, back, sums = held[decided:], back[decided:], sums[decided:]
+        if begins:
+            for size in PREFIXES:
+                if from_here <= size <= len(held):
+                    if len(self.prefixes) >= REMEMBERED:
+                        self.prefixes.clear()
+                    self.prefixes[held[:size]] = (back[: size + 1], sums[: size + 1])
+
+    def search(self, characters: Iterable[str]) -> Iterator[str]:
+        """Pieces of a stream of characters, given out as soon as a window's length shows that they are decided."""
+        stream, longest = iter(characters), self.v.longest
+        held, back, sums = "", [None], [0.0]  # back[j]: the piece that ends the best path to j, or the piece before held
+        while block := "".join(islice(stream, 3 * longest)):
+            held += block
+            self._advance(held, back, sums)
+            if len(held) >= 4 * longest and (decided := self._common(back, len(held))):
+                yield from self._path(back, decided)
+                held, back, sums = held[decided:], back[decided:], sums[decided:]
         yield from self._path(back, len(held))
 
     def _common(self, back: list[str | None], end: int) -> int:
@@ -158,7 +191,19 @@ class Encoder:
         if at is not None and len(chunk) > 1:  # a character that joins no other: boundaries on both sides
             parts = (chunk[:at], chunk[at], chunk[at + 1 :])
             return b"".join(self._chunk(p) for p in parts if p)
-        found = np.fromiter(self.ids(chunk), np.int32).tobytes()
+        if len(chunk) <= REMEMBERED_CHARS < 4 * self.v.longest:
+            # Shorter than the window of the search: one step of it, without the stream around.
+            back: list[str | None] = [None]
+            self._advance(chunk, back, [0.0])
+            known, ids = self.v.pieces, []
+            for piece in self._path(back, len(chunk)):
+                if (i := known.get(piece)) is not None:
+                    ids.append(i)
+                else:
+                    ids += (self.v.byte_ids[b] for b in piece.encode())
+            found = array("i", ids).tobytes()
+        else:
+            found = array("i", self.ids(chunk)).tobytes()
         if len(chunk) <= REMEMBERED_CHARS:
             if len(self.chunks) >= REMEMBERED:
                 self.chunks.clear()
@@ -181,9 +226,19 @@ class Encoder:
         return line[1:] if line.startswith(" ") else line
 
 
+_latest: list[Encoder] = []
+
+
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    """The worker's encoder, which later tasks of the same job take over with the chunks it knows."""
+    if not _latest or _latest[0].v is not vocabulary:
+        _latest[:] = [Encoder(vocabulary)]
+    return _latest[0]
+
+
 def _encode(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder = _encoder(vocabulary.value)
         for batch in batches:
             found = [encoder.encode(t.as_py() or "") for t in batch.column(0)]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64))).astype(np.int32)
