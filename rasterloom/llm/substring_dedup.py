@@ -200,13 +200,14 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     for length in lengths(size, shortest)[:-1]:
         rows = texts.joined(repeated).select("k", "id", "text", "repeated") if before else spark.table(texts.name).select("k", "id", "text")
         runs = materialise(rows.mapInArrow(_level(size, before, length), "k bigint, id bigint, run bigint"), "runs")
-        twice = runs.groupBy("run").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("run")
+        # Stored, so that a join with it can split the runs that very many texts have.
+        twice = materialise(runs.groupBy("run").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("run"), "twice")
         repeated = materialise(
             runs.join(twice, "run").groupBy("k", "id").agg(F.collect_list("run").alias("repeated")), "repeated")
         before = length
     rows = texts.joined(repeated).select("k", "id", "text", "repeated") if before else spark.table(texts.name).select("k", "id", "text")
     found = materialise(rows.mapInArrow(_passages(size, before), "k bigint, id bigint, pos bigint, a bigint, b bigint"), "passages")
-    first = found.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a", "b", "lo")
+    first = materialise(found.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a", "b", "lo"), "first")
     starts = found.join(first, ["a", "b"]).where("lo < id").groupBy("k", "id").agg(F.collect_list("pos").alias("starts"))
     cleaned = texts.joined(materialise(starts, "starts"), "left").select("digest", "id", "text", "starts").mapInArrow(
         _cleaned(size), "digest string, id bigint, n_words bigint, n_removed bigint, kept string")
