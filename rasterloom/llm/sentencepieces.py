@@ -29,7 +29,7 @@ SPACE = "▁"
 REMEMBERED = 300_000
 REMEMBERED_CHARS = 48
 #: Beginnings of so many characters whose search is remembered: paths up to there depend on nothing that follows.
-PREFIXES = (9, 7, 5)
+PREFIXES = (7, 5)
 
 
 @dataclass
@@ -77,7 +77,8 @@ class Encoder:
         #: No piece goes on from another character to a space, so every path has a boundary there.
         self.cut = None if inside else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         joined = {c for p in vocabulary.pieces if len(p) > 1 for c in p}
-        self.alone = {c for c in "\n\t\r" if c not in joined}
+        alone = "".join(c for c in "\n\t\r" if c not in joined)
+        self.alone = re.compile(f"[{alone}]") if alone else None
         self.texts = dict.fromkeys(vocabulary.byte_ids, b"") | {i: p.replace(SPACE, " ").encode() for p, i in vocabulary.pieces.items()}
         self.texts |= {i: bytes([n]) for n, i in enumerate(vocabulary.byte_ids)}
 
@@ -187,8 +188,9 @@ class Encoder:
         found = self.chunks.get(chunk)
         if found is not None:
             return found
-        at = next((i for i, c in enumerate(chunk) if c in self.alone), None) if len(chunk) <= REMEMBERED_CHARS else None
-        if at is not None and len(chunk) > 1:  # a character that joins no other: boundaries on both sides
+        found = self.alone.search(chunk) if self.alone and 1 < len(chunk) <= REMEMBERED_CHARS else None
+        if found:  # a character that joins no other: boundaries on both sides
+            at = found.start()
             parts = (chunk[:at], chunk[at], chunk[at + 1 :])
             return b"".join(self._chunk(p) for p in parts if p)
         if len(chunk) <= REMEMBERED_CHARS < 4 * self.v.longest:
