@@ -9,7 +9,7 @@ from ..functions.constants import CRF_RANGE, FRAME_FILES, VIDEO_CODECS, VIDEO_SU
 from ..functions.text import (
     clean_path, frame_name, natural_key, relative_folder, safe_output_name, suffix, unquote, usable_rate,
 )
-from .ordering import grouped_position, name_block, natural_block, spread_range
+from .ordering import grouped_position, spread_range
 
 
 def frame_listing(frames: DataFrame, names: str | None = FRAME_FILES) -> DataFrame:
@@ -23,18 +23,13 @@ def frame_listing(frames: DataFrame, names: str | None = FRAME_FILES) -> DataFra
 
 def index_frames(frames: DataFrame, names: str | None = FRAME_FILES) -> DataFrame:
     """Position of each frame in name order and the number of frames of its video."""
-    return grouped_position(
-        frame_listing(frames, names), ["video_id"], [F.col("frame_name")], name_block(F.col("frame_name")),
-        "frame_idx", "frame_count",
-    )
+    return grouped_position(frame_listing(frames, names), ["video_id"], [F.col("frame_name")], "frame_idx", "frame_count")
 
 
 def natural_index(frames: DataFrame, names: str | None = FRAME_FILES) -> DataFrame:
     """Position of each frame in natural order (numbers by value), name as tie-break."""
     name = F.col("frame_name")
-    return grouped_position(
-        frame_listing(frames, names), ["video_id"], [natural_key(name), name], natural_block(name), "frame_idx", "found_count"
-    )
+    return grouped_position(frame_listing(frames, names), ["video_id"], [natural_key(name), name], "frame_idx", "found_count")
 
 
 def frame_counts(frames: DataFrame) -> DataFrame:

@@ -5,52 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import natural_key
+from ..session import materialise
 
-# Names of one frame sequence that share this many leading characters differ in the last four digits only
-# (``frame_`` plus eight digits), so a block holds about ten thousand names.
-NAME_BLOCK_CHARS = 10
-# Numbers of the same length that differ in this many last digits only share a block.
-NATURAL_BLOCK_DIGITS = 4
 
+def grouped_position(df: DataFrame, group: list[str], order: list[Column], position: str, total: str) -> DataFrame:
+    """Add the 0-based position of a row in its group and the group's size; NULL is a group too.
 
-def name_block(name: Column) -> Column:
-    """Coarse key of name order."""
-    return F.substring(name, 1, NAME_BLOCK_CHARS)
-
-
-def natural_block(name: Column) -> Column:
-    """Coarse key of natural order: leading text and the first number in steps, however long it is."""
-    key = natural_key(name)
-    digits, text = F.get(key, F.lit(1))["digits"], F.get(key, F.lit(1))["text"]
-    step = F.when(digits.isNotNull(), F.substring(text, F.lit(1), F.greatest(F.lit(0), digits - NATURAL_BLOCK_DIGITS)))
-    return F.struct(F.get(key, F.lit(0))["text"].alias("text"), digits.alias("digits"), step.alias("step"))
-
-
-def grouped_position(
-    df: DataFrame, group: list[str], order: list[Column], block: Column, position: str, total: str
-) -> DataFrame:
-    """Add the 0-based position of a row in its group and the group's size.
-
-    ``block`` must agree with ``order``: all rows of a lower block sort first. Rows are ranked per
-    (group, block) and shifted by the sizes of the earlier blocks, so one huge group is spread over many
-    tasks; only block counts are ever gathered per group.
+    Rows are dealt out in ranges of (group, order) that Spark samples from the rows themselves, so a range holds
+    about equally many whatever the names look like, and one huge group is cut into many. They are stored with the
+    number of their range, ranked inside it and shifted by the sizes of the group's earlier ranges; only these sizes
+    are ever gathered per group.
     """
-    keyed = df.withColumn("_block", block)
-    counts = keyed.groupBy(*group, "_block").agg(F.count("*").alias("_rows"))
+    ranged = df.repartitionByRange(*group, *order).withColumn("_block", F.spark_partition_id())
+    keyed = materialise(ranged, "ranged")
     blocks = Window.partitionBy(*group).orderBy("_block")
-    offsets = counts.select(
-        *group,
-        "_block",
+    offsets = keyed.groupBy(*group, "_block").agg(F.count("*").alias("_rows")).select(
+        *(F.col(g).alias(f"_of_{g}") for g in group),
+        F.col("_block").alias("_of_block"),
         (F.sum("_rows").over(blocks) - F.col("_rows")).alias("_before"),
         F.sum("_rows").over(Window.partitionBy(*group)).cast("int").alias(total),
     )
     within = F.row_number().over(Window.partitionBy(*group, "_block").orderBy(*order))
-    ranked = keyed.withColumn("_within", within)
+    same = F.col("_block") == F.col("_of_block")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_of_{g}"))
     return (
-        ranked.join(offsets, [*group, "_block"])
+        keyed.withColumn("_within", within)
+        .join(offsets, same)
         .withColumn(position, (F.col("_before") + F.col("_within") - 1).cast("int"))
-        .drop("_block", "_before", "_within")
+        .drop("_block", "_within", "_before", "_of_block", *(f"_of_{g}" for g in group))
     )
 
 

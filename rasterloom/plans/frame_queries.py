@@ -70,6 +70,17 @@ def _(t):
     return M.read_manifest(t.spark, path, "parquet").withColumn("mtime", _ts("mtime"))
 
 
+@query("snk1_manifest_merge", f"""
+select video_id, path, case when size % 3 = 1 then size + 1 else size end as size, {TS_SQL.format('mtime')} as mtime, fps, width, height, frame_count
+from manifest_fx""", "manifest_fx")
+def _(t):
+    saved, merged = scratch_path(t.spark, "manifest"), scratch_path(t.spark, "manifest")
+    M.write_manifest(t.manifest_fx.where("size % 3 <> 0").withColumn("size", F.col("size") + 1), saved)
+    touched = t.manifest_fx.where("size % 3 <> 1")
+    M.write_manifest(M.merge_manifest(M.read_manifest(t.spark, saved, "parquet"), touched), merged)
+    return M.read_manifest(t.spark, merged, "parquet").withColumn("mtime", _ts("mtime"))
+
+
 @query("jsn2_manifest_encode_decode", f"""
 select video_id, path, size, {TS_SQL.format('mtime')} as mtime, fps, width, height, frame_count from manifest_fx""", "manifest_fx")
 def _(t):

@@ -31,8 +31,14 @@ def read_manifest(spark: SparkSession, path: str, format: str = "json") -> DataF
     return spark.read.schema(MANIFEST_SCHEMA).parquet(path)
 
 
+def merge_manifest(saved: DataFrame, touched: DataFrame) -> DataFrame:
+    """The saved entries, with those of the videos in ``touched`` replaced and new videos added."""
+    kept = saved.join(touched.select("video_id").distinct(), "video_id", "left_anti")
+    return kept.select(*_FIELDS).unionByName(touched.select(*_FIELDS))
+
+
 def write_manifest(manifest: DataFrame, path: str, format: str = "parquet") -> None:
-    """Replace the manifest; the job commit makes the new one visible as a whole."""
+    """Replace the manifest. Spark deletes the old files first, so a merged manifest goes to a new path."""
     if format == "json":
         encode_manifest(manifest).write.mode("overwrite").text(path)
     else:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.frames import extraction_plan
+from ..session import materialise
 
 
 def frame_stream(
@@ -105,6 +106,9 @@ def read_completed(spark: SparkSession, sink: str) -> DataFrame:
 def detect_changes(
     stream: DataFrame, manifest: DataFrame, counts: DataFrame, replace, sink: str, checkpoint: str
 ) -> StreamingQuery:
-    """Decide for each arriving source whether its extracted frames still hold."""
-    decided = extraction_plan(stream, manifest, counts, replace)
+    """Decide for each arriving source whether its extracted frames still hold.
+
+    ``counts`` is worked out once and stored; batches read the result, not the frames.
+    """
+    decided = extraction_plan(stream, manifest, materialise(counts, "counts"), replace)
     return _drain(decided.writeStream.format("parquet").option("path", sink).outputMode("append"), checkpoint)

@@ -173,6 +173,29 @@ def test_positions_in_a_long_video(spark):
     assert [r.frame_name for r in by_name.collect()] == sorted(f"frame_{i}.png" for i in range(1, n + 1))
 
 
+@pytest.mark.parametrize("pattern", ["frame_extracted_by_a_long_name_%08d.png", "take1_frame_%08d.png", "%032x.png"])
+def test_positions_whatever_the_names_look_like(spark, pattern):
+    n = 20_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 10 > 0, "hot").alias("video_id"), F.col("id"),
+        F.md5(F.col("id").cast("string")).alias("hash"))
+    name = F.concat("hash", F.lit(".png")) if pattern.startswith("%032x") else F.format_string(pattern, "id")
+    frames = rows.select("video_id", name.alias("frame_name"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = materialise(V.index_frames(frames, names=None), "found")
+        sizes = [r["n"] for r in frames.repartitionByRange("video_id", "frame_name").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 2 and max(sizes) < n / 2
+    listed = found.collect()
+    assert len(listed) == n
+    for video, total in (("hot", 18_000), (None, 2_000)):
+        own = sorted((r for r in listed if r.video_id == video), key=lambda r: r.frame_idx)
+        assert [r.frame_idx for r in own] == list(range(total)) and {r.frame_count for r in own} == {total}
+        assert [r.frame_name for r in own] == sorted(r.frame_name for r in own)
+
+
 def _png(path, pixels: np.ndarray) -> None:
     h, w, c = pixels.shape
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
