@@ -30,11 +30,15 @@ def parse_workflows(df: DataFrame, column: str, graph_id: str = "graph_id") -> t
     def edge(link, known):
         return F.struct(
             link[1].alias("src"), link[2].try_cast("int").alias("src_slot"), link[3].alias("dst"),
-            F.get(F.filter(known, lambda i: i["link"] == link[0]), F.lit(0))["name"].alias("dst_input"),
+            F.get(known["names"], (F.array_position(known["links"], link[0]) - 1).cast("int")).alias("dst_input"),
             link[5].alias("link_type"),
         )
 
-    links = let(inputs, lambda known: F.transform("w.links", lambda link: edge(link, known)))
+    def apart(inputs):
+        """Link ids and names as two arrays, so that finding an id compares plain strings and builds nothing."""
+        return F.struct(F.transform(inputs, lambda i: i["link"]).alias("links"), F.transform(inputs, lambda i: i["name"]).alias("names"))
+
+    links = let(let(inputs, apart), lambda known: F.transform("w.links", lambda link: edge(link, known)))
     return nodes, parsed.select("graph_id", F.inline(links))
 
 
