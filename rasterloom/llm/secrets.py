@@ -1,12 +1,14 @@
 """Secrets in texts: fixed patterns, and strings that look random to a pair of character Markov models.
 
 Positions are code points; a span is (kind, start, end) with the end exclusive. Everything is column expressions over
-one row's text, so no row of the table moves; only the bounded training sample is grouped.
+one row's text, so no row of the table moves; only distinct matched values, hashes of texts and the bounded training
+samples are grouped.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +30,11 @@ HEX = r"[0-9a-f]{32,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 ORDINARY = r"[A-Za-z0-9+/_-]{6,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
-#: Texts that train the models: those with the lowest hashes among texts of at most TRAIN_CHARS code points.
+#: What trains the models: ordinary strings come from the distinct texts with the lowest hashes among those of at most
+#: TRAIN_CHARS code points, random strings from the distinct matched values with the lowest hashes in the whole corpus.
 TRAIN_TEXTS = 4_000
 TRAIN_CHARS = 20_000
+TRAIN_VALUES = 4_000
 #: A token is a secret if random strings explain it better by this log-likelihood in all and per character.
 LEAST_GAIN = 16.0
 LEAST_GAIN_PER_CHAR = 0.7
@@ -77,28 +81,35 @@ def _symbols(token: Column) -> Column:
 def train_markov(docs: DataFrame, text: str = "text") -> list[float]:
     """Log-likelihood ratio (random against ordinary) of each pair of neighbouring characters, as one flat table.
 
-    Labelled samples: values found by the fixed patterns are random strings, all other runs of word characters in the
-    same texts are ordinary. TRAIN_TEXTS and TRAIN_CHARS bound the sample. Pairs are counted by grouping; what reaches
-    the driver is bounded by the square of the alphabet. Without any random string no token gains anything.
+    Labelled samples: values that the fixed patterns find anywhere in the corpus are random strings, each distinct value
+    once; the other runs of word characters in a sample of distinct texts are ordinary. The two are drawn apart, so rare
+    secrets are found however large the corpus is, and copies of a text or value take one place. Values beyond
+    TRAIN_CHARS train with their beginning. Pairs are counted by grouping; what reaches the driver is bounded by the
+    square of the alphabet. Without any random or any ordinary string no token gains anything, and a warning says so.
     """
-    content = F.coalesce(F.col(text), F.lit(""))
-    sample = (
-        docs.select(content.alias("t")).where(F.length("t") <= TRAIN_CHARS)
-        .orderBy(F.xxhash64("t"), "t").limit(TRAIN_TEXTS).repartition(32, "t")
-    )
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
+    content = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     values = F.concat(
         F.filter(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= ASSIGN_VALUE),
         F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("t", F.lit(HEX), F.lit(0)))
-    labelled = sample.select(F.explode(F.array(
-        F.struct(F.lit(1).alias("random"), values.alias("tokens")),
-        F.struct(F.lit(0).alias("random"), F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0)).alias("tokens")),
-    )).alias("x")).select("x.random", F.explode("x.tokens").alias("token"))
+    random = (
+        content.select(F.explode(values).alias("v")).select(F.substring("v", 1, TRAIN_CHARS).alias("token")).distinct()
+        .orderBy(F.xxhash64("token"), "token").limit(TRAIN_VALUES).select(F.lit(1).alias("random"), "token")
+    )
+    hashed = content.where(F.length("t") <= TRAIN_CHARS).withColumn("h", F.xxhash64("t"))
+    last = hashed.select("h").distinct().orderBy("h").limit(TRAIN_TEXTS).agg(F.max("h")).first()[0]
+    sample = hashed.where(F.col("h") <= F.lit(last)).select("t").distinct()
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
+    ordinary = sample.select(
+        F.lit(0).alias("random"), F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("token"))
+    labelled = random.unionByName(ordinary)
     symbols = labelled.groupBy("random", "token").count().select("random", "count", _symbols(F.col("token")).alias("s"))
     pairs = symbols.select("random", "count", F.explode(F.zip_with(
         F.slice("s", F.lit(1), F.size("s") - 1), F.slice("s", F.lit(2), F.size("s") - 1),
         lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
     counts = pairs.groupBy("random", "p.a", "p.b").agg(F.sum("count").alias("n")).collect()
+    for label, kind in ((1, "random"), (0, "ordinary")):
+        if not any(r["random"] == label for r in counts):
+            warnings.warn(f"no {kind} string to train on: only the fixed patterns find secrets", stacklevel=2)
     return _log_ratios({(r["random"], r["a"], r["b"]): r["n"] for r in counts})
 
 

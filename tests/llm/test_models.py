@@ -191,3 +191,31 @@ def test_random_strings_stand_out(spark):
     found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
     at = len("see internationalization-and-localization ")
     assert [(s["start"], s["end"], s["rank"]) for s in found[99]] == [(at, at + len(key), 3)]
+
+
+def test_rare_secrets_train_the_models(spark, monkeypatch):
+    """Secrets rarer than the sample of texts, and one text whose copies would fill the sample."""
+    monkeypatch.setattr(secrets, "TRAIN_TEXTS", 20)
+    key = "q7Xv" "B2mKp9ZtL4wRy8Nc3HdF"
+    plain = [f"the quick brown foxes jumped over something number {i}" for i in range(600)]
+    rare = [f"jumped over password = {key[i % 9:]}{i}Zk" for i in range(12)]
+    at = len("see internationalization-and-localization ")
+    for texts in (plain + rare, ["copied text " * 3] * 600 + plain[:60] + rare):
+        docs = spark.createDataFrame([*enumerate(texts), (9999, f"see internationalization-and-localization {key}")], "doc_id bigint, text string")
+        ratios = secrets.train_markov(docs)
+        found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs, ratios=ratios).collect()}
+        assert [(s["start"], s["end"], s["rank"]) for s in found[9999]] == [(at, at + len(key), 3)]
+
+
+def test_copies_of_a_secret_train_once(spark):
+    rows = [(i, f"plain ordinary words stand here, token: {'Zq9' * 5}") for i in range(50)] + [(99, "another ordinary sentence, token: kX7bV2nM4qLp")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert secrets.train_markov(docs) == secrets.train_markov(docs.dropDuplicates(["text"]))
+
+
+def test_missing_random_strings_are_reported(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(1, "nothing secret stands here")], "doc_id bigint, text string")
+    with pytest.warns(UserWarning, match="no random string"):
+        assert not any(secrets.train_markov(docs))
