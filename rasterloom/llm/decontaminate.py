@@ -55,6 +55,17 @@ class PositionIndex:
         self.documents = postings.where("term_id = -1").select("doc_id", "t", F.col("pos").cast("bigint").alias("n_words"))
         #: ``doc_id, t, term_id, pos``; repeated rows of the input repeat theirs.
         self.postings = postings.where("term_id >= 0")
+        self._texts = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("t"), words(F.col(text)).alias("w"))
+
+    def surroundings(self, terms: DataFrame, reach: int) -> DataFrame:
+        """``doc_id, t, term, pos, first, around``: each occurrence of ``terms(term)`` with the words up to ``reach`` places
+        off, of which the first stands at ``first``."""
+        held = small(terms)
+        tokens = self._texts.select("doc_id", "t", "w", F.posexplode("w").alias("pos", "term"))
+        first = F.greatest(F.lit(0), F.col("pos") - reach)
+        cut = ["doc_id", "t", "term", "pos", first.alias("first"), F.slice("w", first + 1, F.col("pos") + reach + 1 - first).alias("around")]
+        # Whole texts must not be shuffled once per word: beyond a broadcast the words are cut out before the join.
+        return tokens.select(*cut).join(held, "term") if held is terms else tokens.join(held, "term").select(*cut)
 
     def term_counts(self) -> DataFrame:
         return self.postings.groupBy("term_id").agg(F.count("*").alias("n"))
@@ -111,30 +122,63 @@ def _intersect(wanted: DataFrame, postings: DataFrame) -> DataFrame:
                        & (wanted["pos"] == postings["pos"]), "left_semi").select("doc_id", "t", "start", "w", "size")
 
 
-def proximity_matches(index: PositionIndex, windows: DataFrame, slack: int = 5, share: float = 0.8) -> DataFrame:
-    """``doc_id, t, window_id, near``: windows of which ``share`` of the terms stand near an occurrence of the rarest.
+#: Of so many of a window's rarest terms it is looked first whether they stand anywhere around an occurrence.
+LOOKED_FIRST = 6
+
 
-    Near means at most ``slack`` words from where the term would stand in an exact occurrence; ``near`` is the largest
-    number of distinct terms found so at one occurrence. Exact occurrences are included. Windows with a term that the
-    corpus lacks take part with their other terms.
+def proximity_matches(index: PositionIndex, windows: DataFrame, slack: int = 5, share: float = 0.8) -> DataFrame:
+    """``doc_id, t, window_id, near``: windows of which ``share`` of the terms stand near an occurrence of a rare one.
+
+    Near means at most ``slack`` words from where the term would stand in an exact occurrence. A window may lack
+    ``size - ceil(share * size)`` of its terms; occurrences of one more than that many of its rarest terms are looked at,
+    so one of them is there whichever terms are changed or missing. Every passage in which the share of the terms is
+    displaced by at most ``slack`` words against one another is found, exact occurrences included. ``near`` is the largest
+    number of places found so at one occurrence of the rarest term that reaches the share. Terms that the corpus lacks
+    count as missing.
     """
+    longest = windows.agg(F.max(F.size("terms"))).first()[0] or 1
     counts = index.terms.join(index.term_counts(), "term_id")
     places = windows.select("window_id", F.size("terms").alias("size"), F.posexplode("terms").alias("place", "term")).distinct()
-    ranked = materialise(places.join(counts, "term").groupBy("window_id", "size").agg(
-        F.sort_array(F.collect_list(F.struct("n", "place", "term_id"))).alias("ranked")), "ranked")
-    first = F.col("ranked")[0]
-    anchors = ranked.select("window_id", "size", first["term_id"].alias("term_id"), first["place"].alias("place"))
-    starts = index.postings.join(small(anchors, BROADCAST_WINDOWS), "term_id").select(
-        "doc_id", "t", (F.col("pos") - F.col("place")).alias("start"), "window_id", "size").distinct()
-    spots = starts.join(ranked.select("window_id", F.explode("ranked").alias("r")), "window_id").select(
-        "doc_id", "t", "start", "window_id", "size", "r.term_id", F.col("r.place").alias("place"),
-        F.explode(F.sequence(F.lit(-slack), F.lit(slack))).alias("shift"))
-    spots = spots.withColumn("pos", F.col("start") + F.col("place") + F.col("shift"))
-    hits = spots.join(index.postings, _same_document(spots, index.postings) & (spots["term_id"] == index.postings["term_id"])
-                      & (spots["pos"] == index.postings["pos"]), "left_semi")
-    near = hits.select("doc_id", "t", "window_id", "size", "start", "place").distinct().groupBy(
-        "doc_id", "t", "window_id", "size", "start").agg(F.count("*").alias("near"))
-    return near.where(F.col("near") >= share * F.col("size")).groupBy("doc_id", "t", "window_id").agg(F.max("near").alias("near"))
+    ranked = places.join(counts, "term").groupBy("window_id", "size").agg(
+        F.sort_array(F.collect_list(F.struct("n", "place", "term"))).alias("ranked"))
+    need = F.ceil(F.lit(share) * F.col("size")).cast("int")
+    spare = F.greatest(F.lit(-1), F.size("ranked") - need)
+    ranked = ranked.select("window_id", "ranked", need.alias("need"), spare.alias("spare")).where("spare >= 0")
+    anchors = materialise(ranked.select(
+        "window_id", "need", "spare", F.transform("ranked", lambda r: F.struct(r["term"].alias("term"), r["place"].alias("place"))).alias("ranked"),
+        F.posexplode(F.slice("ranked", F.lit(1), F.col("spare") + 1)).alias("rank", "r"),
+    ).select("window_id", "need", "spare", "ranked", "rank", F.col("r.term").alias("term"), F.col("r.place").alias("place")), "anchors")
+    held = index.surroundings(anchors.select("term").distinct(), longest - 1 + slack)
+    absent = [F.when(~F.array_contains("around", F.get("ranked", F.lit(k))["term"]), 1).otherwise(0) for k in range(LOOKED_FIRST)]
+    spots = held.join(small(anchors, BROADCAST_WINDOWS), "term").where(sum(absent, F.lit(0)) <= F.col("spare"))
+    start = F.col("pos") - F.col("place") - F.col("first")
+
+    def there(r):
+        lo, hi = start + r["place"] - slack, start + r["place"] + slack
+        lo = F.greatest(F.lit(0), lo)
+        return F.array_contains(F.slice("around", lo + 1, F.greatest(F.lit(0), hi + 1 - lo)), r["term"])
+
+    near = spots.withColumn("near", F.size(F.filter("ranked", there))).where("near >= need")
+    best = near.groupBy("doc_id", "t", "window_id").agg(F.min(F.struct("rank", (-F.col("near")).alias("less"))).alias("best"))
+    return best.select("doc_id", "t", "window_id", (-F.col("best.less")).cast("bigint").alias("near"))
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+              item_text: str = "text", slack: int = 5, share: float = 0.8) -> DataFrame:
+    """``doc_id, t, n_words, n_near, items`` for every row of ``docs``: the benchmark windows that stand in it exactly or
+    nearly, counted, and the items that own them. NULLs, empty texts and repeated rows are treated as by ``contamination``."""
+    windows = materialise(benchmark_windows(benchmark, item_id, item_text), "windows")
+    index = PositionIndex(docs, windows.select(F.explode("terms").alias("term")), doc_id, text)
+    found = materialise(proximity_matches(index, windows, slack, share), "near")
+    counted = found.groupBy("doc_id", "t").agg(F.count("*").alias("n_near"))
+    owned = found.join(windows.select("window_id", "item_id"), "window_id").groupBy("doc_id", "t").agg(
+        F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    rows = index.documents
+    rows = rows.join(counted, _same_document(rows, counted), "left").select(rows["*"], "n_near")
+    rows = rows.join(owned, _same_document(rows, owned), "left").select(rows["*"], "items")
+    return rows.select(
+        "doc_id", "t", "n_words", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"),
+        F.sort_array(F.coalesce("items", F.array().cast("array<string>"))).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -42,6 +42,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark windows that stand in a document exactly or nearly, with the items that own them."""
+    found = decontaminate.proximity(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_near", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -103,8 +112,8 @@ def encoded(docs: DataFrame) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_url_filter, op2_secret_scan, op3_decontamination, op4_simhash, op5_exact_dedup, op6_quality, op7_language_id,
-        op8_toxicity, op9_substring_dedup, op10_sentencepiece)
+        op1_url_filter, op2_secret_scan, op3_decontamination, op3_proximity, op4_simhash, op5_exact_dedup, op6_quality,
+        op7_language_id, op8_toxicity, op9_substring_dedup, op10_sentencepiece)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -242,3 +242,83 @@ def test_url_rules(spark):
         fits = [(len(h) + len(p), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
         want = max(fits) if fits else (0, None, "allow")
         assert (found[i]["host"], found[i]["path"], found[i]["rule"], found[i]["verdict"]) == (host, path, want[1], want[2]), url
+
+
+def plain_near(docs, windows, slack=5, share=0.8):
+    """``{(doc_id, window): near}`` by looking around every occurrence of each window's rarest terms."""
+    import math
+
+    counts = defaultdict(int)
+    for w in docs.values():
+        for term in w:
+            counts[term] += 1
+    found = {}
+    for window in windows:
+        ranked = sorted((counts[term], place, term) for place, term in enumerate(window) if counts[term])
+        need = math.ceil(share * len(window))
+        for d, w in docs.items():
+            for _, place, term in ranked[: max(0, len(ranked) - need + 1)]:
+                starts = [p - place for p, x in enumerate(w) if x == term]
+                near = max((sum(x in w[max(0, s + q - slack) : max(0, s + q + slack + 1)] for _, q, x in ranked) for s in starts), default=0)
+                if near >= need:
+                    found[d, window] = near
+                    break
+    return found
+
+
+def test_proximity_with_changed_words(spark, monkeypatch):
+    """Passages with words replaced (each one in turn, so also the rarest), moved, left out and put in."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from rasterloom.llm import decontaminate as D
+
+    rng = random.Random(8)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(40)]
+    passage = [rng.choice(common) for _ in range(12)]
+    passage.insert(5, "rarest")
+    texts = [" ".join(rng.choices(common + rare, k=60)) for _ in range(25)] + ["rarest c1", "nothing"]
+    for i in range(13):
+        texts.append(" ".join([*rng.choices(common, k=i), *passage[:i], "other", *passage[i + 1 :], "end"]))
+    texts.append(" ".join(passage[:3] + passage[4:8] + ["x", "y"] + passage[8:]))
+    texts.append(" ".join(passage[:2] + passage[4:6] + passage[7:]))
+    for _ in range(20):
+        mixed = list(passage)
+        for _ in range(rng.randint(1, 4)):
+            i = rng.randrange(len(mixed))
+            mixed[i] = rng.choice([rng.choice(rare), mixed[i - 1]])
+        texts.append(" ".join(rng.choices(rare, k=7) + mixed + rng.choices(common, k=9)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(passage)), (2, " ".join(passage[2:9] + rare[:8])), (3, "r1 absent c2 r2")], "item_id int, text string")
+    windows = D.benchmark_windows(bench)
+    want = plain_near({i: t.split() for i, t in enumerate(texts)}, {tuple(r["terms"]) for r in windows.collect()})
+    assert all((27 + i, tuple(passage)) in want for i in range(13))
+    names = {r["window_id"]: tuple(r["terms"]) for r in windows.collect()}
+
+    def found():
+        index = D.PositionIndex(docs, windows.select(F.explode("terms").alias("term")))
+        return {(r["doc_id"], names[r["window_id"]]): r["near"] for r in D.proximity_matches(index, windows).collect()}
+
+    assert found() == want
+    monkeypatch.setattr(D, "small", lambda df, rows=0: df)
+    assert found() == want
+
+
+def test_proximity_query(spark, sf_dir, texts):
+    from rasterloom.llm.decontaminate import WINDOW
+
+    lower = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    owners = defaultdict(set)
+    for item, text in duckdb.sql(f"select item_id, text from '{sf_dir}/benchmark.parquet'").fetchall():
+        w = lower(text)
+        for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
+            owners[tuple(w[i : i + WINDOW])].add(str(item))
+    found = rows(QUERIES["op3_proximity"](spark, sf_dir))
+    exact = rows(QUERIES["op3_decontamination"](spark, sf_dir))
+    assert set(found) == set(exact) == set(texts)
+    some = {d: lower(texts[d]) for d in sorted(texts) if found[d]["n_near"] or d % 10 == 0}
+    for d, w in some.items():
+        text = f" {' '.join(w)} "
+        assert found[d]["n_near"] >= sum(f" {' '.join(g)} " in text for g in owners)
+        assert found[d]["n_items"] >= exact[d]["n_items"]
