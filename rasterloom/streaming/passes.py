@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.constants import FRAME_FILES
 from ..operators.frames import extraction_plan
 from ..session import materialise
 
@@ -63,40 +64,23 @@ def read_last(spark: SparkSession, sink: str, key: list[str], order: list[str])
     return last_rows(spark.read.parquet(sink).drop("batch"), key, order)
 
 
-def completed_videos(
-    stream: DataFrame, manifest: DataFrame, sink: str, checkpoint: str, within: tuple[str, str] | None = None
-) -> StreamingQuery:
+def completed_videos(stream: DataFrame, manifest: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Write each video to ``sink``/completed once, in the batch in which its last expected frame arrives.
 
-    Frame names count once. ``within`` (time column, delay) bounds how long a name is remembered; without it
-    every name is. Batches only ever add up small per-video counts, never the frames seen so far.
+    Only names of frames count, each once however late it is repeated: the stream's state remembers every name and the
+    number of names per video. A batch reads, besides its own counts, only the videos completed before it.
     """
-    name = ["video_id", "frame_name"]
-    if within:
-        new = stream.withWatermark(*within).dropDuplicatesWithinWatermark(name)
-    else:
-        new = stream.dropDuplicates(name)
+    new = stream.where(F.col("frame_name").rlike(FRAME_FILES)).dropDuplicates(["video_id", "frame_name"])
+    found = new.groupBy("video_id").agg(F.count("*").alias("found"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.groupBy("video_id").agg(F.count("*").alias("frames")).write.mode("overwrite").parquet(
-            f"{sink}/counts/batch={batch_id}"
-        )
-        counts = spark.read.schema("video_id string, frames bigint, batch bigint").parquet(f"{sink}/counts")
-        touched = counts.where(F.col("batch") == batch_id).select("video_id")
-        current = F.col("batch") == batch_id
-        totals = (
-            counts.where(F.col("batch") <= batch_id)
-            .join(touched, "video_id", "left_semi")
-            .groupBy("video_id")
-            .agg(F.sum("frames").alias("found"), F.sum(F.when(current, F.col("frames"))).alias("_new"))
-        )
-        done = totals.join(manifest.select("video_id", "frame_count"), "video_id").where(
-            (F.col("found") >= F.col("frame_count")) & (F.col("found") - F.col("_new") < F.col("frame_count"))
-        )
+        done = batch.join(manifest.select("video_id", "frame_count"), "video_id").where(F.col("found") >= F.col("frame_count"))
+        if batch_id:
+            before = batch.sparkSession.read.schema("video_id string, batch bigint").parquet(f"{sink}/completed")
+            done = done.join(before.where(F.col("batch") < batch_id), "video_id", "left_anti")
         done.select("video_id", "frame_count").write.mode("overwrite").parquet(f"{sink}/completed/batch={batch_id}")
 
-    return _drain(new.writeStream.foreachBatch(write), checkpoint)
+    return _drain(found.writeStream.outputMode("update").foreachBatch(write), checkpoint)
 
 
 def read_completed(spark: SparkSession, sink: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from rasterloom.session import scratch_path
@@ -42,6 +44,19 @@ def test_completion_is_reported_once(spark):
     assert done == [["b"], ["b"], ["a", "b"], ["a", "b"]]
 
 
+def test_other_files_and_late_repeats_complete_nothing(spark):
+    source, sink, progress = (scratch_path(spark, n) for n in ("s", "o", "c"))
+    manifest = spark.createDataFrame([("a", 3), ("late", 2)], "video_id string, frame_count int")
+    done = []
+    others = [("a", n, 0, 0) for n in ("cover.png", "processed_video.mp4")]
+    for rows in (names("a", 1, 2) + others, names("a", 1, 2, arrived=10**6) + names("late", 1), names("a", 3), names("late", 1, 2)):
+        add(spark, source, rows)
+        P.completed_videos(P.frame_stream(spark, source, FRAME), manifest, sink, progress)
+        done.append(sorted((r.video_id, r.frame_count) for r in P.read_completed(spark, sink).collect()))
+    assert done == [[], [], [("a", 3)], [("a", 3), ("late", 2)]]
+    assert not (Path(sink.split(":", 1)[-1]) / "counts").exists()
+
+
 def test_last_write_wins_and_a_repeated_batch_changes_nothing(spark):
     source, sink, progress = (scratch_path(spark, n) for n in ("s", "o", "c"))
     key, order = ["video_id", "frame_name"], ["arrived", "payload"]
