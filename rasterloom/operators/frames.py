@@ -110,14 +110,17 @@ def timeline(frames: DataFrame, manifest: DataFrame, probes: DataFrame | None =
     """Ordered listing with start and duration; the last frame is listed once more without a duration.
 
     Where the manifest's rate is absent, not finite or not positive, that of ``probes(video_id, fps)`` counts, then the
-    default.
+    default. Every frame is listed, also of a video that the manifest lacks or that has a NULL id.
     """
-    rates = manifest.select("video_id", "fps")
+    listed = natural_index(frames)
+    rates = manifest.select(F.col("video_id").alias("_video"), "fps")
+    rated = listed.join(rates, listed["video_id"].eqNullSafe(rates["_video"]), "left").drop("_video")
     if probes is not None:
         finite = ~F.isnan("fps") & (F.col("fps") > 0) & (F.col("fps") < float("inf"))
-        probed = probes.groupBy("video_id").agg(F.max("fps").alias("_probed"))
-        rates = rates.join(probed, "video_id", "left").withColumn("fps", F.when(finite, F.col("fps")).otherwise(F.col("_probed"))).drop("_probed")
-    rated = natural_index(frames).join(rates.withColumn("fps", usable_rate(F.col("fps"))), "video_id")
+        probed = probes.groupBy(F.col("video_id").alias("_video")).agg(F.max("fps").alias("_probed"))
+        rated = rated.join(probed, rated["video_id"].eqNullSafe(probed["_video"]), "left").drop("_video").withColumn(
+            "fps", F.when(finite, F.col("fps")).otherwise(F.col("_probed"))).drop("_probed")
+    rated = rated.withColumn("fps", usable_rate(F.col("fps")))
     shown = F.struct(
         F.col("frame_idx").alias("pos"), (F.col("frame_idx") / F.col("fps")).alias("start"),
         (F.lit(1.0) / F.col("fps")).alias("duration"),

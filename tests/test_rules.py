@@ -313,6 +313,20 @@ def test_unusable_rate_falls_back(spark):
     assert shown == {"a": 0.1, "b": 1 / 24, "c": 0.02, "d": 0.05}
 
 
+def test_timeline_of_videos_without_a_manifest(spark):
+    schema = "video_id string, fps double"
+    frames = spark.createDataFrame([(v, f"frame_{i:08d}.png") for v in ("a", "b", "c", None) for i in (1, 2)], "video_id string, frame_name string")
+    manifest, probes = spark.createDataFrame([("a", 10.0)], schema), spark.createDataFrame([("b", 50.0), (None, 20.0)], schema)
+
+    def shown(*rates):
+        rows = V.timeline(frames, *rates).collect()
+        assert len(rows) == 12
+        return {r.video_id: r.duration for r in rows if r.pos == 0}
+
+    assert shown(manifest, probes) == {"a": 0.1, "b": 0.02, "c": 1 / 24, None: 0.05}
+    assert shown(manifest) == {"a": 0.1, "b": 1 / 24, "c": 1 / 24, None: 1 / 24}
+
+
 def test_same_file_in_two_folders(spark):
     sources = spark.createDataFrame([("one", "p", 5, 7)], "video_id string, path string, size long, mtime long")
     manifest = spark.createDataFrame([("one", "p", 5, 7), ("two", "p", 6, 7)], "video_id string, path string, size long, mtime long")
