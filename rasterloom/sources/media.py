@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import VIDEO_SUFFIXES
+from ..functions.constants import IMAGE_SUFFIXES, VIDEO_SUFFIXES
 from ..functions.text import natural_key
 from ..operators.frames import supported
 
@@ -25,3 +25,8 @@ def list_media(
     relative = F.substr(F.col("path"), F.instr("path", F.lit(folder)) + F.lit(len(folder)))
     listed = files.where(supported(F.col("path"), suffixes)).withColumn("path", relative)
     return listed.orderBy(natural_key(F.col("path")), "path") if natural else listed.orderBy("path")
+
+
+def list_images(spark: SparkSession, root: str, suffixes: list[str] = IMAGE_SUFFIXES) -> DataFrame:
+    """Like ``list_media`` for the image files of one folder, in natural order."""
+    return list_media(spark, root, suffixes, recursive=False, natural=True)

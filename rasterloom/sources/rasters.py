@@ -45,14 +45,36 @@ def unpack_images(images: DataFrame) -> DataFrame:
     return columns.mapInArrow(_pixels, _PIXEL_SCHEMA.format(key=key))
 
 
+#: A PNG file begins so; colour type 4, grey with alpha, stands in its 26th byte.
+PNG_BEGIN, GREY_ALPHA = "89504E470D0A1A0A", "04"
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, path, error`` and the decoded columns of every file under ``path``; ``error`` is NULL for usable images.
+
+    Spark's image source hands grey images with alpha on without their alpha, so they are told by their header.
+    """
+    images = spark.read.format("image").load(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("image.origin").alias("path"), F.col("image.height").alias("height"),
+        F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    part = lambda at, n: F.hex(F.substring("content", at, n))
+    alpha = spark.read.format("binaryFile").load(path).where((part(1, 8) == PNG_BEGIN) & (part(26, 1) == GREY_ALPHA)).select(
+        F.col("_metadata.file_path").alias("file"), F.lit(True).alias("_alpha"))
+    error = F.when(F.coalesce(F.col("height") <= 0, F.lit(True)), "unreadable").when(F.col("_alpha"), "grey with alpha")
+    return images.join(alpha, "file", "left").withColumn("error", error).drop("_alpha")
+
+
+def raster_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """``path, error``: the files under ``path`` that ``read_rasters`` leaves out, as they can't be decoded or would lose
+    their alpha."""
+    return _files(spark, path).where(F.col("error").isNotNull()).select("path", "error")
+
+
 def read_rasters(spark: SparkSession, path: str, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Colour pixels and mask of all readable images under ``path``.
+    """Colour pixels and mask of all usable images under ``path``; ``raster_rejects`` lists the others.
 
     Images are known by their path, or by ``ids`` (path, image_id) where given.
     """
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select(
-        F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"),
-        F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
-    )
+    images = _files(spark, path).where(F.col("error").isNull()).drop("file", "error")
     keyed = images.withColumnRenamed("path", "image_id") if ids is None else images.join(ids, "path")
     return normalise(unpack_images(keyed))

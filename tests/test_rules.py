@@ -355,3 +355,27 @@ def test_texts_with_any_white_space_and_long_numbers(value):
     low, high = "a" + "0" * 3 + "9" * 40, "a" + "1" + "0" * 40
     assert value(X.natural_key(F.lit(low)) < X.natural_key(F.lit(high)))
     assert value(X.natural_key(F.lit("a10")) > X.natural_key(F.lit("a9")))
+
+
+def test_images_that_cannot_be_read_whole_are_rejected(spark, tmp_path):
+    import struct
+    import zlib
+
+    from rasterloom.sources.media import list_images
+    from rasterloom.sources.rasters import raster_rejects, read_rasters
+
+    def png(kind, pixel):
+        chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+        rows = b"".join(b"\0" + bytes(pixel) * 2 for _ in range(2))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+    files = {"grey 10.png": png(0, [9]), "alpha 2.png": png(4, [9, 200]), "rgba.PNG": png(6, [1, 2, 3, 51]), "broken.jpg": b"no image", "note.txt": b"text"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    last = lambda path: path.replace("%20", " ").rsplit("/", 1)[-1]
+    assert {last(r.path): r.error for r in raster_rejects(spark, str(tmp_path)).collect()} == {
+        "alpha 2.png": "grey with alpha", "broken.jpg": "unreadable", "note.txt": "unreadable"}
+    image, mask = read_rasters(spark, str(tmp_path))
+    assert image.count() == 2 * 4 * 3
+    assert {(last(r.image_id), round(r.m, 6)) for r in mask.collect()} == {("grey 10.png", 0.0), ("rgba.PNG", 0.8)}
+    assert [r.path for r in list_images(spark, str(tmp_path)).collect()] == ["alpha 2.png", "broken.jpg", "grey 10.png", "rgba.PNG"]
