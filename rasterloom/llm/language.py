@@ -12,6 +12,7 @@ pass starts every block from its exact messages. Neither memory nor exactness de
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -35,8 +36,6 @@ TRAIN_WORDS = 64
 STEPS = 40
 #: A lexicon word occurs in at least this many texts of the sample.
 LEXICON_TEXTS = 3
-#: Documents in which no language reaches this mean probability are rejected by ``keep_known``.
-LEAST_SCORE = 0.4
 #: Words whose scores a worker remembers at most; words and blocks that are worked on at a time.
 REMEMBERED = 400_000
 SEGMENT, BLOCK = 1 << 18, 128
@@ -276,13 +275,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | No
     """A field fitted to a bounded sample of the labelled rows of ``docs``; None where there are none.
 
     The sample has at most TRAIN_TEXTS different texts of each of at most TRAIN_LANGUAGES languages, evenly by text
-    hash, and at most TRAIN_WORDS words of each.
+    hash, and at most TRAIN_WORDS words of each. A warning says where there are more languages.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGUAGES + 1).collect()
     if not counts:
         return None
+    if len(counts) > TRAIN_LANGUAGES:
+        warnings.warn(f"more than {TRAIN_LANGUAGES} labelled languages: the rarer ones are never predicted", stacklevel=2)
+        counts = counts[:TRAIN_LANGUAGES]
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * TRAIN_TEXTS / r["n"]))])
     picked = F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20)
     terms = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))
@@ -402,11 +404,11 @@ def held_out(doc_id: str = "doc_id"):
     return remainder(F.col(doc_id), 4) == 2
 
 
-def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` in a recognised language, with their columns.
 
-    Rejected are texts without a letter and texts in which no language reaches ``least``. Where ``docs`` has no labelled
-    row nothing can be recognised and all rows with a letter stay.
+    Rejected are texts without a letter only: however evenly a text mixes languages, it has one with the greatest mean
+    probability. Where ``docs`` has no labelled row nothing can be recognised and all rows with a letter stay.
     """
     model = train(docs.where(~held_out(doc_id)), text, lang)
     if model is None:
@@ -414,5 +416,4 @@ def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     found = identify(plain, model, plain.columns, f"c{names.index(text)}")
-    found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least))
-    return found.select(*plain.columns).toDF(*names)
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*plain.columns).toDF(*names)

@@ -219,3 +219,30 @@ def test_missing_random_strings_are_reported(spark):
     docs = spark.createDataFrame([(1, "nothing secret stands here")], "doc_id bigint, text string")
     with pytest.warns(UserWarning, match="no random string"):
         assert not any(secrets.train_markov(docs))
+
+
+def switching(spark, count):
+    """Labelled texts of made-up languages, and one text that mixes all of them evenly."""
+    letters = ["bdg", "lmn", "rst", "vwz", "fhk", "cpq"][:count]
+    words = [[a + v + b + u for a in three for b in three for v, u in ("ai", "eo", "ou")] for three in letters]
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(words[i % count], 20)), f"l{i % count}") for i in range(60 * count)]
+    mixed = " ".join(" ".join(w[:8]) for w in words)
+    return spark.createDataFrame([*rows, (9000, mixed, None), (9001, "12 ?", None), (9002, None, None)], "doc_id bigint, text string, lang string")
+
+
+def test_texts_that_mix_languages_evenly_stay(spark):
+    docs = switching(spark, 4)
+    model = language.train(docs)
+    mixed = language.identify(docs.where("doc_id = 9000"), model, ["doc_id"]).first()
+    assert mixed["lang_pred"] != "und" and mixed["lang_score"] < 0.4
+    gone = {r["doc_id"] for r in docs.join(language.keep_known(docs), "doc_id", "left_anti").collect()}
+    assert gone == {9001, 9002}
+
+
+def test_too_many_languages_are_reported(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(language, "TRAIN_LANGUAGES", 2)
+    with pytest.warns(UserWarning, match="more than 2 labelled languages"):
+        assert len(language.train(switching(spark, 3)).languages) == 2
