@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import remainder
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-#: Words of a window, and how far on the next one starts: windows overlap by a third.
-WINDOW, STRIDE = 24, 16
+#: Words of a window, and how far on the next one starts: every passage of up to WINDOW - STRIDE + 1 words lies whole in one.
+WINDOW, STRIDE = 24, 4
 #: Width of the word and character inputs, of each direction's state, and number of character buckets.
 WORD_DIM, CHAR_DIM, STATE, BUCKETS = 8, 8, 8, 1024
 #: The fit takes at most this many labelled texts of each class, none longer than TRAIN_CHARS code points.

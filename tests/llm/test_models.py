@@ -246,3 +246,9 @@ def test_too_many_languages_are_reported(spark, monkeypatch):
     monkeypatch.setattr(language, "TRAIN_LANGUAGES", 2)
     with pytest.warns(UserWarning, match="more than 2 labelled languages"):
         assert len(language.train(switching(spark, 3)).languages) == 2
+
+
+def test_passages_lie_whole_in_a_window_wherever_they_stand():
+    for n in (20, 24, 25, 41, 100):
+        _, at = toxicity.windows(np.array([n]))
+        assert all(any(a <= p and p + 20 <= a + toxicity.WINDOW for a in at) for p in range(n - 20 + 1))
