@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -13,6 +15,28 @@ def apply_per_frame(
 ) -> DataFrame:
     """Run array code on each frame's pixels, gathered as one pandas frame per frame of a video.
 
-    Column logic needs none of this: ``frames.transform(fn)`` keeps it in generated code.
+    Column logic needs none of this: ``frames.transform(fn)`` keeps it in generated code. All pixel rows of a frame meet
+    in one Python group, so this is for small frames; ``apply_per_packed_frame`` takes large ones.
     """
     return frames.groupBy(*key).applyInPandas(fn, schema)
+
+
+def apply_per_packed_frame(frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Run array code on frames that are one row each: (height, width, channels, data) besides other columns.
+
+    ``data`` holds the bytes of an array (height, width, channels); ``fn`` gives back bytes of the same shape. Rows stay
+    where they are and one frame at a time is unpacked, as bytes and not as keyed pixel rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("data")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                shape = tuple(row.column(row.schema.get_field_index(n))[0].as_py() for n in ("height", "width", "channels"))
+                done = np.asarray(fn(np.frombuffer(row.column(at)[0].as_buffer(), np.uint8).reshape(shape)), np.uint8)
+                if done.shape != shape:
+                    raise ValueError(f"a frame of shape {shape} came back as {done.shape}")
+                yield row.set_column(at, row.schema.field(at), pa.array([done.tobytes()], row.schema.field(at).type))
+
+    return frames.mapInArrow(run, frames.schema)

@@ -379,3 +379,13 @@ def test_images_that_cannot_be_read_whole_are_rejected(spark, tmp_path):
     assert image.count() == 2 * 4 * 3
     assert {(last(r.image_id), round(r.m, 6)) for r in mask.collect()} == {("grey 10.png", 0.0), ("rgba.PNG", 0.8)}
     assert [r.path for r in list_images(spark, str(tmp_path)).collect()] == ["alpha 2.png", "broken.jpg", "grey 10.png", "rgba.PNG"]
+
+
+def test_hook_on_packed_frames(spark):
+    from rasterloom.operators.hooks import apply_per_packed_frame
+
+    frames = spark.createDataFrame(
+        [("a", 0, 2, 3, 1, bytearray(range(6))), ("a", 1, 1, 2, 3, bytearray(range(6)))],
+        "video_id string, frame_idx int, height int, width int, channels int, data binary")
+    done = {r.frame_idx: bytes(r.data) for r in apply_per_packed_frame(frames, lambda a: a[:, ::-1]).collect()}
+    assert done == {0: bytes([2, 1, 0, 5, 4, 3]), 1: bytes([3, 4, 5, 0, 1, 2])}
