@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, quality, secrets, sentencepieces, simhash, substring_dedup, toxicity, url_filter
+from . import (
+    decontaminate, exact_dedup, hard_negatives, language, line_dedup, quality, secrets, sentencepieces, simhash, substring_dedup,
+    toxicity, url_filter)
 from .common import table
 
 #: The rules of the URL query, as (host, path, verdict).
@@ -109,11 +111,25 @@ def encoded(docs: DataFrame) -> DataFrame:
         "doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.xxhash64("decoded") == F.col("_plain")).alias("round_trip"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the ids divisible by 100; a seventh of the rows gets the next label first, as label noise."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("int").alias("label"),
+        F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(
+            F.floor(F.lit(256.0) * x.cast("double")).cast("double"))).alias("v"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_lines(docs, result=lambda kept: F.sha2(kept, 256)).withColumnRenamed("kept", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_secret_scan, op3_decontamination, op3_proximity, op4_simhash, op5_exact_dedup, op6_quality,
-        op7_language_id, op8_toxicity, op9_substring_dedup, op10_sentencepiece)
+        op7_language_id, op8_toxicity, op9_substring_dedup, op10_sentencepiece, op11_hard_negatives, op13_line_dedup)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -173,5 +189,36 @@ gone as (
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(ps), 0) as bigint) as n_removed,
   sha256(coalesce(array_to_string(case when ps is null then w else list_filter(w, lambda x, i: not list_contains(ps, i)) end, ' '), '')) as kept_sha256
 from docs left join gone using (doc_id)
+""",
+    "op11_hard_negatives": """
+with sound as (
+  select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as int) as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, a.label as own, r.vec_id, r.label, cast(list_inner_product(a.v, r.v) as bigint) as score
+  from sound a join sound r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where label = own
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as int) as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from scored join positives using (anchor_id)
+where label <> own and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 10
+""",
+    "op13_line_dedup": r"""
+with docs as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+keyed as (
+  select r, doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos,
+    translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from docs),
+often as (select k from keyed where k <> '' group by k having count(distinct r) >= 10),
+marked as (select r, doc_id, line, pos, k in (select k from often) as gone from keyed)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by r, doc_id
 """,
 }
