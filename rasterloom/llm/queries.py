@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, exact_dedup, hard_negatives, language, line_dedup, quality, secrets, sentencepieces, simhash, substring_dedup,
+    alignment, decontaminate, exact_dedup, hard_negatives, language, line_dedup, quality, secrets, sentencepieces, simhash, substring_dedup,
     toxicity, url_filter)
 from .common import table
 
@@ -120,6 +120,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, groups=lambda g: F.when(g == "", "").otherwise(F.sha2(g, 256)))
+    return found.rows.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_repeated_lines(docs, result=lambda kept: F.sha2(kept, 256)).withColumnRenamed("kept", "kept_sha256")
@@ -129,7 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_secret_scan, op3_decontamination, op3_proximity, op4_simhash, op5_exact_dedup, op6_quality,
-        op7_language_id, op8_toxicity, op9_substring_dedup, op10_sentencepiece, op11_hard_negatives, op13_line_dedup)
+        op7_language_id, op8_toxicity, op9_substring_dedup, op10_sentencepiece, op11_hard_negatives, op12_token_alignment, op13_line_dedup)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

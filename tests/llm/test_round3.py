@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
+import json
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rasterloom.llm import alignment as A
 from rasterloom.llm import hard_negatives as H
 from rasterloom.llm import line_dedup as L
+from rasterloom.llm.queries import QUERIES
 
 
 def plain_key(line):
@@ -125,3 +129,83 @@ def test_negatives_of_odd_rows(spark):
     assert mined(df, [100]) == wanted
     assert mined(df.limit(0), [100]) == set() and mined(df, [77]) == set()
     assert mined(df.where("vec_id = 4 or vec_id is null"), [4]) == set()
+
+
+def plain_alignment(texts):
+    """Both public libraries on whole texts, and every pair of overlapping tokens by their byte ranges."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(A.MODEL_A)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=A.MODEL_B)
+    names = {i: t for t, i in json.loads(a.to_str())["model"]["vocab"].items()}
+    letters = A.byte_letters()
+    found = []
+    for text in texts:
+        ids_a = a.encode(" " + text, add_special_tokens=False).ids if text else []
+        ids_b = b.encode(text) if text else []
+        bytes_a = [bytes(letters[c] for c in names[i]) for i in ids_a]
+        pieces = [b.id_to_piece(i) for i in ids_b]
+        bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("\u2581", " ").encode() for p, i in zip(pieces, ids_b, strict=True)]
+        if not text or b"".join(bytes_a) != (" " + text).encode() or b"".join(bytes_b) != (" " + text).encode():
+            found.append(([], [], [], []))
+            continue
+        ends_a, ends_b = np.cumsum([len(x) for x in bytes_a]), np.cumsum([len(x) for x in bytes_b])
+        groups, i, j = [], 0, 0
+        for end in sorted({*ends_a.tolist()} & {*ends_b.tolist()}):
+            p, q = int(np.searchsorted(ends_a, end)) + 1, int(np.searchsorted(ends_b, end)) + 1
+            groups.append(f"{','.join(map(str, ids_a[i:p]))}|{','.join(map(str, ids_b[j:q]))}")
+            i, j = p, q
+        starts_a, starts_b = np.concatenate(([0], ends_a[:-1])), np.concatenate(([0], ends_b[:-1]))
+        links = []
+        for k, x in enumerate(ids_a):
+            lo, hi = np.searchsorted(ends_b, starts_a[k], side="right"), np.searchsorted(starts_b, ends_a[k], side="left")
+            links += [(x, ids_b[m]) for m in range(lo, hi)]
+        found.append((ids_a, ids_b, groups, links))
+    held = Counter(pair for *_, links in found for pair in set(links))
+    best = defaultdict(int)
+    for (x, _), n in held.items():
+        best[x] = max(best[x], n)
+    return [
+        (len(ids_a), len(ids_b), len(groups), len(links), sum(held[p] == best[p[0]] for p in links), sum(held[p] for p in links), ";".join(groups))
+        for ids_a, ids_b, groups, links in found]
+
+
+NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+ODD_TEXTS = [
+    None, "", " ", "  ", "   a  b   ", "a", "\n\n  a\n b \n", "\ta\t\tb\x1c \x1cc\x85 d\xa0 e\u2003 f", "<|endoftext|> <s></s><unk> <0x41>", "a\u2581b",
+    "\u2581", "naïve café – 東京タワー ∑∂ 🦊🦊", "it's we'll I'M 123456 7,8.9 !!! ...", "\x00 \x00a", "same same same same", "aaaaaaaaaaaaaaaaaaaa" * 40,
+    "same same", "x" * 3000 + " y", "e\u0301 \u0301 e", "word " * 5000,
+]
+
+
+def test_alignment_equals_plain_python(spark):
+    rows = [(i if i % 4 else None, t, "k", [1]) for i, t in enumerate(ODD_TEXTS)] + [(1, "same same", "k", [2])] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, key string, pairs array<int>")
+    found = A.align(docs)
+    got = sorted(tuple(r[c] for c in [*NUMBERS, "groups"]) for r in found.rows.collect())
+    assert got == sorted(plain_alignment([r[1] for r in rows]))
+    empty = A.align(docs.limit(0))
+    assert empty.rows.count() == 0 and empty.pairs.count() == 0
+
+
+def test_alignment_query(spark, sf_dir, texts):
+    found = {r["doc_id"]: r for r in QUERIES["op12_token_alignment"](spark, sf_dir).collect()}
+    assert set(found) == set(texts)
+    for (doc_id, _), wanted in zip(texts.items(), plain_alignment(list(texts.values())), strict=True):
+        own = found[doc_id]
+        assert tuple(own[c] for c in NUMBERS) == wanted[:6]
+        assert own["groups_sha256"] == (hashlib.sha256(wanted[6].encode()).hexdigest() if wanted[6] else "")
+
+
+def test_irregular_groups_alone_enter_the_pairs(spark):
+    """A pair of tokens with the same bytes is counted in the vector, also where it overlaps in an irregular group."""
+    models = A.read_models()
+    aligner = A.Aligner(models)
+    docs = spark.createDataFrame([(1, "the cat naïvety"), (2, "the the dog")], "doc_id bigint, text string")
+    found = A.align(docs, models)
+    the = models.ranks[b" the"]
+    assert found.same[0][the] == 2 and aligner.same[the] >= 0
+    for r in found.pairs.collect():
+        assert aligner.same[r["pair"] >> 32] != r["pair"] & 0xFFFFFFFF
