@@ -1,8 +1,4 @@
-"""Resampling kernels in scatter form: which outputs an input pixel feeds, and with what weight.
-
-Weights are relative; dividing by their sum per output normalises them, also at the image edge.
-Half-pixel centres; kernels widen by the scale when shrinking.
-"""
+"""Fixed values of the resampling kernels, and nearest neighbour in scatter form: which outputs an input pixel feeds."""
 
 from __future__ import annotations
 
@@ -27,47 +23,10 @@ def _ceil_div(a: Column, b: Column) -> Column:
 
 
 def output_range(i: Column, n_in: Column, n_out: Column, method: Column) -> tuple[Column, Column]:
-    """First and last output index that input ``i`` may feed."""
+    """First and last output index that take input ``i`` as their nearest."""
     big = lambda c: c.cast("bigint")
     i, n_in, n_out = big(i), big(n_in), big(n_out)
-    scale = n_in.cast("double") / n_out
-    radius = (
-        F.when(method == "bilinear", TRIANGLE_RADIUS).when(method == "bicubic", CUBIC_RADIUS).otherwise(LANCZOS_RADIUS)
-    )
-    reach = radius * F.greatest(scale, F.lit(1.0))
-    centre = i + 0.5
-    first = (
-        F.when(method == "nearest-exact", _ceil_div(2 * n_out * i - n_in, 2 * n_in))
-        .when(method == LEGACY_NEAREST, _ceil_div(i * n_out, n_in))
-        .when(method == "area", F.floor((i * n_out).cast("double") / n_in))
-        .otherwise(F.ceil((centre - reach) / scale - 0.5))
-    )
-    last = (
-        F.when(method == "nearest-exact", _ceil_div(2 * n_out * (i + 1) - n_in, 2 * n_in) - 1)
-        .when(method == LEGACY_NEAREST, _ceil_div((i + 1) * n_out, n_in) - 1)
-        .when(method == "area", _ceil_div((i + 1) * n_out, n_in) - 1)
-        .otherwise(F.floor((centre + reach) / scale - 0.5))
-    )
+    legacy = method == LEGACY_NEAREST
+    first = F.when(legacy, _ceil_div(i * n_out, n_in)).otherwise(_ceil_div(2 * n_out * i - n_in, 2 * n_in))
+    last = F.when(legacy, _ceil_div((i + 1) * n_out, n_in) - 1).otherwise(_ceil_div(2 * n_out * (i + 1) - n_in, 2 * n_in) - 1)
     return F.greatest(F.lit(0), first).cast("int"), F.least(n_out - 1, last).cast("int")
-
-
-def distance(o: Column, i: Column, n_in: Column, n_out: Column) -> Column:
-    """Distance of an input pixel's centre from an output's, in kernel units."""
-    scale = n_in.cast("double") / n_out
-    return F.abs(i + 0.5 - scale * (o + 0.5)) / F.greatest(scale, F.lit(1.0))
-
-
-def kernel(t: Column, method: Column) -> Column:
-    """Relative weight at distance ``t``; one for the methods that only count cells."""
-    near = ((CUBIC_A + 2) * t - (CUBIC_A + 3)) * t * t + 1
-    far = CUBIC_A * (((t - 5) * t + 8) * t - 4)
-    cubic = F.when(t < 1, near).when(t < CUBIC_RADIUS, far).otherwise(0.0)
-    angle = t * F.pi()
-    window = LANCZOS_RADIUS * F.sin(angle) * F.sin(angle / LANCZOS_RADIUS) / (angle * angle)
-    lanczos = F.when(t == 0, 1.0).when(t < LANCZOS_RADIUS, window).otherwise(0.0)
-    return (
-        F.when(method == "lanczos", lanczos)
-        .when(method == "bilinear", F.greatest(F.lit(0.0), 1.0 - t))
-        .when(method == "bicubic", cubic)
-        .otherwise(1.0)
-    )

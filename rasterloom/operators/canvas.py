@@ -14,7 +14,8 @@ from ..functions.geometry import cover_size
 from ..functions.kernels import span
 from ..functions.text import parse_color
 from .ordering import spread_range
-from .resample import PIXEL, STRIP, blend, nearest_planned, resample_planned, strips, with_sizes
+from .packed import along_both, axis, packed, unpack
+from .resample import PIXEL, nearest_planned, with_sizes
 
 # Canvas rows listed by one task at a time.
 CANVAS_ROWS = 256
@@ -73,8 +74,8 @@ def all_cells(df: DataFrame, key: list[str], height: Column, width: Column) -> D
 
 
 def channel_counts(raster: DataFrame) -> DataFrame:
-    """Channels per image, read off its first pixel."""
-    return raster.where("y = 0 and x = 0").groupBy("image_id").agg((F.max("c") + 1).alias("channels"))
+    """Channels per image, read off its first pixel or packed row."""
+    return raster.where("y = 0 and x0 = 0" if "row" in raster.columns else "y = 0 and x = 0").groupBy("image_id").agg((F.max("c") + 1).alias("channels"))
 
 
 def with_placement(plan: DataFrame, *columns: str) -> DataFrame:
@@ -143,72 +144,39 @@ def pad_edge_mean(raster: DataFrame, plan: DataFrame) -> DataFrame:
     return place(raster, plan).select(*PIXEL).unionByName(border.select(*PIXEL))
 
 
-def _blur_facts(sigma: Column) -> dict[str, Column]:
-    radius = F.greatest(F.lit(1), F.floor(sigma * 3.0)).cast("int")
-    bell = lambda d: F.exp(-(d * d) / (2.0 * sigma * sigma))
-    total = F.aggregate(F.sequence(-radius, radius), F.lit(0.0), lambda s, d: s + bell(d))
-    return {"sigma": sigma, "radius": radius, "total": total}
-
-
-def blur_planned(df: DataFrame) -> DataFrame:
-    """Separable Gaussian over pixels that carry ``p`` (w, h, sigma, radius, total).
+def gaussian_blur(raster: DataFrame, sizes: DataFrame, sigma: Column) -> DataFrame:
+    """Blur whole images, pixels or packed rows; ``sizes`` has image_id, width, height and what ``sigma`` reads.
 
     What lies outside the image counts as zero, so edges darken: the divisor is the whole kernel's sum.
     """
-    p = lambda name: F.col(f"p.{name}")
-
-    def outputs(axis, size):
-        at = F.col(axis)
-        return F.greatest(F.lit(0), at - p("radius")), F.least(p(size) - 1, at + p("radius"))
-
-    apart = lambda axis: (F.col("_o") - F.col(axis)) / p("sigma")
-    bell = F.exp(F.col("_t") * F.col("_t") * -0.5)
-    summed = F.col("_vw") / p("total")
-    spread = strips(df, *outputs("x", "w"), F.lit(STRIP))
-    across = blend(
-        spread, "x", span(F.col("_first"), F.col("_last")), apart("x"), bell,
-        ["image_id", "p", "c", "_strip", "y"], summed,
-    )
-    down = blend(
-        across, "y", span(*outputs("y", "h")), apart("y"), bell, ["image_id", "p", "c", "_strip", "x"], summed
-    )
-    return down.select("image_id", "p", "y", "x", "c", "v")
-
-
-def gaussian_blur(raster: DataFrame, sizes: DataFrame, sigma: Column) -> DataFrame:
-    """Blur whole images; ``sizes`` has image_id, width, height and what ``sigma`` reads."""
-    sized = with_sizes(raster, sizes, w=F.col("width"), h=F.col("height"), **_blur_facts(sigma))
-    return blur_planned(sized).drop("p")
+    sized = with_sizes(packed(raster), sizes, ax=axis(F.col("width"), sigma=sigma), ay=axis(F.col("height"), sigma=sigma))
+    return unpack(along_both(sized.select("*", "p.*")))
 
 
 def blur_background(raster: DataFrame, plan: DataFrame) -> DataFrame:
-    """The dimmed, blurred, covering copy of each image on its whole output canvas."""
+    """Packed strips of the blurred, covering copy of each image on its whole output canvas, before it is dimmed.
+
+    Each axis is resampled, cut to the canvas and blurred in one go, so pixels or packed rows move once.
+    """
     c = F.col
     cover = cover_size(c("out_w"), c("out_h"), c("resized_w"), c("resized_h"))
     sigma = F.greatest(F.lit(1.0), BLUR_SIGMA_PER_PIXEL * F.least(c("out_w"), c("out_h")))
-    facts = plan.withColumn("_cover", cover)
+    method = F.lit("bilinear")
     sized = with_sizes(
-        raster, facts, sw=c("resized_w"), sh=c("resized_h"), w=c("_cover.w"), h=c("_cover.h"),
-        method=F.lit("bilinear"), x=c("_cover.x"), y=c("_cover.y"), tw=c("out_w"), th=c("out_h"),
-        left=c("pad.left"), top=c("pad.top"), bw=c("resized_w"), bh=c("resized_h"), **_blur_facts(sigma),
-    )
-    moved = resample_planned(sized).select(
-        "image_id", (c("y") - c("p.y")).alias("y"), (c("x") - c("p.x")).alias("x"), "c", "v",
-        F.struct(
-            c("p.tw").alias("w"), c("p.th").alias("h"), c("p.sigma").alias("sigma"), c("p.radius").alias("radius"),
-            c("p.total").alias("total"), c("p.left").alias("left"), c("p.top").alias("top"), c("p.bw").alias("bw"),
-            c("p.bh").alias("bh"),
-        ).alias("p"),
+        packed(raster), plan.withColumn("_cover", cover),
+        ax=axis(c("resized_w"), c("_cover.w"), method, c("_cover.x"), c("out_w"), sigma),
+        ay=axis(c("resized_h"), c("_cover.h"), method, c("_cover.y"), c("out_h"), sigma),
     )
-    window = moved.where("x >= 0 and y >= 0 and x < p.w and y < p.h")
-    dimmed = F.least(F.lit(1.0), F.greatest(F.lit(0.0), c("v") * BLUR_DIMMING))
-    return blur_planned(window).withColumn("v", dimmed)
+    return along_both(sized.select("*", "p.*"))
 
 
 def blur_around(raster: DataFrame, plan: DataFrame) -> DataFrame:
-    """The blurred background outside the image box."""
-    box = "x >= p.left and x < p.left + p.bw and y >= p.top and y < p.top + p.bh"
-    return blur_background(raster, plan).where(f"not ({box})").select(*PIXEL)
+    """The dimmed, blurred background outside the image box."""
+    boxes = with_sizes(blur_background(raster, plan), plan, **_placement(plan))
+    beside = "y < p.top or y >= p.top + p.h or x < p.left or x >= p.left + p.w"
+    cells = boxes.select("image_id", "y", "c", "x0", "p", F.posexplode("row").alias("_at", "v")).withColumn("x", F.col("x0") + F.col("_at"))
+    dimmed = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("v") * BLUR_DIMMING))
+    return cells.where(beside).withColumn("v", dimmed).select(*PIXEL)
 
 
 def pad_blur(raster: DataFrame, plan: DataFrame) -> DataFrame:

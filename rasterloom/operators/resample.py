@@ -1,21 +1,22 @@
-"""Resampling of pixel tables (image_id, y, x, c, v).
+"""Resampling of images as pixel tables (image_id, y, x, c, v) or packed rows (see ``packed``).
 
-An input pixel is scattered to the outputs it feeds and the weighted values are summed per output. The
-pixels of a vertical strip of outputs are brought together once, by (image, strip); the horizontal
-and the vertical pass then both run inside that strip without another exchange. A strip is at most
-``STRIP`` input or output columns wide plus the kernel's reach, so a single giant image is spread over many
-tasks.
+Rows are resampled as arrays where they are; strips of columns are brought together once for the other axis. Nearest
+neighbour copies pixels to the outputs that pick them and needs no exchange at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import RESAMPLE_METHODS
-from ..functions.kernels import LEGACY_NEAREST, distance, kernel, output_range, span
-
-STRIP = 256
+from ..functions.kernels import LEGACY_NEAREST, output_range, span
+from ..functions.taps import taps
+from .packed import along_both, axis, packed, unpack
 
 # Largest plan (rows of some 200 bytes) that is broadcast to the pixels.
 BROADCAST_PLANS = 250_000
@@ -48,67 +49,24 @@ def with_sizes(raster: DataFrame, plan: DataFrame, **columns: Column) -> DataFra
     return raster.join(F.broadcast(facts) if small else facts.hint("merge"), "image_id")
 
 
-def strips(df: DataFrame, first: Column, last: Column, width: Column) -> DataFrame:
-    """Send every pixel to the strips that hold its outputs ``first..last``; usually one, two at a border."""
-    return (
-        df.withColumn("_first", first)
-        .withColumn("_last", last)
-        .withColumn("_wide", width)
-        .where("_first <= _last")
-        .withColumn("_strip", F.explode(F.sequence(F.expr("_first div _wide"), F.expr("_last div _wide"))))
-        .repartition("image_id", "_strip")
-        .withColumn("_first", F.greatest(F.col("_first"), (F.col("_strip") * F.col("_wide")).cast("int")))
-        .withColumn("_last", F.least(F.col("_last"), ((F.col("_strip") + 1) * F.col("_wide") - 1).cast("int")))
-    )
-
-
-def blend(
-    df: DataFrame, axis: str, outputs: Column, at: Column, value: Column, keys: list[str], mean: Column
-) -> DataFrame:
-    """Scatter along one axis and combine per output.
+def resample_packed(raster: DataFrame, plan: DataFrame, host_resampler: bool = True) -> DataFrame:
+    """Packed strips of each image at its plan's (resized_w, resized_h), by its own method.
 
-    ``at`` is worked out per pair of pixel and output ``_o`` as ``_t``, which ``value`` turns into a weight;
-    ``mean`` reads the sums ``_vw`` and ``_ww``.
+    ``raster`` has packed rows or pixels. ``plan`` has image_id, src_width, src_height, resized_w, resized_h,
+    upscale_method. Sizes below one count as one.
     """
-    scattered = df.withColumn("_o", F.explode(outputs)).withColumn("_t", at).withColumn("_w", value)
-    sums = scattered.groupBy(*keys, "_o").agg(F.sum(F.col("v") * F.col("_w")).alias("_vw"), F.sum("_w").alias("_ww"))
-    return sums.select(*keys, F.col("_o").alias(axis), mean.alias("v"))
-
-
-def resample_planned(df: DataFrame) -> DataFrame:
-    """Both passes over pixels that carry ``p``: source (sw, sh), result (w, h) and method."""
-    p = lambda name: F.col(f"p.{name}")
-    method = p("method")
-    first, last = output_range(F.col("x"), p("sw"), p("w"), method)
-    wide = F.least(F.lit(STRIP), F.greatest(F.lit(1), F.expr(f"p.w * bigint({STRIP}) div p.sw"))).cast("int")
-    mean = F.col("_vw") / F.col("_ww")
-    across = blend(
-        strips(df, first, last, wide), "x", span(F.col("_first"), F.col("_last")),
-        distance(F.col("_o"), F.col("x"), p("sw"), p("w")), kernel(F.col("_t"), method),
-        ["image_id", "p", "c", "_strip", "y"], mean,
-    )
-    top, bottom = output_range(F.col("y"), p("sh"), p("h"), method)
-    down = blend(
-        across, "y", span(top, bottom), distance(F.col("_o"), F.col("y"), p("sh"), p("h")),
-        kernel(F.col("_t"), method), ["image_id", "p", "c", "_strip", "x"], mean,
+    one, method = F.lit(1), method_or_fallback(F.col("upscale_method"), host_resampler)
+    sized = with_sizes(
+        packed(raster), plan,
+        ax=axis(F.col("src_width"), F.greatest(one, F.col("resized_w")), method),
+        ay=axis(F.col("src_height"), F.greatest(one, F.col("resized_h")), method),
     )
-    return down.select("image_id", "p", "y", "x", "c", "v")
+    return along_both(sized.select("*", "p.*"))
 
 
 def resample(raster: DataFrame, plan: DataFrame, host_resampler: bool = True) -> DataFrame:
-    """Resize each image to its plan's (resized_w, resized_h) with its own method.
-
-    ``plan`` has image_id, src_width, src_height, resized_w, resized_h, upscale_method. Sizes below one
-    count as one.
-    """
-    one = F.lit(1)
-    sized = with_sizes(
-        raster, plan,
-        sw=F.col("src_width"), sh=F.col("src_height"),
-        w=F.greatest(one, F.col("resized_w")), h=F.greatest(one, F.col("resized_h")),
-        method=method_or_fallback(F.col("upscale_method"), host_resampler),
-    )
-    return resample_planned(sized).select(*PIXEL)
+    """``resample_packed`` as pixels."""
+    return unpack(resample_packed(raster, plan, host_resampler))
 
 
 def nearest_planned(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -130,20 +88,24 @@ def resample_nearest(raster: DataFrame, plan: DataFrame, exact: bool = True) ->
     return nearest_planned(sized, exact).drop("p")
 
 
+def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for method, n_in, n_out in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            inputs, w = taps(method, n_in, n_out)
+            k, o = np.nonzero(w)
+            columns = [pa.array([method] * len(o)), *(pa.array(np.full(len(o), n, np.int32)) for n in (n_in, n_out))]
+            numbers = [pa.array(o.astype(np.int32)), pa.array(inputs[k, o].astype(np.int32)), pa.array(w[k, o])]
+            yield pa.RecordBatch.from_arrays([*columns, *numbers], ["method", "n_in", "n_out", "o", "i", "w"])
+
+
 def weights(sizes: DataFrame) -> DataFrame:
     """Normalised weight table for distinct (method, n_in, n_out): rows (o, i, w).
 
-    A table to inspect or join for a few sizes; ``resample`` derives the same weights per pixel, since the
-    table grows with every distinct pair of sizes.
+    These are the very weights of ``resample``, whose tasks make them where they need them and remember the latest: a
+    table for all sizes of a corpus would be as large as its images.
     """
-    c = F.col
-    inputs = sizes.distinct().withColumn("i", F.explode(F.sequence(F.lit(0), c("n_in") - 1)))
-    pairs = inputs.withColumn("o", F.explode(span(*output_range(c("i"), c("n_in"), c("n_out"), c("method")))))
-    apart = distance(c("o"), c("i"), c("n_in"), c("n_out"))
-    raw = pairs.withColumn("_t", apart).withColumn("w", kernel(c("_t"), c("method"))).where("w <> 0")
-    # One window group holds the taps of one output pixel.
-    total = F.sum("w").over(Window.partitionBy("method", "n_in", "n_out", "o"))
-    return raw.select("method", "n_in", "n_out", "o", "i", (c("w") / total).alias("w"))
+    asked = sizes.select("method", F.col("n_in").cast("int"), F.col("n_out").cast("int")).distinct()
+    return asked.mapInArrow(_weights, "method string, n_in int, n_out int, o int, i int, w double")
 
 
 def weigh(raster: DataFrame, table: DataFrame, axis: str) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import span
 from ..operators import canvas as K
+from ..operators.packed import along_both, axis, pack, packed, unpack, whole_rows
 from ..operators.planning import is_padded, plan_resize, validate_requests
-from ..operators.resample import PIXEL, method_or_fallback, nearest_planned, resample_planned, with_sizes
+from ..operators.resample import PIXEL, method_or_fallback, nearest_planned, with_sizes
 from ..session import materialise
 
 # Modes whose border is computed from the resized pixels themselves.
@@ -16,38 +17,41 @@ _FROM_PIXELS = ["pad_edge", "pillarbox_blur"]
 
 
 def _resized(raster: DataFrame, mask: DataFrame, plan: DataFrame, host_resampler: bool) -> DataFrame:
-    """Cropped and resampled pixels; a request without an image uses its mask as one."""
+    """Packed strips, cropped and resampled; a request without an image uses its mask as one of three channels."""
     c = F.col
+    method = method_or_fallback(c("upscale_method"), host_resampler)
     facts = dict(
-        x=c("crop.x"), y=c("crop.y"), sw=c("crop.w"), sh=c("crop.h"), w=c("resized_w"), h=c("resized_h"),
-        left=c("pad.left"), top=c("pad.top"), tw=c("out_w"), th=c("out_h"),
-        method=method_or_fallback(c("upscale_method"), host_resampler),
-        repeat=c("keep_proportion") == "pad_edge_pixel",
-    )
-    images = with_sizes(raster, plan.where("has_image"), **facts)
-    drawn = with_sizes(K.mask_to_image(mask), plan.where("not has_image"), **facts)
-    source = images.select("image_id", "p", "y", "x", "c", "v").unionByName(
-        drawn.select("image_id", "p", "y", "x", "c", "v")
+        x=c("crop.x"), y=c("crop.y"), sw=c("crop.w"), sh=c("crop.h"),
+        ax=axis(c("crop.w"), c("resized_w"), method), ay=axis(c("crop.h"), c("resized_h"), method),
     )
-    x, y = c("x") - c("p.x"), c("y") - c("p.y")
-    cropped = source.withColumn("x", x).withColumn("y", y).where(
-        "x >= 0 and y >= 0 and x < p.sw and y < p.sh"
-    )
-    return resample_planned(cropped)
+    columns = ["image_id", "c", "y", "x0", "row", "p"]
+    images = with_sizes(packed(raster), plan.where("has_image"), **facts).select(*columns)
+    grey = pack(mask.withColumn("c", F.lit(0)), "m").withColumn("c", F.explode(F.array(*map(F.lit, range(3)))))
+    source = images.unionByName(with_sizes(grey, plan.where("not has_image"), **facts).select(*columns))
+    cut = source.withColumn("y", c("y") - c("p.y")).where("y >= 0 and y < p.sh").withColumn(
+        "row", F.slice("row", c("p.x") + 1, c("p.sw")))
+    return along_both(cut.select("*", "p.ax", "p.ay"))
 
 
-def _placed(resized: DataFrame) -> DataFrame:
-    """Pixels at their place on the canvas; edge pixels fill the border where the mode asks for it."""
+def _placed(strips: DataFrame, plan: DataFrame) -> DataFrame:
+    """Pixels of packed strips at their place on the canvas; edge pixels fill the border where the mode asks for it."""
+    c = F.col
     p = lambda name: F.col(f"p.{name}")
-
-    def reach(axis, offset, size, total):
-        at = F.col(axis) + p(offset)
-        first = F.when(p("repeat") & (F.col(axis) == 0), F.lit(0)).otherwise(at)
-        last = F.when(p("repeat") & (F.col(axis) == p(size) - 1), p(total) - 1).otherwise(at)
-        return span(first, last)
-
-    rows = resized.withColumn("y", F.explode(reach("y", "top", "h", "th")))
-    return rows.withColumn("x", F.explode(reach("x", "left", "w", "tw"))).select(*PIXEL)
+    placed = with_sizes(
+        strips, plan, w=c("resized_w"), h=c("resized_h"), left=c("pad.left"), top=c("pad.top"), tw=c("out_w"), th=c("out_h"),
+        repeat=c("keep_proportion") == "pad_edge_pixel",
+    )
+    at = c("y") + p("top")
+    first = F.when(p("repeat") & (c("y") == 0), F.lit(0)).otherwise(at)
+    last = F.when(p("repeat") & (c("y") == p("h") - 1), p("th") - 1).otherwise(at)
+    begins, ends = c("x0") == 0, c("x0") + F.size("row") == p("w")
+    none = F.array().cast("array<double>")
+    left = F.when(begins, F.array_repeat(F.element_at("row", 1), p("left"))).otherwise(none)
+    right = F.when(ends, F.array_repeat(F.element_at("row", -1), p("tw") - p("left") - p("w"))).otherwise(none)
+    return unpack(placed.select(
+        "image_id", "c", F.explode(span(first, last)).alias("y"),
+        F.when(p("repeat") & begins, F.lit(0)).otherwise(c("x0") + p("left")).alias("x0"),
+        F.when(p("repeat"), F.concat(left, c("row"), right)).otherwise(c("row")).alias("row"))).select(*PIXEL)
 
 
 def _resize_masks(mask: DataFrame, plan: DataFrame) -> DataFrame:
@@ -87,7 +91,8 @@ def check_pixels(requests: DataFrame, raster: DataFrame, mask: DataFrame) -> Dat
     The extents are one partial aggregate over each pixel table; a request without an image takes its mask's pixels,
     which need its size then.
     """
-    extent = lambda df, h, w: df.groupBy("image_id").agg((F.max("y") + 1).alias(h), (F.max("x") + 1).alias(w))
+    last = lambda df: F.col("x0") + F.size("row") - 1 if "row" in df.columns else F.col("x")
+    extent = lambda df, h, w: df.groupBy("image_id").agg((F.max("y") + 1).alias(h), (F.max(last(df)) + 1).alias(w))
     seen = requests.join(extent(raster, "_h", "_w"), "image_id", "left").join(extent(mask, "mask_h", "mask_w"), "image_id", "left")
     c = F.col
     differs = lambda h, w: (c(h) != c("src_height")) | (c(w) != c("src_width"))
@@ -107,7 +112,8 @@ def smart_resize(
 
     The plan is metadata, one row per image, and is written once because pixels, masks and borders all read
     it. Pixels that are needed again for their own border are written once too; other modes stream through.
-    A request without a mode is padded.
+    A request without a mode is padded. ``raster`` has pixels or, better, packed rows as a reader of image files makes them:
+    pixels are packed first, which moves them once more. ``mask`` has pixels.
     """
     given = {n: F.coalesce(F.col(n), F.lit(False)) for n in ("has_image", "has_mask")}
     requests = requests.withColumns(given | {"keep_proportion": F.coalesce("keep_proportion", F.lit("pad"))})
@@ -121,7 +127,8 @@ def smart_resize(
         *[F.coalesce(F.max(mode == m), F.lit(False)).alias(m) for m in _FROM_PIXELS],
         F.coalesce(F.max(is_padded(mode) & ~mode.isin(*_FROM_PIXELS, "pad_edge_pixel")), F.lit(False)).alias("constant"),
     ).first()
-    pixels = _placed(_resized(raster, mask, plan.where(~mode.isin(_FROM_PIXELS)), host_resampler))
+    streamed = plan.where(~mode.isin(_FROM_PIXELS))
+    pixels = _placed(_resized(raster, mask, streamed, host_resampler), streamed)
     if used["constant"]:
         filled = plan.where(is_padded(mode) & ~mode.isin(*_FROM_PIXELS, "pad_edge_pixel"))
         counts = K.channel_counts(raster)
@@ -132,13 +139,12 @@ def smart_resize(
     if any(used[m] for m in _FROM_PIXELS):
         own_plan = plan.where(mode.isin(_FROM_PIXELS))
         own = materialise(_resized(raster, mask, own_plan, host_resampler), "resized")
-        pixels = pixels.unionByName(_placed(own))
-        resized = own.select(*PIXEL)
+        pixels = pixels.unionByName(_placed(own, own_plan))
         if used["pad_edge"]:
             edged = plan.where(mode == "pad_edge")
-            means = K.edge_means(resized, edged)
+            means = K.edge_means(unpack(own), edged)
             pixels = pixels.unionByName(K.edge_mean_border(means, edged).select(*PIXEL))
         if used["pillarbox_blur"]:
-            blurred = K.blur_around(resized, plan.where(mode == "pillarbox_blur"))
+            blurred = K.blur_around(whole_rows(own), plan.where(mode == "pillarbox_blur"))
             pixels = pixels.unionByName(blurred)
     return pixels, _resize_masks(mask, plan), plan, rejects

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import struct
 import zlib
 
@@ -10,9 +11,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rasterloom.functions.taps import resampled
 from rasterloom.operators import canvas as K
 from rasterloom.operators import catalogue as C
 from rasterloom.operators import frames as V
+from rasterloom.operators import packed as P
 from rasterloom.operators import resample as R
 from rasterloom.plans.registry import Tables
 from rasterloom.session import materialise
@@ -25,6 +28,23 @@ def plan_text(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def exchanged(spark, df) -> int:
+    """Bytes that the exchanges of ``df`` write."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        execution = df._jdf.queryExecution()
+        execution.toRdd().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    total, nodes = 0, [execution.executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            total += node.metrics().apply("shuffleBytesWritten").value()
+    return total
+
+
 def gather_weights(n_in: int, n_out: int, method: str) -> np.ndarray:
     """Output-by-input weights, one output at a time."""
     scale = n_in / n_out
@@ -63,7 +83,8 @@ def as_array(raster, h: int, w: int, value: str = "v") -> np.ndarray:
 
 @pytest.mark.parametrize("method", ["nearest-exact", "bilinear", "area", "bicubic", "lanczos"])
 @pytest.mark.parametrize("size", [((3, 600), (2, 700)), ((4, 1100), (5, 130)), ((700, 2), (300, 601))])
-def test_images_wider_than_a_strip(spark, method, size):
+def test_images_wider_than_a_strip(spark, monkeypatch, method, size):
+    monkeypatch.setattr(P, "STRIP_VALUES", 1000)  # strips of one to a few hundred columns
     (h, w), (oh, ow) = size
     pixels = np.random.default_rng(3).random((h, w))
     plan = spark.createDataFrame(
@@ -74,8 +95,10 @@ def test_images_wider_than_a_strip(spark, method, size):
     np.testing.assert_allclose(found, wanted, atol=1e-9)
 
 
-def test_blur_wider_than_a_strip(spark):
-    h, w, sigma = 5, 600, 2.3
+@pytest.mark.parametrize(("h", "w", "sigma"), [(5, 600, 2.3), (40, 300, 5.0), (120, 70, 31.0), (1, 1, 2.0), (30, 40, 90.0)])
+def test_blur_wider_than_a_strip(spark, monkeypatch, h, w, sigma):
+    """Short and long Gaussians, the latter by Fourier transform, also wider than the image."""
+    monkeypatch.setattr(P, "STRIP_VALUES", 700)
     pixels = np.random.default_rng(4).random((h, w))
     sizes = spark.createDataFrame([(1, w, h)], "image_id int, width int, height int")
     radius = int(3 * sigma)
@@ -96,15 +119,68 @@ def test_weight_table_agrees_with_resampling(spark):
         assert w == pytest.approx(gather_weights(9, n_out, method)[o, i], abs=1e-12)
 
 
-def test_both_passes_share_one_exchange(spark):
+def test_both_passes_share_one_exchange_of_arrays(spark):
+    """Packed rows move once; pixels are put together map-side and move once more. No struct is a key."""
     t = Tables(spark, SF)
     raster = materialise(t.raster_fx, "raster")
     plan = materialise(
         t.sizes_fx.withColumn("resized_w", F.col("target_w")).withColumn("resized_h", F.col("target_h")), "sizes"
     )
-    text = plan_text(R.resample(raster, plan))
-    assert text.count("REPARTITION_BY_COL") == 1 and "Exchange hashpartitioning(image_id, p" not in text
-    assert text.count("Exchange hashpartitioning") == 1, text
+    text = plan_text(R.resample(P.pack(raster), plan))
+    assert text.count("REPARTITION_BY_COL") == 1 and text.count("Exchange hashpartitioning") == 2, text
+    assert re.search(r"hashpartitioning\(image_id#\d+L?, c#\d+, y#", text) and "partial_collect_list" in text
+    text = plan_text(R.resample(materialise(P.pack(raster), "rows"), plan))
+    assert text.count("Exchange hashpartitioning") == 1 and re.search(r"hashpartitioning\(image_id#\d+L?, c#\d+, x0#", text), text
+
+
+def test_strips_of_many_images(spark, monkeypatch):
+    """Images of one row or column, of alike ids, over several Arrow batches; every image as NumPy has it."""
+    monkeypatch.setattr(P, "STRIP_VALUES", 24)
+    monkeypatch.setattr(P, "BATCH_VALUES", 40)
+    rng, rows, plans, wanted = np.random.default_rng(8), [], [], {}
+    for i in range(60):
+        h, w, oh, ow = (int(n) for n in rng.integers(1, 9, 4))
+        method = ["nearest-exact", "nearest", "area", "bilinear", "bicubic", "lanczos"][i % 6]
+        pixels = rng.random((2, h, w))
+        rows += [(f"i{i}", c, y, 0, pixels[c, y].tolist()) for c in range(2) for y in range(h)]
+        plans.append((f"i{i}", w, h, ow, oh, method))
+        resize = lambda m, ow=ow, oh=oh, method=method: resampled(resampled(m, method, oh).T, method, ow).T
+        for c in range(2):
+            wanted[f"i{i}", c] = resize(pixels[c])
+    packed = spark.createDataFrame(rows, "image_id string, c int, y int, x0 int, row array<double>").repartition(3)
+    plan = spark.createDataFrame(plans, "image_id string, src_width int, src_height int, resized_w int, resized_h int, upscale_method string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        strips = R.resample_packed(packed, plan)
+        found = {(r["image_id"], r["c"], r["y"]): r["row"] for r in P.whole_rows(strips).collect()}
+        assert strips.where("x0 > 0").count() > 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(found) == sum(len(m) for m in wanted.values())
+    for (i, c), m in wanted.items():
+        np.testing.assert_allclose(np.array([found[i, c, y] for y in range(len(m))]), m, atol=1e-12)
+
+
+def test_rows_with_gaps_are_refused(spark):
+    for cells in ([0, 2], [0, 1, 1], [1, 2]):
+        raster = spark.createDataFrame([(1, 0, x, 0, 0.5) for x in cells], "image_id int, y int, x int, c int, v double")
+        with pytest.raises(Exception, match="pixels missing or repeated"):
+            P.pack(raster).collect()
+    assert P.unpack(P.pack(raster.limit(0))).count() == 0
+
+
+def test_packed_rows_move_less_than_a_third_of_the_bytes(spark):
+    """A 512 x 512 image of random values: what the exchange of arrays writes, against one row per pixel."""
+    h = w = 512
+    rows = spark.range(h).select(
+        F.lit(1).alias("image_id"), F.lit(0).alias("c"), F.col("id").cast("int").alias("y"), F.lit(0).alias("x0"),
+        F.transform(F.sequence(F.lit(0), F.lit(w - 1)), lambda x: F.rand(3) + x * 0).alias("row"))
+    rows = materialise(rows, "rows")
+    plan = spark.createDataFrame([(1, w, h, 256, 256, "bilinear")], "image_id int, src_width int, src_height int, resized_w int, resized_h int, upscale_method string")
+    pixels = P.unpack(rows).join(plan, "image_id").repartition("image_id", "x")
+    arrays = R.resample_packed(rows, plan)
+    assert 3 * exchanged(spark, arrays) < exchanged(spark, pixels)
 
 
 def test_large_plans_are_merged(spark, monkeypatch):
