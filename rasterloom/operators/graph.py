@@ -1,38 +1,103 @@
 """Reachability and loop bodies over tables of workflow edges (graph_id, src, …, dst, …).
 
-All graphs of a table advance together, one hop per round; a round writes its new nodes to the shared folder,
-so lineage stays short and a lost executor repeats one round only.
+All graphs of a table advance together; a round writes its new nodes to the shared folder, so lineage stays short and
+a lost executor repeats one round only. Links are stored once in buckets of their near node and don't move again.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, materialise_buckets
 
 # Fixed value: the id the loop end carries in its own copy.
 LOOP_END_ID = "Recurse"
 
 NODE = ["graph_id", "node_id"]
+# Rounds of single hops before chains are condensed.
+HOPS = 4
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _step(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The nodes one link on; copies collapse before the shuffle, so a hub that everything points to is one row per task."""
+    return nodes.join(links, NODE).select("graph_id", F.col("_next").alias("node_id")).distinct()
 
 
 def _visited(edges: DataFrame, seeds: DataFrame, near: str, far: str) -> DataFrame:
     """Seeds and everything reached from ``near`` to ``far``.
 
-    A round costs one join with the edges and one grouping that both drops copies and tells new nodes from
-    known ones; copies collapse before its shuffle, so a hub that everything points to is one row per task.
+    The first rounds go one hop each, which is all that shallow graphs need. If nodes remain, ``_beyond`` takes over.
+    """
+    links = edges.select("graph_id", F.col(near).alias("node_id"), F.col(far).alias("_next")).where("_next is not null")
+    links = materialise_buckets(links, "links", *NODE)
+    frontier = materialise(seeds.select(*NODE).where("graph_id is not null and node_id is not null").distinct(), "seeds")
+    visited = [frontier]
+    for _ in range(HOPS):
+        if frontier.isEmpty():
+            return _union(visited)
+        frontier = materialise(_step(frontier, links).join(_union(visited), NODE, "left_anti"), "reached")
+        visited.append(frontier)
+    if not frontier.isEmpty():
+        visited.append(_beyond(links, frontier).join(_union(visited), NODE, "left_anti"))
+    return _union(visited)
+
+
+def _chains(links: DataFrame) -> list[DataFrame]:
+    """Pointers (graph_id, node_id, to, on) of the nodes with one successor, level by level.
+
+    A pointer of level ``k`` is ``2 ** k`` links long, or ends earlier at a node with another number of successors, where
+    ``on`` is false; nodes whose pointer ended have none on later levels. What is still ``on`` at the last level runs
+    in a circle of such nodes.
+    """
+    single = links.groupBy(*NODE).agg(F.min("_next").alias("to"), F.max("_next").alias("_last")).where("to = _last").select(*NODE, "to")
+    single = materialise_buckets(single, "single", *NODE)
+    known = single.select("graph_id", F.col("node_id").alias("to"), F.lit(True).alias("on"))
+    levels = [materialise(single.join(known, ["graph_id", "to"], "left").select(*NODE, "to", F.coalesce("on", F.lit(False)).alias("on")), "pointers")]
+    longest = single.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0
+    ended = []
+    while 2 ** (len(levels) - 1) < longest and not (on := levels[-1].where("on")).isEmpty():
+        ended.append(levels[-1].where("not on"))
+        further = _union([*ended, on]).select("graph_id", F.col("node_id").alias("to"), F.col("to").alias("_to"), F.col("on").alias("_on"))
+        doubled = on.select(*NODE, "to").join(further, ["graph_id", "to"])
+        levels.append(materialise(doubled.select(*NODE, F.col("_to").alias("to"), F.col("_on").alias("on")), "pointers"))
+    return levels
+
+
+def _beyond(links: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Everything reached from ``frontier``, in rounds that grow with the logarithm of the length of chains.
+
+    Chains of nodes with one successor are passed in one hop, from where they are entered to where they end. The nodes
+    between are marked afterwards: pointers of all lengths, applied one after the other to all that is marked, reach every
+    node of a chain, as every distance is a sum of different powers of two.
     """
-    links = edges.select("graph_id", F.col(near).alias("node_id"), F.col(far).alias("_next"))
-    frontier = materialise(seeds.select(*NODE).distinct(), "seeds")
-    visited = frontier
-    while not frontier.isEmpty():
-        reached = frontier.join(links, NODE).select("graph_id", F.col("_next").alias("node_id"))
-        seen = visited.withColumn("_new", F.lit(False)).unionByName(reached.withColumn("_new", F.lit(True)))
-        new = seen.groupBy(*NODE).agg(F.min("_new").alias("_new")).where("_new").select(*NODE)
-        frontier = materialise(new, "reached")
-        visited = visited.unionByName(frontier)
-    return visited
+    levels = _chains(links)
+    last = levels[-1].select(*NODE, F.when(~F.col("on"), F.col("to")).alias("to"))
+    ends = materialise_buckets(_union([*(p.where("not on").select(*NODE, "to") for p in levels[:-1]), last]).withColumn("_single", F.lit(True)), "ends", *NODE)
+
+    def heads(nodes: DataFrame) -> DataFrame:
+        """Where the chains that begin at ``nodes`` end; nodes on none stand for themselves, circles have no end."""
+        found = nodes.join(ends, NODE, "left").select("graph_id", F.when(F.col("_single"), F.col("to")).otherwise(F.col("node_id")).alias("node_id"))
+        return found.where("node_id is not null").distinct()
+
+    entered, new = [frontier], materialise(heads(frontier), "heads")
+    passed = [new]
+    while not new.isEmpty():
+        entered.append(materialise(_step(new, links).join(_union(entered), NODE, "left_anti"), "entered"))
+        new = materialise(heads(entered[-1]).join(_union(passed), NODE, "left_anti"), "heads")
+        passed.append(new)
+    # Ends are passed already, and no chain or circle is longer than the last pointers.
+    marked = [_union([*entered, *passed]).distinct()]
+    for pointers in levels[:-1]:
+        more = _union(marked).join(pointers, NODE).select("graph_id", F.col("to").alias("node_id")).distinct()
+        marked.append(materialise(more.join(_union(marked), NODE, "left_anti"), "marked"))
+    return _union(marked).distinct()
 
 
 def _used(edges: DataFrame, visited: DataFrame, near: str) -> DataFrame:
