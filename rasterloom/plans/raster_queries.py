@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import padding
 from ..operators import canvas as K
 from ..operators import resample as R
+from ..operators.packed import unpack
 from ..operators.planning import plan_geometry
 from ..session import scratch_path
 from ..sources import manifests as M
@@ -99,6 +100,26 @@ def _(t):
     return rounded(image.unionByName(mask.select("image_id", "y", "x", F.lit(-1).alias("c"), F.col("m").alias("v"))))
 
 
+@query("src4_png_files", """
+select image_id, y, x, k as c, round(v / 255.0::double, 6) + 0.0 as v from rgba_fx, unnest([0, 1, 2]) as u(k) where image_id % 4 < 2 and c = 0
+union all select image_id, y, x, c, round(v / 255.0::double, 6) + 0.0 from rgba_fx where image_id % 4 >= 2 and c < 3
+union all select image_id, y, x, -1, case when image_id % 2 = 1 then round(1 - v / 255.0::double, 6) + 0.0 else 0.0 end from rgba_fx where c = 3""", "rgba_fx")
+def _(t):
+    """Files of four kinds, grey, grey with alpha, colours and colours with alpha, encoded and read again."""
+    level = lambda e: F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), e.cast("double") + 0.5)) * 255).cast("int")
+    channels = F.col("vec_id") % 4 + 1
+    of = {1: [0], 2: [0, 3], 3: [0, 1, 2], 4: [0, 1, 2, 3]}
+    byte = lambda p, k: F.lpad(F.hex(level(F.get("embedding", 4 * p + k))), 2, "0")
+    pixels = lambda ks: F.concat(*[byte(p, k) for p in range(16) for k in ks])
+    data = F.when(channels == 1, pixels(of[1])).when(channels == 2, pixels(of[2])).when(channels == 3, pixels(of[3])).otherwise(pixels(of[4]))
+    stored = t.embeddings.select(
+        F.col("vec_id").cast("string").alias("path"), F.lit(4).alias("height"), F.lit(4).alias("width"),
+        channels.cast("int").alias("channels"), F.unhex(data).alias("data"))
+    ids = t.embeddings.select(F.col("vec_id").cast("string").alias("path"), F.col("vec_id").alias("image_id"))
+    rows, mask, _ = S.split_files(S.decode_png_files(S.encode_png_files(stored)), ids)
+    return rounded(unpack(rows).unionByName(mask.select("image_id", "y", "x", F.lit(-1).alias("c"), F.col("m").alias("v"))))
+
+
 def _bytes(t):
     """rgba_fx with every third image cut to three channels and every third to one."""
     channels = F.when(F.col("image_id") % 3 == 0, 4).when(F.col("image_id") % 3 == 1, 3).otherwise(1)

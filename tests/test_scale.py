@@ -20,6 +20,7 @@ from rasterloom.operators import resample as R
 from rasterloom.plans.registry import Tables
 from rasterloom.session import materialise
 from rasterloom.sources import rasters as S
+from rasterloom.sources.png import decode_png, encode_png
 
 SF = "/root/testdata/sf0.001"
 
@@ -272,22 +273,88 @@ def test_positions_whatever_the_names_look_like(spark, pattern):
         assert [r.frame_name for r in own] == sorted(r.frame_name for r in own)
 
 
-def _png(path, pixels: np.ndarray) -> None:
-    h, w, c = pixels.shape
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    lines = b"".join(b"\0" + row.tobytes() for row in pixels)
-    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0)
-    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))
-
-
-@pytest.mark.parametrize("channels", [1, 3, 4])
+def png_file(samples: np.ndarray, kind: int, depth: int, rng, palette=None, interlaced=False) -> bytes:
+    """A PNG file with a random filter per row, filtered byte by byte as the format describes."""
+    unit = max(1, samples.shape[2] * depth // 8)
+
+    def lines(part):
+        out, above = b"", None
+        for row in part:
+            bits = "".join(f"{v:0{depth}b}" for v in row.ravel().tolist())
+            bits += "0" * (-len(bits) % 8)
+            raw = [int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)]
+            above = above or [0] * len(raw)
+            kind = int(rng.integers(0, 5))
+            done = []
+            for i, v in enumerate(raw):
+                a, b, c = raw[i - unit] if i >= unit else 0, above[i], above[i - unit] if i >= unit else 0
+                p = a + b - c
+                paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                done.append((v - (0, a, b, (a + b) // 2, paeth)[kind]) % 256)
+            out += bytes([kind, *done])
+            above = raw
+        return out
+
+    passes = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)] if interlaced else [(0, 0, 1, 1)]
+    data = b"".join(lines(p) for x, y, w, h in passes if (p := samples[y::h, x::w]).size)
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    head = struct.pack(">IIBBBBB", samples.shape[1], samples.shape[0], depth, kind, 0, 0, int(interlaced))
+    packed = zlib.compress(data)
+    colours = chunk(b"PLTE", palette.tobytes()) if palette is not None else b""
+    half = len(packed) // 2
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", b"a\0b") + colours + chunk(b"IDAT", packed[:half]) + chunk(b"IDAT", packed[half:]) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("interlaced", [False, True])
+@pytest.mark.parametrize(("kind", "depth"), [(0, 1), (0, 2), (0, 4), (0, 8), (0, 16), (2, 8), (2, 16), (3, 1), (3, 2), (3, 4), (3, 8), (4, 8), (4, 16), (6, 8), (6, 16)])
+def test_png_of_every_kind(kind, depth, interlaced):
+    rng = np.random.default_rng(100 * kind + depth)
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    for height, width in [(1, 1), (2, 3), (9, 5), (13, 17), (3, 40)]:
+        samples = rng.integers(0, 1 << depth, (height, width, channels))
+        palette = rng.integers(0, 256, (1 << depth, 3), dtype=np.uint8) if kind == 3 else None
+        found = decode_png(png_file(samples, kind, depth, rng, palette, interlaced))
+        wanted = palette[samples[..., 0]] if kind == 3 else samples >> 8 if depth == 16 else samples * 255 // ((1 << depth) - 1)
+        np.testing.assert_array_equal(found, wanted)
+
+
+def test_broken_png_files_are_refused():
+    whole = encode_png(np.arange(60, dtype=np.uint8).reshape(4, 5, 3))
+    assert decode_png(whole).shape == (4, 5, 3)
+    cut = whole[: len(whole) // 2]
+    for content in (b"", b"no image", whole[:8], whole[:40], cut, whole.replace(b"IDAT", b"IDAX"), whole[:25] + b"\x07" + whole[26:]):
+        with pytest.raises(ValueError):
+            decode_png(content)
+
+
+def test_files_of_all_sorts(spark, tmp_path):
+    """Upper case names, a bitmap through Spark's own source, and rejects, all from one reading."""
+    pixels = np.arange(24, dtype=np.uint8).reshape(2, 3, 4)
+    (tmp_path / "B.PNG").write_bytes(encode_png(pixels))
+    bitmap = b"".join(pixels[y, :, [2, 1, 0]].T.tobytes() + b"\0" * 3 for y in (1, 0))
+    (tmp_path / "c.bmp").write_bytes(struct.pack("<2sIII", b"BM", 54 + len(bitmap), 0, 54) + struct.pack("<IiiHHIIiiII", 40, 3, 2, 1, 24, 0, len(bitmap), 0, 0, 0, 0) + bitmap)
+    (tmp_path / "d.jpg").write_bytes(b"no image")
+    (tmp_path / "notes.txt").write_text("x")
+    rows, mask, rejects = S.split_files(S.read_files(spark, str(tmp_path)))
+    name = lambda path: path.rsplit("/", 1)[1]
+    found = {(name(r.image_id), r.c, r.y): r.row for r in rows.collect()}
+    for file in ("B.PNG", "c.bmp"):
+        for y in range(2):
+            for c in range(3):
+                np.testing.assert_allclose(found[file, c, y], pixels[y, :, c] / 255)
+    assert len(found) == 12
+    assert {name(r.image_id) for r in mask.where("m > 0").collect()} == {"B.PNG"}
+    assert {(name(r.path), r.error) for r in rejects.collect()} == {("d.jpg", "unreadable"), ("notes.txt", "no image file")}
+
+
+@pytest.mark.parametrize("channels", [1, 2, 3, 4])
 def test_image_files(spark, tmp_path, channels):
     pixels = np.random.default_rng(channels).integers(0, 256, (3, 5, channels), dtype=np.uint8)
-    _png(tmp_path / "a.png", pixels)
+    (tmp_path / "a.png").write_bytes(encode_png(pixels))
     (tmp_path / "broken.png").write_bytes(b"no image")
     image, mask = S.read_rasters(spark, str(tmp_path))
-    colours = np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[:, :, :3]
+    colours = np.repeat(pixels[:, :, :1], 3, axis=2) if channels < 3 else pixels[:, :, :3]
     for c in range(3):
         np.testing.assert_allclose(as_array(image.where(F.col("c") == c), 3, 5), colours[:, :, c] / 255)
-    alpha = pixels[:, :, 3] if channels == 4 else np.full((3, 5), 255)
+    alpha = pixels[:, :, -1] if channels in (2, 4) else np.full((3, 5), 255)
     np.testing.assert_allclose(as_array(mask, 3, 5, "m"), 1 - alpha / 255)
