@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,11 +27,11 @@ from .common import small
 MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Chunks, and bytes of what is known of them, that a worker remembers at most; both are checked before each document.
-REMEMBERED = 150_000
-REMEMBERED_BYTES = 64 << 20
-#: Longer chunks aren't remembered.
+#: Chunks that a worker remembers at most, checked before each document; longer ones aren't remembered.
+REMEMBERED = 300_000
 REMEMBERED_CHARS = 48
+#: Characters of longer chunks at which their results are dropped.
+LONG_CHARS = 4 << 20
 #: Group texts are handed on in batches of about this many characters.
 BATCH_CHARS = 8 << 20
 #: Splits a text before a space that follows another character than white space.
@@ -74,8 +73,46 @@ def read_models(model_a: str = MODEL_A, model_b: str = MODEL_B) -> Models:
         return Models(ranks, file.read(), max(vocabulary.values()) + 1)
 
 
+def _segments(pool: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The parts of ``pool`` that begin at ``first``, one after the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Pool:
+    """Arrays of different lengths, one after the other in one growing array."""
+
+    def __init__(self, kind: type):
+        self.values, self.first, self.sizes, self.n, self.used = np.empty(4096, kind), np.empty(1024, np.int64), np.empty(1024, np.int64), 0, 0
+
+    def append(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        def room(old: np.ndarray, n: int) -> np.ndarray:
+            return old if n <= len(old) else np.concatenate((old, np.empty(max(n - len(old), len(old)), old.dtype)))
+
+        n, used = self.n + len(sizes), self.used + len(values)
+        self.values, self.first, self.sizes = room(self.values, used), room(self.first, n), room(self.sizes, n)
+        self.values[self.used : used] = values
+        self.sizes[self.n : n] = sizes
+        self.first[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.n, self.used = n, used
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of these arrays one after the other, and their sizes."""
+        sizes = self.sizes[rows]
+        return _segments(self.values, self.first[rows], sizes), sizes
+
+    def keep(self, rows: np.ndarray) -> None:
+        values, sizes = self.of(rows)
+        self.__init__(self.values.dtype.type)
+        self.append(values, sizes)
+
+
 class Aligner:
-    """Aligns texts; remembers chunks."""
+    """Aligns texts; remembers chunks.
+
+    The chunks of a text that aren't known yet are put together and aligned as one text, as both tokenizers break
+    between chunks anyway.
+    """
 
     def __init__(self, models: Models):
         import sentencepiece
@@ -88,14 +125,16 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in ids]
         self.bytes_a = {i: t for t, i in models.ranks.items()}
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(models.size)])
+        self.sizes_b = np.array([len(x) for x in self.bytes_b])
         # Of several B ids with the same bytes the ordinary piece counts, not the byte.
         plain = {self.bytes_b[i]: i for i in ids if self.b.is_byte(i)}
         plain |= {self.bytes_b[i]: i for i in ids if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))}
         #: The identity map: for each A id the B id of the same bytes, or -1.
-        self.same = [-1] * models.size
+        self.same = np.full(models.size, -1)
         for token, i in models.ranks.items():
             self.same[i] = plain.get(token, -1)
-        self.printed = [f"{i}|{b}" for i, b in enumerate(self.same)]
+        self.printed = [f"{i}|{b}" for i, b in enumerate(self.same.tolist())]
         self.first_b = self.b.piece_to_id(SPACE)
         # No piece of B goes on from another character to a space.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces)
@@ -103,80 +142,102 @@ class Aligner:
 
     def forget(self) -> None:
         self.places: dict[str, int] = {}
-        self.stats = np.zeros((1024, 7), np.int64)
         self.texts: list[str] = []
-        self.same_ids: list[bytes] = []
-        self.pairs: list[bytes] = []
-        self.held = 0
-
-    def _learn(self, chunk: str) -> int:
-        """Aligns a chunk, which begins with a space; its place in the lists."""
-        raw = chunk.encode()
-        a, b = self.a.encode_ordinary(chunk), self.b.encode(chunk[1:]) if len(chunk) > 1 else [self.first_b]
+        #: Per chunk: ``n_a, n_b, n_groups, n_links``, whether it has no tokens, and how often it was asked for.
+        self.stats, self.seen = np.zeros((1024, 5), np.int64), np.zeros(1024, np.int64)
+        self.same_ids, self.pairs, self.long = Pool(np.int32), Pool(np.int64), 0
+
+    def _thin(self) -> None:
+        """Keeps the half of the remembered chunks that was asked for most."""
+        chunks, at = list(self.places), np.fromiter(self.places.values(), np.int64, len(self.places))
+        order = np.argsort(-self.seen[at], kind="stable")[: REMEMBERED // 2]
+        rows = at[order]
+        self.places = {chunks[k]: i for i, k in enumerate(order.tolist())}
+        self.texts = [self.texts[i] for i in rows.tolist()]
+        self.stats, self.seen = self.stats[rows], self.seen[rows] // 2
+        self.same_ids.keep(rows)
+        self.pairs.keep(rows)
+        self.long = 0
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Aligns new chunks, each of which begins with a space, and appends what it finds to the lists."""
+        line = "".join(chunks)
+        raw = line.encode()
+        a, b = self.a.encode_ordinary(line), self.b.encode(line[1:]) if len(line) > 1 else [self.first_b]
         sound = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-        same, pairs = a, array("q")
-        if not sound:
-            text, groups, same, links = "", 0, [], 0
-        elif [*map(self.same.__getitem__, a)] == b:
-            # Every group is one token of each side.
-            text, groups, links = ";".join(map(self.printed.__getitem__, a)), len(a), len(a)
+        if sound:
+            ids_a, ids_b = np.array(a), np.array(b)
+            ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
+            ends = np.cumsum([len(c) for c in chunks] if len(raw) == len(line) else [len(c.encode()) for c in chunks])
+            last_a, last_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+            if (ends_a[last_a] != ends).any() or (ends_b[last_b] != ends).any():
+                raise ValueError("a token reaches over the end of a chunk")
+        elif len(chunks) > 1:
+            for chunk in chunks:
+                self._learn([chunk])
+            return
         else:
-            text, groups, same, pairs = self._walk(a, b)
-            links = len(same) + len(pairs)
-        at = len(self.texts)
-        if at == len(self.stats):
-            self.stats = np.concatenate((self.stats, np.zeros_like(self.stats)))
-        self.stats[at] = len(a), len(b), groups, links, not sound, len(same), len(pairs)
-        self.texts.append(text)
-        self.same_ids.append(array("i", same).tobytes())
-        self.pairs.append(pairs.tobytes())
-        self.held += 400 + len(raw) + len(text) + 4 * len(same) + 8 * len(pairs)
-        if len(chunk) <= REMEMBERED_CHARS:
-            self.places[chunk] = at
-        return at
-
-    def _walk(self, a: list[int], b: list[int]) -> tuple[str, int, list[int], array]:
-        """Groups as text and number, A ids linked to the B id of the same bytes, and the other links as ``a << 32 | b``."""
-        same, pairs, groups, own = [], array("q"), [], self.same
-        i = j = first_i = first_j = 0
-        end_a, end_b = len(self.bytes_a[a[0]]), len(self.bytes_b[b[0]])
-        while True:
-            if own[a[i]] == b[j]:
-                same.append(a[i])
-            else:
-                pairs.append(a[i] << 32 | b[j])
-            if end_a == end_b:
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[first_i:i]))}|{','.join(map(str, b[first_j:j]))}")
-                if i == len(a):
-                    return ";".join(groups), len(groups), same, pairs
-                first_i, first_j = i, j
-                end_a += len(self.bytes_a[a[i]])
-                end_b += len(self.bytes_b[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(self.bytes_a[a[i]])
-            else:
-                j += 1
-                end_b += len(self.bytes_b[b[j]])
+            self._append(chunks, [""], np.array([[0, 0, 0, 0, 1]]), (np.empty(0, np.int32), [0]), (np.empty(0, np.int64), [0]))
+            return
+        # Between two neighbouring ends of any side lies one link; a group ends where both sides do.
+        cuts = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+        link_a, link_b = ids_a[at_a], ids_b[at_b]
+        same = self.same[link_a] == link_b
+        group = np.flatnonzero((ends_a[at_a] == cuts) & (ends_b[at_b] == cuts))
+        alone = np.diff(group, prepend=-1) == 1
+        regular = alone & same[group]
+        texts = [*map(self.printed.__getitem__, link_a[group].tolist())]
+        begin_a, begin_b = np.concatenate(([0], at_a[group][:-1] + 1)), np.concatenate(([0], at_b[group][:-1] + 1))
+        rest = np.flatnonzero(~regular)
+        for g, i, j, k, m in zip(*(x[rest].tolist() for x in (np.arange(len(group)), begin_a, at_a[group] + 1, begin_b, at_b[group] + 1)), strict=True):
+            texts[g] = f"{str(a[i:j])[1:-1]}|{str(b[k:m])[1:-1]}".replace(" ", "") if j - i > 1 or m - k > 1 else f"{a[i]}|{b[k]}"
+        last_link, last_group = np.searchsorted(cuts, ends) + 1, np.searchsorted(cuts[group], ends) + 1
+        since = lambda last: np.diff(last, prepend=0)
+        upto = np.concatenate(([0], np.cumsum(same)))[last_link]
+        stats = np.stack((since(last_a + 1), since(last_b + 1), since(last_group), since(last_link), np.zeros(len(chunks), np.int64)), axis=1)
+        joined, begin = [], 0
+        for end in last_group.tolist():
+            joined.append(";".join(texts[begin:end]) if end - begin > 1 else texts[begin])
+            begin = end
+        pairs = link_a[~same].astype(np.int64) << 32 | link_b[~same]
+        self._append(chunks, joined, stats, (link_a[same].astype(np.int32), since(upto)), (pairs, since(last_link - upto)))
+
+    def _append(self, chunks: list[str], texts: list[str], stats: np.ndarray, same: tuple, pairs: tuple) -> None:
+        at, n = len(self.texts), len(self.texts) + len(chunks)
+        if n > len(self.stats):
+            more = max(n - len(self.stats), len(self.stats))
+            self.stats, self.seen = np.concatenate((self.stats, np.zeros((more, 5), np.int64))), np.concatenate((self.seen, np.zeros(more, np.int64)))
+        self.stats[at:n] = stats
+        self.texts += texts
+        self.same_ids.append(same[0], np.asarray(same[1]))
+        self.pairs.append(pairs[0], np.asarray(pairs[1]))
+        self.places |= zip(chunks, range(at, n), strict=True)
 
     def align(self, text: str):
         """``(n_a, n_b, n_groups, n_links), groups, same, same_n, pairs, pair_n`` of a text; None if it has no tokens."""
         if not text:
             return None
-        if len(self.texts) >= REMEMBERED or self.held >= REMEMBERED_BYTES:
-            self.forget()
+        if len(self.texts) >= REMEMBERED or self.long >= LONG_CHARS:
+            self._thin()
         chunks = CUT.split(" " + text) if self.cuts else [" " + text]
-        get, learn = self.places.get, self._learn
-        places = [learn(c) if (at := get(c)) is None else at for c in chunks]
+        # The last chunk alone can end with white space, so it stays last. Each unknown chunk is learnt once.
+        if new := [c for c in dict.fromkeys(chunks) if c not in self.places]:
+            if new[-1] != chunks[-1] and chunks[-1] in new:
+                new.remove(chunks[-1])
+                new.append(chunks[-1])
+            self._learn(new)
+        places = [*map(self.places.__getitem__, chunks)]
         once, n = np.unique(np.array(places), return_counts=True)
-        stats = self.stats[once]
-        totals = n @ stats
+        self.seen[once] += n
+        totals = n @ self.stats[once]
+        for chunk in new:
+            if len(chunk) > REMEMBERED_CHARS:
+                del self.places[chunk]
+                self.long += len(chunk)
         if totals[4]:
             return None
-        some = once.tolist()
-        same = _summed(np.frombuffer(b"".join(map(self.same_ids.__getitem__, some)), np.int32), np.repeat(n, stats[:, 5]))
-        pairs = _summed(np.frombuffer(b"".join(map(self.pairs.__getitem__, some)), np.int64), np.repeat(n, stats[:, 6]))
+        same, pairs = (_summed(values, np.repeat(n, sizes)) for values, sizes in (self.same_ids.of(once), self.pairs.of(once)))
         return totals[:4], ";".join(map(self.texts.__getitem__, places)), *same, *pairs
 
 

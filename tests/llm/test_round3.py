@@ -209,3 +209,18 @@ def test_irregular_groups_alone_enter_the_pairs(spark):
     assert found.same[0][the] == 2 and aligner.same[the] >= 0
     for r in found.pairs.collect():
         assert aligner.same[r["pair"] >> 32] != r["pair"] & 0xFFFFFFFF
+
+
+def test_forgotten_chunks_are_learnt_again(texts, monkeypatch):
+    """However few chunks are remembered, texts are aligned alike."""
+    models = A.read_models()
+    sample = [t for t in texts.values() if t][:40] + ["京" * 300 + " a", "x" * 200, "a b", "x" * 200]
+    wanted = [A.Aligner(models).align(t) for t in sample]
+    monkeypatch.setattr(A, "REMEMBERED", 60)
+    monkeypatch.setattr(A, "LONG_CHARS", 250)
+    few = A.Aligner(models)
+    for text, own in zip(sample * 2, wanted * 2, strict=True):
+        found = few.align(text)
+        assert found[1] == own[1]
+        for x, y in zip((found[0], *found[2:]), (own[0], *own[2:]), strict=True):
+            np.testing.assert_array_equal(x, y)
