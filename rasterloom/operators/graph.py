@@ -151,3 +151,29 @@ def classify_edges(edges: DataFrame, members: DataFrame, ends: DataFrame) -> Dat
         .withColumn("copy_src", F.when(internal, copy("src")).otherwise(F.col("src")))
         .drop("_inside", "_dst_ends", "_src_ends")
     )
+
+
+def classify_inputs(
+    edges: DataFrame, literals: DataFrame, members: DataFrame, starts: DataFrame, ends: DataFrame, next_index: int | None = None
+) -> DataFrame:
+    """All inputs of the member nodes: ``classify_edges``, and literals as boundary rows with their ``value``.
+
+    ``literals`` has graph_id, node_id, input, value. With ``next_index`` the copy of each start gets that ``loop_index``,
+    whatever fed it before.
+    """
+    columns = ["graph_id", "src", "src_slot", "dst", "dst_input", "link_type", "kind", "copy_dst", "copy_src", "value"]
+    nothing = lambda *names: {n: F.lit(None).cast("string") for n in names}
+    linked = classify_edges(edges, members, ends).withColumns(nothing("value"))
+    inside = members.select(*NODE).distinct()
+    last = ends.select(*NODE, F.lit(True).alias("_ends")).distinct()
+    own = literals.select(*NODE, F.col("input").alias("dst_input"), "value").join(inside, NODE, "left_semi")
+    if next_index is not None:
+        first = starts.select(*NODE).distinct()
+        given = first.select(*NODE, F.lit("loop_index").alias("dst_input"), F.lit(str(next_index)).alias("value"))
+        replaced = given.select(*NODE, "dst_input")
+        own = own.join(replaced, [*NODE, "dst_input"], "left_anti").unionByName(given)
+        linked = linked.join(replaced.withColumnRenamed("node_id", "dst"), ["graph_id", "dst", "dst_input"], "left_anti")
+    literal = own.join(last, NODE, "left").withColumns(nothing("src", "link_type", "copy_src")).withColumns({
+        "src_slot": F.lit(None).cast("int"), "dst": F.col("node_id"), "kind": F.lit("boundary"),
+        "copy_dst": F.when(F.col("_ends"), LOOP_END_ID).otherwise(F.col("node_id"))})
+    return linked.select(*columns).unionByName(literal.select(*columns))

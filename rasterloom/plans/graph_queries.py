@@ -109,3 +109,41 @@ select l_orderkey as graph_id, '1' as node_id, 'start' as type from lineitem uni
 union all select l_orderkey, '3', 'end' from lineitem""")
 def _(t):
     return W.parse_workflows(_workflow_documents(t), "document")[0]
+
+
+def _loops(t):
+    """One saved loop per order, with controls of all types, one of them fed by a link in every other order."""
+    key, even = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 2 == 0
+    fed = F.when(even, ', {"name": "crf", "link": 4}').otherwise("")
+    document = F.concat(
+        F.lit('{"nodes": [{"id": 1, "type": "start", "inputs": [], "widgets_values": ["in/'), key, F.lit('.mp4", "src", false, 0]}, '
+              '{"id": 2, "type": "step", "inputs": [{"name": "image", "link": 2}], "widgets_values": ['), F.col("o_custkey").cast("string"),
+        F.lit(', 0.5, true, null, "p\\"q", [1, "a"]]}, {"id": 3, "type": "end", "inputs": [{"name": "flow", "link": 1}, {"name": "image", "link": 3}'), fed,
+        F.lit('], "widgets_values": {"output": "out.mp4", "crf": 19}}, {"id": 4, "type": "step", "inputs": [], "widgets_values": [1]}], '
+              '"links": [[1, 1, 0, 3, 0, "FLOW"], [2, 1, 1, 2, 0, "IMAGE"], [3, 2, 0, 3, 1, "IMAGE"], [4, 4, 0, 3, 2, "INT"]]}'),
+    )
+    return t.orders.select(F.col("o_orderkey").alias("graph_id"), document.alias("document"))
+
+
+CONTROLS = [("start", 0, "video"), ("start", 1, "folder"), ("start", 2, "clear"), ("start", 3, "loop_index"), ("step", 0, "strength"), ("step", 1, "gain"),
+            ("step", 2, "on"), ("step", 4, "label"), ("step", 5, "list")]
+
+
+@query("grf4_literal_inputs", """
+select o_orderkey as graph_id, null::varchar as src, dst, dst_input, 'boundary' as kind, copy_dst, value from orders,
+  lateral (values ('1', 'video', '1', '"in/' || o_orderkey || '.mp4"'), ('1', 'folder', '1', '"src"'), ('1', 'clear', '1', 'false'), ('1', 'loop_index', '1', '7'),
+    ('2', 'strength', '2', o_custkey::varchar), ('2', 'gain', '2', '0.5'), ('2', 'on', '2', 'true'), ('2', 'control_3', '2', 'null'),
+    ('2', 'label', '2', '"p\\"q"'), ('2', 'list', '2', '[1,"a"]'), ('3', 'output', 'Recurse', '"out.mp4"'),
+    ('3', 'crf', 'Recurse', case when o_orderkey % 2 = 1 then '19' end)) as l(dst, dst_input, copy_dst, value) where value is not null
+union all select o_orderkey, src, dst, dst_input, kind, copy_dst, null from orders,
+  (values ('1', '3', 'flow', 'internal', 'Recurse'), ('1', '2', 'image', 'internal', '2'), ('2', '3', 'image', 'internal', 'Recurse'), ('4', '3', 'crf', 'boundary', 'Recurse')) as e(src, dst, dst_input, kind, copy_dst)
+  where dst_input <> 'crf' or o_orderkey % 2 = 0""")
+def _(t):
+    """Whole loop bodies: links inside, links from outside, and literals with the next loop position."""
+    docs = _loops(t)
+    edges = materialise(W.parse_workflows(docs, "document")[1].where("dst_input is not null"), "edges")
+    at = lambda node: docs.select("graph_id", F.lit(node).alias("node_id"))
+    controls = t.spark.createDataFrame(CONTROLS, "type string, position int, input string")
+    literals = W.literal_inputs(docs, "document", controls)
+    found = G.classify_inputs(edges, literals, G.between(edges, at("1"), at("3")), at("1"), at("3"), next_index=7)
+    return found.select("graph_id", "src", "dst", "dst_input", "kind", "copy_dst", "value")

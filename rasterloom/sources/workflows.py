@@ -42,6 +42,30 @@ def parse_workflows(df: DataFrame, column: str, graph_id: str = "graph_id") -> t
     return nodes, parsed.select("graph_id", F.inline(links))
 
 
+# The values of a node's own controls are a mixed array in a fixed order, or an object by name.
+CONTROL_SCHEMA = "nodes array<struct<id:string, type:string, inputs:array<struct<name:string, link:string>>, widgets_values:variant>>"
+
+
+def literal_inputs(df: DataFrame, column: str, controls: DataFrame, graph_id: str = "graph_id") -> DataFrame:
+    """``graph_id, node_id, input, value``: the inputs that hold a literal, ``value`` as JSON text of whatever type.
+
+    ``controls(type, position, input)`` names the controls of each node type by their position from 0; one without a
+    name there is called ``control_<position>``. A control that a link feeds holds no literal.
+    """
+    nodes = df.select(F.col(graph_id).alias("graph_id"), F.inline(F.from_json(column, CONTROL_SCHEMA)["nodes"])).select(
+        "graph_id", F.col("id").alias("node_id"), "type",
+        F.transform(F.filter(F.coalesce("inputs", F.array().cast("array<struct<name:string, link:string>>")), lambda i: i["link"].isNotNull()), lambda i: i["name"]).alias("linked"),
+        F.try_variant_get("widgets_values", "$", "array<variant>").alias("listed"),
+        F.try_variant_get("widgets_values", "$", "map<string, variant>").alias("named"))
+    place = nodes.select("graph_id", "node_id", "type", "linked", F.posexplode("listed").alias("position", "v"))
+    names = controls.select("type", "position", "input")
+    listed = place.join(names, ["type", "position"], "left").withColumn("input", F.coalesce("input", F.concat(F.lit("control_"), "position")))
+    named = nodes.select("graph_id", "node_id", "linked", F.explode("named").alias("input", "v"))
+    columns = ["graph_id", "node_id", "linked", "input", "v"]
+    free = listed.select(*columns).unionByName(named.select(*columns)).where(~F.array_contains("linked", F.col("input")))
+    return free.select("graph_id", "node_id", "input", F.coalesce(F.to_json("v"), F.lit("null")).alias("value"))
+
+
 def read_workflows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of all workflow files under ``path``; a graph is known by its file."""
     texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("graph_id"), "value")
