@@ -21,11 +21,11 @@ def apply_per_frame(
     return frames.groupBy(*key).applyInPandas(fn, schema)
 
 
-def apply_per_packed_frame(frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def apply_per_packed_frame(frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray], dtype: str = "uint8") -> DataFrame:
     """Run array code on frames that are one row each: (height, width, channels, data) besides other columns.
 
-    ``data`` holds the bytes of an array (height, width, channels); ``fn`` gives back bytes of the same shape. Rows stay
-    where they are and one frame at a time is unpacked, as bytes and not as keyed pixel rows.
+    ``data`` holds the bytes of an array (height, width, channels) of ``dtype``; ``fn`` gives back one of the same shape.
+    Rows stay where they are and one frame at a time is unpacked. ``packed.pack_frames`` makes such frames.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +34,7 @@ def apply_per_packed_frame(frames: DataFrame, fn: Callable[[np.ndarray], np.ndar
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 shape = tuple(row.column(row.schema.get_field_index(n))[0].as_py() for n in ("height", "width", "channels"))
-                done = np.asarray(fn(np.frombuffer(row.column(at)[0].as_buffer(), np.uint8).reshape(shape)), np.uint8)
+                done = np.asarray(fn(np.frombuffer(row.column(at)[0].as_buffer(), dtype).reshape(shape)), dtype)
                 if done.shape != shape:
                     raise ValueError(f"a frame of shape {shape} came back as {done.shape}")
                 yield row.set_column(at, row.schema.field(at), pa.array([done.tobytes()], row.schema.field(at).type))

@@ -178,3 +178,82 @@ def along_both(rows: DataFrame) -> DataFrame:
     together = strips.withColumn("_key", F.xxhash64("image_id", "c", "x0")).repartition("image_id", "c", "x0").sortWithinPartitions(
         "image_id", "c", "x0", "y")
     return together.mapInArrow(_down, f"image_id {kind('image_id')}, c int, y int, x0 int, row array<double>")
+
+
+def _row_bytes(dtype: str):
+    """For mapInArrow over (image_id, c, y, x0, row): the row as bytes of ``dtype``; of whole numbers by rounding 0..1 to 0..255."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = batch.column(4).flatten().to_numpy(zero_copy_only=False), batch.column(4).offsets.to_numpy()
+            if dtype == "uint8":
+                flat = np.rint(np.clip(flat, 0.0, 1.0) * 255).astype(np.uint8)
+            offsets = (offsets - offsets[0]).tolist()
+            data = [flat[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(data, pa.binary())], [*PACKED[:4], "data"])
+
+    return run
+
+
+def _assembled(dtype: str):
+    """For mapInArrow over (image_id, parts): frames of parts (y, c, x0, data) in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                parts = batch.column(1)[i].values
+                y, c = (parts.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                shape = int(y.max()) + 1, int(c.max()) + 1
+                values = np.frombuffer(b"".join(x.as_buffer() for x in parts.field(3)), dtype)
+                if len(values) % (shape[0] * shape[1]):
+                    raise ValueError("rows of different lengths in one frame")
+                frame = values.reshape(*shape, -1).transpose(0, 2, 1)
+                sizes = [pa.array([n], pa.int32()) for n in frame.shape]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, 1), *sizes, pa.array([frame.tobytes()], pa.binary())], ["image_id", *FRAME])
+
+    return run
+
+
+#: Columns of a frame that is one row: ``data`` has the bytes of an array (height, width, channels).
+FRAME = ["height", "width", "channels", "data"]
+
+
+def pack_frames(rows: DataFrame, dtype: str = "uint8") -> DataFrame:
+    """Packed rows or strips as one row per image (image_id, height, width, channels, data).
+
+    ``data`` holds ``dtype``: ``uint8``, for which values 0..1 become 0..255, or ``float64``. What is gathered per image
+    are byte strings, one per row or strip, never pixels.
+    """
+    kind = rows.schema["image_id"].dataType.simpleString()
+    parts = rows.select("image_id", F.col("c").cast("int"), F.col("y").cast("int"), F.col("x0").cast("int"), "row").mapInArrow(
+        _row_bytes(dtype), f"image_id {kind}, c int, y int, x0 int, data binary")
+    together = parts.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "c", "x0", "data"))).alias("parts"))
+    return together.mapInArrow(_assembled(dtype), f"image_id {kind}, height int, width int, channels int, data binary")
+
+
+def _frame_rows(dtype: str):
+    """For mapInArrow over (image_id, height, width, channels, data): packed rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                height, width, channels = (batch.column(k)[i].as_py() for k in (1, 2, 3))
+                frame = np.frombuffer(batch.column(4)[i].as_buffer(), dtype).reshape(height, width, channels)
+                step = max(1, BATCH_VALUES // (width * channels))
+                for top in range(0, height, step):
+                    part = frame[top : top + step].transpose(0, 2, 1).astype(np.float64)
+                    n = part.shape[0] * channels
+                    flat = part.ravel() / 255.0 if dtype == "uint8" else part.ravel()
+                    at = pa.array(np.full(n, i, np.int32))
+                    c, y = np.tile(np.arange(channels, dtype=np.int32), part.shape[0]), np.repeat(np.arange(top, top + part.shape[0], dtype=np.int32), channels)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(at), pa.array(c), pa.array(y), pa.array(np.zeros(n, np.int32)), _list(flat, np.full(n, width))], PACKED)
+
+    return run
+
+
+def unpack_frames(frames: DataFrame, dtype: str = "uint8") -> DataFrame:
+    """Packed rows of frames that are one row each; bytes 0..255 become values 0..1."""
+    kind = frames.schema["image_id"].dataType.simpleString()
+    return frames.select("image_id", *FRAME).mapInArrow(_frame_rows(dtype), f"image_id {kind}, c int, y int, x0 int, row array<double>")

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import frames as V
-from ..operators.hooks import apply_per_frame
+from ..operators import packed as K
+from ..operators.hooks import apply_per_frame, apply_per_packed_frame
 from ..session import scratch_path
 from ..streaming import passes as P
 from .frame_queries import ACTIONS_SQL
@@ -80,6 +81,19 @@ def _(t):
     return done.withColumn("v", F.round("v", 6) + F.lit(0.0))
 
 
+@query("udf1_per_packed_frame", """
+with m as (select image_id, avg(v) as mean from raster_fx group by image_id)
+select (r.image_id // 10)::varchar as video_id, (r.image_id % 10)::int as frame_idx, y, x, round(least(1, greatest(0, 0.5 + 1.5 * (v - mean))), 6) + 0.0 as v
+from raster_fx r join m on m.image_id = r.image_id""", "raster_fx")
+def _(t):
+    stretch = lambda frame: (0.5 + 1.5 * (frame - frame.mean())).clip(0.0, 1.0)
+    done = apply_per_packed_frame(K.pack_frames(K.pack(t.raster_fx), "float64"), stretch, "float64")
+    pixels = K.unpack(K.unpack_frames(done, "float64"))
+    return pixels.select(
+        F.expr("image_id div 10").cast("string").alias("video_id"), (F.col("image_id") % 10).cast("int").alias("frame_idx"),
+        "y", "x", (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
 @query("udf1_per_frame_columns", """
 select image_id, y, x, c, round(least(1, v * 1.2), 6) + 0.0 as v from raster_fx""", "raster_fx")
 def _(t):

@@ -358,3 +358,30 @@ def test_image_files(spark, tmp_path, channels):
         np.testing.assert_allclose(as_array(image.where(F.col("c") == c), 3, 5), colours[:, :, c] / 255)
     alpha = pixels[:, :, -1] if channels in (2, 4) else np.full((3, 5), 255)
     np.testing.assert_allclose(as_array(mask, 3, 5, "m"), 1 - alpha / 255)
+
+
+@pytest.mark.parametrize("dtype", ["uint8", "float64"])
+def test_frames_as_one_row_each(spark, monkeypatch, dtype):
+    """Rows and strips make the same frames, and frames give the rows back; no pixel is a row in between."""
+    monkeypatch.setattr(P, "STRIP_VALUES", 24)
+    monkeypatch.setattr(P, "BATCH_VALUES", 20)
+    rng, rows, images = np.random.default_rng(2), [], {}
+    for i, shape in enumerate([(1, 1, 1), (5, 7, 3), (12, 2, 4), (3, 9, 2)]):
+        values = rng.integers(0, 256, shape) / 255
+        images[f"f{i}"] = values
+        rows += [(f"f{i}", c, y, 0, values[y, :, c].tolist()) for c in range(shape[2]) for y in range(shape[0])]
+    packed = spark.createDataFrame(rows, "image_id string, c int, y int, x0 int, row array<double>").repartition(3)
+    sizes = [(i, v.shape[1], v.shape[0], v.shape[1], v.shape[0], "area") for i, v in images.items()]
+    plan = spark.createDataFrame(sizes, "image_id string, src_width int, src_height int, resized_w int, resized_h int, upscale_method string")
+    for source in (packed, R.resample_packed(packed, plan)):
+        frames = P.pack_frames(source, dtype)
+        found = {r.image_id: r for r in frames.collect()}
+        for i, values in images.items():
+            r = found[i]
+            own = np.frombuffer(bytes(r.data), dtype).reshape(r.height, r.width, r.channels)
+            np.testing.assert_allclose(own, np.rint(values * 255) if dtype == "uint8" else values, atol=1e-12)
+        assert not re.search(r"\bx#", plan_text(frames))
+        back = {(r.image_id, r.c, r.y): r.row for r in P.unpack_frames(frames, dtype).collect()}
+        assert len(back) == len(rows)
+        for i, c, y, _, row in rows:
+            np.testing.assert_allclose(back[i, c, y], row, atol=1e-12)
