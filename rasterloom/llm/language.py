@@ -19,11 +19,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from ..session import materialise
+from .common import remainder, small, text_key
 
 UNKNOWN = "und"
 #: A word is a run of letters with their marks; digits, signs and spaces are none.
@@ -36,9 +38,19 @@ TRAIN_WORDS = 64
 STEPS = 40
 #: A lexicon word occurs in at least this many texts of the sample.
 LEXICON_TEXTS = 3
-#: Words whose scores a worker remembers at most; words and blocks that are worked on at a time.
+#: Words whose scores a worker remembers at most.
 REMEMBERED = 400_000
-SEGMENT, BLOCK = 1 << 18, 128
+#: Words times languages that are worked on at a time, and words of a block.
+SEGMENT, BLOCK = 1 << 20, 128
+#: Texts handed to the field at a time: rows, and characters.
+SLICE_ROWS, SLICE_CHARS = 500, 4 << 20
+#: A document whose declared language differs from the one found with at least this mean probability is rejected.
+CONTRADICTED = 0.9
+
+
+def segment(languages: int) -> int:
+    """Words that are worked on at a time: fewer with many languages, so that memory stays bounded."""
+    return max(BLOCK, SEGMENT // max(4, languages) // BLOCK * BLOCK)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -46,9 +58,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def word_features(word: str) -> list[str]:
-    """Affixes of up to three characters, n-grams of three, and the word for the lexicon; long words by their ends."""
-    if len(word) > 40:
-        word = word[:20] + word[-20:]
+    """Affixes of up to three characters, all n-grams of three, and the word for the lexicon."""
     found = [word[i : i + 3] for i in range(len(word) - 2)]
     found += ("=" + word, "<" + word[:1], "<" + word[:2], "<" + word[:3], word[-1:] + ">", word[-2:] + ">", word[-3:] + ">")
     return found
@@ -154,16 +164,17 @@ def language_sums(ids: np.ndarray, lengths: np.ndarray, scores: np.ndarray, mode
     owner = np.repeat(np.arange(len(lengths)), lengths)
     first = np.zeros(len(ids), bool)
     first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    cuts = range(0, len(ids), SEGMENT)
+    long = segment(size)
+    cuts = range(0, len(ids), long)
     matrices = np.concatenate([
-        _products(*_blocks(ids[a : a + SEGMENT], first[a : a + SEGMENT], potentials), step, begin) for a in cuts])
+        _products(*_blocks(ids[a : a + long], first[a : a + long], potentials), step, begin) for a in cuts])
     entry, leave = np.ones((len(matrices), size)), np.ones((len(matrices), size))
     for b in range(1, len(matrices)):
         entry[b] = (x := entry[b - 1] @ matrices[b - 1]) / x.max()
     for b in reversed(range(len(matrices) - 1)):
         leave[b] = (x := matrices[b + 1] @ leave[b + 1]) / x.max()
     for a in cuts:
-        part = slice(a, min(a + SEGMENT, len(ids)))
+        part = slice(a, min(a + long, len(ids)))
         at = slice(a // BLOCK, a // BLOCK + -(-(part.stop - a) // BLOCK))
         found = _posteriors(*_blocks(ids[part], first[part], potentials), step, begin, entry[at], leave[at])
         found = found.transpose(1, 0, 2).reshape(-1, size)[: part.stop - a]
@@ -346,7 +357,7 @@ class Reader:
             own = words_of(text)
             held.extend(own)
             lengths.append(len(own))
-            if len(held) >= SEGMENT:
+            if len(held) >= segment(len(self.model.languages)):
                 flush()
         if lengths:
             flush()
@@ -363,14 +374,27 @@ def _reader(model: Model) -> Reader:
     return _latest[0]
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First rows and numbers of rows, each of at most SLICE_ROWS rows and, but for a longer text, SLICE_CHARS bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for row, size in enumerate(sizes.tolist()):
+        if row > start and (row - start >= SLICE_ROWS or held + size > SLICE_CHARS):
+            yield start, row - start
+            start, held = row, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes) - start
+
+
 def _predict(shared, at: int, stays: bool):
     """For mapInArrow: languages of the texts in column ``at``, which is handed on or not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(shared.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start, n in _slices(batch.column(at)):
+                part = batch.slice(start, n)
                 langs, scores = reader.predict(part.column(at).to_pylist())
                 kept = part if stays else part.select([i for i in range(part.num_columns) if i != at])
                 yield pa.RecordBatch.from_arrays(
@@ -404,16 +428,33 @@ def held_out(doc_id: str = "doc_id"):
     return remainder(F.col(doc_id), 4) == 2
 
 
-def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def rejected(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+             contradicted: float = CONTRADICTED, languages: list[str] | None = None) -> DataFrame:
+    """``_id, _t``: id and text key of the rows that ``keep_known`` drops. Only ids and texts go through the field."""
+    narrow = docs.select(F.col(doc_id).alias("_id"), text_key(F.col(text)).alias("_t"), F.col(lang).cast("string").alias("_lang"), F.col(text).alias("text"))
+    found = identify(narrow, model, ["_id", "_t", "_lang"])
+    unwanted = F.col("lang_pred") == UNKNOWN
+    if model is not None:
+        unwanted |= F.col("_lang").isNotNull() & (F.col("_lang") != F.col("lang_pred")) & (F.col("lang_score") >= contradicted)
+    if languages is not None:
+        unwanted |= ~F.col("lang_pred").isin(languages)
+    return found.where(unwanted).select("_id", "_t", "_lang").distinct()
+
+
+def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", contradicted: float = CONTRADICTED,
+               languages: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` in a recognised language, with their columns.
 
-    Rejected are texts without a letter only: however evenly a text mixes languages, it has one with the greatest mean
-    probability. Where ``docs`` has no labelled row nothing can be recognised and all rows with a letter stay.
+    Rejected are texts without a letter, and rows whose declared language is another than the one that the field finds with a
+    mean probability of ``contradicted`` or more: a text that mixes languages evenly, or an uncertain one, stays. With
+    ``languages`` texts found to be in any other language go, too. Rows with a NULL id or label are judged like others; repeated
+    rows share their answer. Where ``docs`` has no labelled row nothing can be recognised and all rows with a letter stay.
     """
     model = train(docs.where(~held_out(doc_id)), text, lang)
     if model is None:
         return docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    found = identify(plain, model, plain.columns, f"c{names.index(text)}")
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*plain.columns).toDF(*names)
+    gone = small(materialise(rejected(docs, model, doc_id, text, lang, contradicted, languages), "rejected"))
+    rows = docs.select(
+        F.struct("*").alias("_row"), F.col(doc_id).alias("_own_id"), text_key(F.col(text)).alias("_own_t"), F.col(lang).cast("string").alias("_own_lang"))
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_t") == F.col("_t")) & F.col("_own_lang").eqNullSafe(F.col("_lang"))
+    return rows.join(gone, same, "left_anti").select("_row.*")
