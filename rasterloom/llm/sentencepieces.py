@@ -64,6 +64,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.stable: dict[str | None, dict[str, bool]] = {}
         self.n_stable = 0
         self.prefixes: dict[str, tuple[list, list]] = {}
@@ -76,9 +77,8 @@ class Encoder:
         inside = any(SPACE in p.lstrip(SPACE) for p in vocabulary.pieces)
         #: No piece goes on from another character to a space, so every path has a boundary there.
         self.cut = None if inside else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        joined = {c for p in vocabulary.pieces if len(p) > 1 for c in p}
-        alone = "".join(c for c in "\n\t\r" if c not in joined)
-        self.alone = re.compile(f"[{alone}]") if alone else None
+        #: Neighbouring characters that some piece holds; between any other two every path has a boundary.
+        self.neighbours = {p[i : i + 2] for p in vocabulary.pieces for i in range(len(p) - 1)}
         self.texts = dict.fromkeys(vocabulary.byte_ids, b"") | {i: p.replace(SPACE, " ").encode() for p, i in vocabulary.pieces.items()}
         self.texts |= {i: bytes([n]) for n, i in enumerate(vocabulary.byte_ids)}
 
@@ -188,11 +188,15 @@ class Encoder:
         found = self.chunks.get(chunk)
         if found is not None:
             return found
-        found = self.alone.search(chunk) if self.alone and 1 < len(chunk) <= REMEMBERED_CHARS else None
-        if found:  # a character that joins no other: boundaries on both sides
-            at = found.start()
-            parts = (chunk[:at], chunk[at], chunk[at + 1 :])
-            return b"".join(self._chunk(p) for p in parts if p)
+        found = self.older.get(chunk)
+        if found is not None:
+            return self._remember(chunk, found)
+        if len(chunk) <= REMEMBERED_CHARS:
+            near = self.neighbours
+            cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in near]
+            if cuts:
+                parts = [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
+                return self._remember(chunk, b"".join(map(self._chunk, parts)))
         if len(chunk) <= REMEMBERED_CHARS < 4 * self.v.longest:
             # Shorter than the window of the search: one step of it, without the stream around.
             back: list[str | None] = [None]
@@ -206,11 +210,14 @@ class Encoder:
             found = array("i", ids).tobytes()
         else:
             found = array("i", self.ids(chunk)).tobytes()
-        if len(chunk) <= REMEMBERED_CHARS:
-            if len(self.chunks) >= REMEMBERED:
-                self.chunks.clear()
-            self.chunks[chunk] = found
-        return found
+        return self._remember(chunk, found) if len(chunk) <= REMEMBERED_CHARS else found
+
+    def _remember(self, chunk: str, ids: bytes) -> bytes:
+        """Keeps a chunk; those not asked for since the last time the memory was half full are forgotten."""
+        if len(self.chunks) >= REMEMBERED // 2:
+            self.chunks, self.older = {}, self.chunks
+        self.chunks[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text. A space is put in front, and spaces are the character U+2581, as the model has it."""
@@ -219,8 +226,15 @@ class Encoder:
         line = SPACE + text.replace(" ", SPACE)
         if self.cut is None:
             return np.fromiter(self.ids(line), np.int32)
-        get, chunk = self.chunks.get, self._chunk
-        return np.frombuffer(b"".join(get(m) or chunk(m) for m in self.cut.findall(line)), np.int32)
+        known, chunk = self.chunks, self._chunk
+        found = []
+        for m in self.cut.findall(line):
+            ids = known.get(m)
+            if ids is None:
+                ids = chunk(m)
+                known = self.chunks
+            found.append(ids)
+        return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, without the space put in front."""
