@@ -56,15 +56,14 @@ def words_of(text: str | None) -> list[str]:
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character trigrams of all words in order, and their number for each word.
 
-    Words are marked at both ends; those of over 40 characters are known by their ends.
+    Words are marked at both ends.
     """
-    short = [w if len(w) <= 40 else w[:20] + w[-20:] for w in words]
-    line = "".join(f"<{w}>" for w in short).encode("utf-32-le", "surrogatepass")
+    line = "".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass")
     c = np.frombuffer(line, "<u4").astype(np.uint64)
     mixed = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xD1B54A32D192ED03) + c[2:] * np.uint64(0x2545F4914F6CDD1D)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
     inside = (c[:-2] != ord(">")) & (c[1:-1] != ord(">"))
-    return (mixed[inside] % np.uint64(BUCKETS)).astype(np.int64), np.fromiter(map(len, short), np.int64, len(short))
+    return (mixed[inside] % np.uint64(BUCKETS)).astype(np.int64), np.fromiter(map(len, words), np.int64, len(words))
 
 
 @dataclass

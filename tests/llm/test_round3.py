@@ -224,3 +224,64 @@ def test_forgotten_chunks_are_learnt_again(texts, monkeypatch):
         assert found[1] == own[1]
         for x, y in zip((found[0], *found[2:]), (own[0], *own[2:]), strict=True):
             np.testing.assert_array_equal(x, y)
+
+
+def test_every_letter_of_a_long_word_counts():
+    from rasterloom.llm import language, toxicity
+
+    a, b = "x" * 60 + "merde" + "y" * 60, "x" * 60 + "blume" + "y" * 60
+    assert set(language.word_features(a)) != set(language.word_features(b))
+    assert "mer" in language.word_features(a) and len(language.word_features("q" * 200)) == 198 + 7
+    ids, sizes = toxicity.trigrams([a, "to", b])
+    assert sizes.tolist() == [125, 2, 125]
+    assert sorted(ids[:125]) != sorted(ids[127:])
+
+
+def test_texts_go_through_the_field_in_bounded_slices(monkeypatch):
+    import pyarrow as pa
+
+    from rasterloom.llm import language
+
+    monkeypatch.setattr(language, "SLICE_ROWS", 3)
+    monkeypatch.setattr(language, "SLICE_CHARS", 10)
+    texts = pa.array(["a" * 4, None, "b" * 4, "", "c" * 30, "d", "e", "f" * 9, "é" * 5])
+    found = list(language._slices(texts))
+    assert [a for a, _ in found] == [0, *np.cumsum([n for _, n in found])[:-1].tolist()] and sum(n for _, n in found) == len(texts)
+    for a, n in found:
+        size = sum(len((t or "").encode()) for t in texts.slice(a, n).to_pylist())
+        assert n <= 3 and (size <= 10 or n == 1)
+    assert list(language._slices(pa.array([], pa.string()))) == []
+    assert language.segment(4) == 1 << 18 and language.segment(100) <= (1 << 20) // 100 and language.segment(10**6) == language.BLOCK
+
+
+def test_language_stage_uses_its_answer(spark):
+    """A wrongly declared language goes; an even mixture, an unlabelled text, repeated rows and a NULL id stay."""
+    from rasterloom.llm import language
+
+    words = {"en": "the house and garden with many flowers under bright sunshine", "de": "das haus und der garten mit vielen blumen unter hellem schein"}
+    rng, rows = np.random.default_rng(1), []
+    for i in range(120):
+        lang = ("en", "de")[i % 2]
+        rows.append((i, " ".join(rng.choice(words[lang].split(), 12)), lang))
+    mixed = " ".join(x for pair in zip(words["en"].split(), words["de"].split(), strict=False) for x in pair)
+    rows += [(900, words["de"], "en"), (901, words["de"], None), (902, mixed, "en"), (902, mixed, "en"), (None, words["en"], "en"), (903, "123 !", "en"), (904, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "'x' as _id", "1 as lang_pred")
+    kept = language.keep_known(docs)
+    assert kept.columns == docs.columns
+    ids = Counter(r["doc_id"] for r in kept.collect())
+    assert ids == Counter([*range(120), 901, 902, 902, None])
+    only = Counter(r["doc_id"] for r in language.keep_known(docs, languages=["de"]).collect())
+    assert {i for i in only if i is not None and i < 900} == set(range(1, 120, 2)) and 901 in only and None not in only
+
+
+def test_frequent_chunks_stay_remembered(monkeypatch, texts):
+    """Ids don't depend on what an encoder remembers."""
+    from rasterloom.llm import sentencepieces as S
+
+    sample = [t for t in texts.values() if t][:60]
+    vocabulary = S.read_vocabulary()
+    wanted = [S.Encoder(vocabulary).encode(t).tolist() for t in sample[:10]]
+    monkeypatch.setattr(S, "REMEMBERED", 40)
+    few = S.Encoder(vocabulary)
+    assert [few.encode(t).tolist() for t in sample[:10]] == wanted
+    assert len(few.chunks) <= 20 and len(few.older) <= 20
