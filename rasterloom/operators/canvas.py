@@ -15,7 +15,7 @@ from ..functions.kernels import span
 from ..functions.text import parse_color
 from .ordering import spread_range
 from .packed import along_both, axis, packed, unpack
-from .resample import PIXEL, nearest_planned, with_sizes
+from .resample import PIXEL, is_small, nearest_planned, with_sizes
 
 # Canvas rows listed by one task at a time.
 CANVAS_ROWS = 256
@@ -117,9 +117,9 @@ def edge_pixel_planned(df: DataFrame) -> DataFrame:
     )
 
 
-def edge_means(raster: DataFrame, plan: DataFrame) -> DataFrame:
+def edge_means(raster: DataFrame, plan: DataFrame, small: bool | None = None) -> DataFrame:
     """Per image and channel: mean of the first and last row, first and last column, and the whole."""
-    sized = with_sizes(raster, plan, w=F.col("resized_w"), h=F.col("resized_h"))
+    sized = with_sizes(raster, plan, small, w=F.col("resized_w"), h=F.col("resized_h"))
     only = lambda condition: F.avg(F.when(condition, F.col("v")))
     return sized.groupBy("image_id", "c").agg(
         only(F.col("y") == 0).alias("top_mean"), only(F.col("y") == F.col("p.h") - 1).alias("bottom_mean"),
@@ -153,7 +153,7 @@ def gaussian_blur(raster: DataFrame, sizes: DataFrame, sigma: Column) -> DataFra
     return unpack(along_both(sized.select("*", "p.*")))
 
 
-def blur_background(raster: DataFrame, plan: DataFrame) -> DataFrame:
+def blur_background(raster: DataFrame, plan: DataFrame, small: bool | None = None) -> DataFrame:
     """Packed strips of the blurred, covering copy of each image on its whole output canvas, before it is dimmed.
 
     Each axis is resampled, cut to the canvas and blurred in one go, so pixels or packed rows move once.
@@ -163,16 +163,17 @@ def blur_background(raster: DataFrame, plan: DataFrame) -> DataFrame:
     sigma = F.greatest(F.lit(1.0), BLUR_SIGMA_PER_PIXEL * F.least(c("out_w"), c("out_h")))
     method = F.lit("bilinear")
     sized = with_sizes(
-        packed(raster), plan.withColumn("_cover", cover),
+        packed(raster), plan.withColumn("_cover", cover), small,
         ax=axis(c("resized_w"), c("_cover.w"), method, c("_cover.x"), c("out_w"), sigma),
         ay=axis(c("resized_h"), c("_cover.h"), method, c("_cover.y"), c("out_h"), sigma),
     )
     return along_both(sized.select("*", "p.*"))
 
 
-def blur_around(raster: DataFrame, plan: DataFrame) -> DataFrame:
+def blur_around(raster: DataFrame, plan: DataFrame, small: bool | None = None) -> DataFrame:
     """The dimmed, blurred background outside the image box."""
-    boxes = with_sizes(blur_background(raster, plan), plan, **_placement(plan))
+    small = is_small(plan) if small is None else small
+    boxes = with_sizes(blur_background(raster, plan, small), plan, small, **_placement(plan))
     beside = "y < p.top or y >= p.top + p.h or x < p.left or x >= p.left + p.w"
     cells = boxes.select("image_id", "y", "c", "x0", "p", F.posexplode("row").alias("_at", "v")).withColumn("x", F.col("x0") + F.col("_at"))
     dimmed = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("v") * BLUR_DIMMING))

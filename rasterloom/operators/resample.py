@@ -38,14 +38,19 @@ def method_or_fallback(method: Column, host_resampler: bool) -> Column:
     )
 
 
-def with_sizes(raster: DataFrame, plan: DataFrame, **columns: Column) -> DataFrame:
+def is_small(plan: DataFrame) -> bool:
+    """Whether ``plan`` is counted to be small enough for a broadcast."""
+    return plan.limit(BROADCAST_PLANS + 1).count() <= BROADCAST_PLANS
+
+
+def with_sizes(raster: DataFrame, plan: DataFrame, small: bool | None = None, **columns: Column) -> DataFrame:
     """Pixels with the plan facts they need packed in one struct ``p``.
 
-    The plan is counted: a small one is broadcast, a large one merged. Left to estimates, Spark might
-    broadcast the pixels instead, whose number a compressed or exploded source does not show.
+    The plan is counted, unless ``small`` says what ``is_small`` found: a small one is broadcast, a large one merged. Left
+    to estimates, Spark might broadcast the pixels instead, whose number a compressed or exploded source does not show.
     """
     facts = plan.select("image_id", F.struct(*[c.alias(n) for n, c in columns.items()]).alias("p"))
-    small = plan.limit(BROADCAST_PLANS + 1).count() <= BROADCAST_PLANS
+    small = is_small(plan) if small is None else small
     return raster.join(F.broadcast(facts) if small else facts.hint("merge"), "image_id")
 
 

@@ -14,7 +14,7 @@ from ..sources import manifests as M
 from ..sources import rasters as S
 from .catalogue_queries import GEOMETRY, RESOLVE, flat_plan
 from .registry import query
-from .resize import smart_resize
+from .resize import smart_resize, smart_resize_batches
 
 RAW_WEIGHT = """case method
   when 'nearest-exact' then case when i = ((2 * o + 1) * n_in) // (2 * n_out) then 1 else 0 end
@@ -404,13 +404,16 @@ def _(t):
     return rounded(_smart(t)[0])
 
 
-@query("ras19_smart_resize_mask", VALID + RESOLVE.format(presets="thumb_presets_fx", requests="valid").strip().removeprefix("with") + "," + GEOMETRY.format(targets="targets") + """,
+MASK_CTES = """,
 cells as (select g.*, y, x from geo g, unnest(generate_series(0, out_h - 1)) as a(y), unnest(generate_series(0, out_w - 1)) as b(x)),
 spot as (select *, x - pad_left as rx, y - pad_top as ry from cells),
 src as (select *, case when rx between 0 and resized_w - 1 and ry between 0 and resized_h - 1 then true else false end as hit,
   ((2 * rx + 1) * crop_w) // (2 * resized_w) + case when keep_proportion = 'crop' then crop_x else 0 end as sx,
   ((2 * ry + 1) * crop_h) // (2 * resized_h) + case when keep_proportion = 'crop' then crop_y else 0 end as sy from spot)
-select src.image_id, src.y::int as y, src.x::int as x, round(case when not hit then 1.0 when has_mask then mk.m else 0.0 end, 6) + 0.0 as m
+"""
+
+
+@query("ras19_smart_resize_mask", VALID + RESOLVE.format(presets="thumb_presets_fx", requests="valid").strip().removeprefix("with") + "," + GEOMETRY.format(targets="targets") + MASK_CTES + """select src.image_id, src.y::int as y, src.x::int as x, round(case when not hit then 1.0 when has_mask then mk.m else 0.0 end, 6) + 0.0 as m
 from src left join mask_fx mk on mk.image_id = src.image_id and mk.y = sy and mk.x = sx""", THUMB)
 def _(t):
     return rounded(_smart(t)[1], "m")
@@ -443,3 +446,53 @@ def _(t):
     _, _, plan, rejects = smart_resize(requests, t.thumb_presets_fx, raster, mask)
     return plan.select("image_id", F.lit("accepted").alias("outcome")).unionByName(
         rejects.select("image_id", F.array_join("errors", ",").alias("outcome")))
+
+
+# Batches of four images: a mask each, one mask, none, one of another size, or two that fit nothing; every sixth has masks only.
+BATCHED = """with bmask0 as (select image_id // 4 as b, case (image_id // 4) % 5 when 0 then image_id % 4 when 4 then image_id % 4 else 0 end as pos, y, x, v as m from raster_fx
+  where case (image_id // 4) % 5 when 0 then true when 1 then image_id % 4 = 0 when 2 then false when 3 then image_id % 4 = 1 and y < 4 and x < 5 else image_id % 4 < 2 end),
+breq as (select * replace ((image_id // 4) % 6 <> 5 as has_image, (image_id // 4) % 5 <> 2 as has_mask) from thumb_requests_fx where image_id % 4 = 0),
+spots as (select image_id // 4 as b, image_id % 4 as pos from raster_fx group by 1, 2),
+good as (select r.image_id // 4 as b, s.pos from breq r join spots s on s.b = r.image_id // 4 where case when has_image then s.b % 5 <> 4 else s.b % 5 in (0, 4) and exists (
+  select 1 from bmask0 k where k.b = s.b and k.pos = s.pos) or s.b % 5 = 1 and s.pos = 0 end),
+valid as (select r.* replace (g.b * 4 + g.pos as image_id) from breq r join good g on g.b = r.image_id // 4),
+bmask as (select g.b * 4 + g.pos as image_id, cy as y, cx as x, k.m from good g, unnest(generate_series(0, 7)) as a(cy), unnest(generate_series(0, 7)) as a2(cx)
+  join bmask0 k on true where k.b = g.b and k.pos = case when g.b % 5 in (1, 3) then 0 else g.pos end
+  and k.y = case when g.b % 5 = 3 then ((2 * cy + 1) * 4) // 16 else cy end and k.x = case when g.b % 5 = 3 then ((2 * cx + 1) * 5) // 16 else cx end),"""
+
+
+def _batched(sql: str) -> str:
+    return sql.replace("from mask_fx", "from bmask").replace("left join mask_fx mk", "left join bmask mk")
+
+
+def _smart_batches(t):
+    batch, pos = F.expr("image_id div 4"), F.col("image_id") % 4
+    kind = batch % 5
+    requests = t.thumb_requests_fx.where("image_id % 4 = 0").withColumns(
+        {"image_id": batch, "has_image": batch % 6 != 5, "has_mask": kind != 2})
+    kept = (
+        (kind == 0) | ((kind == 1) & (pos == 0)) | ((kind == 3) & (pos == 1) & (F.col("y") < 4) & (F.col("x") < 5)) | ((kind == 4) & (pos < 2)))
+    raster = t.raster_fx.select(batch.alias("image_id"), pos.cast("int").alias("pos"), "y", "x", "c", "v")
+    masks = t.raster_fx.where(kept).select(
+        batch.alias("image_id"), F.when(kind.isin(0, 4), pos).otherwise(0).cast("int").alias("pos"), "y", "x", F.col("v").alias("m"))
+    return smart_resize_batches(requests, t.thumb_presets_fx, raster, masks)
+
+
+@query("ras19_smart_resize_batches", BATCHED + _batched(SMART_SQL.strip().removeprefix("with")) + """
+select image_id // 4 as image_id, (image_id % 4)::int as pos, y::int as y, x::int as x, c::int as c, round(v, 6) + 0.0 as v from final""", THUMB)
+def _(t):
+    return rounded(_smart_batches(t)[0])
+
+
+@query("ras19_smart_resize_batches_mask", BATCHED + RESOLVE.format(presets="thumb_presets_fx", requests="valid").strip().removeprefix("with") + "," + GEOMETRY.format(targets="targets") + MASK_CTES + """
+select src.image_id // 4 as image_id, (src.image_id % 4)::int as pos, src.y::int as y, src.x::int as x, round(case when not hit then 1.0 when has_mask then mk.m else 0.0 end, 6) + 0.0 as m
+from src left join bmask mk on mk.image_id = src.image_id and mk.y = sy and mk.x = sx""", THUMB)
+def _(t):
+    return rounded(_smart_batches(t)[1], "m").select("image_id", "pos", "y", "x", "m")
+
+
+@query("ras19_smart_resize_batches_rejects", """
+select b as image_id, case when b % 6 = 5 then case b % 5 when 2 then 'no image and no mask' else 'image size differs' end else 'masks fit neither one nor all images' end as errors
+from (select distinct image_id // 4 as b from raster_fx) where case when b % 6 = 5 then b % 5 in (2, 3) else b % 5 = 4 end""", "raster_fx")
+def _(t):
+    return _smart_batches(t)[3].select("image_id", F.array_join("errors", ",").alias("errors"))

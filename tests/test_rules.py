@@ -445,3 +445,29 @@ def test_hook_on_packed_frames(spark):
         "video_id string, frame_idx int, height int, width int, channels int, data binary")
     done = {r.frame_idx: bytes(r.data) for r in apply_per_packed_frame(frames, lambda a: a[:, ::-1]).collect()}
     assert done == {0: bytes([2, 1, 0, 5, 4, 3]), 1: bytes([3, 4, 5, 0, 1, 2])}
+
+
+def test_batches_share_masks_and_fail_as_a_whole(spark):
+    from rasterloom.plans.resize import smart_resize_batches
+
+    presets = spark.createDataFrame([("m", 0, "1K", 0, 0, "1:1", "a", 4, 4)], PRESETS)
+    row = lambda batch, image=True, mask=True: (
+        batch, "m", "1K", "manual", "1:1 (a) - 4 x 4", 4, 4, "nearest-exact", "resize", "0", "center", 2, 2, image, mask, None)
+    requests = spark.createDataFrame([row(1), row(2), row(3), row(4, mask=False), row(5, image=False)], REQUEST)
+    pixel = lambda batch, pos, skip=(): [(batch, pos, y, x, 0, batch / 10 + pos / 100) for y in range(2) for x in range(2) if (y, x) not in skip]
+    raster = spark.createDataFrame(
+        pixel(1, 0) + pixel(1, 1) + pixel(1, 2) + pixel(2, 0) + pixel(2, 1) + pixel(2, 2) + pixel(3, 0) + pixel(3, 2) + pixel(4, 0) + pixel(4, 1),
+        "image_id bigint, pos int, y int, x int, c int, v double")
+    mask = raster.sparkSession.createDataFrame(
+        [(b, p, y, x, float(x)) for b, p in ((1, 0), (2, 0), (2, 1), (3, 0), (5, 0), (5, 1)) for y in range(2) for x in range(2)],
+        "image_id bigint, pos int, y int, x int, m double")
+    pixels, masks, plan, rejects = smart_resize_batches(requests, presets, raster, mask)
+    images = lambda df: {(r.image_id, r.pos) for r in df.select("image_id", "pos").distinct().collect()}
+    wanted = {(1, 0), (1, 1), (1, 2), (4, 0), (4, 1), (5, 0), (5, 1)}
+    assert images(pixels) == images(masks) == images(plan) == wanted
+    assert {r.image_id: r.errors for r in rejects.collect()} == {
+        2: ["masks fit neither one nor all images"], 3: ["image pixels missing"]}
+    found = {(r.image_id, r.pos, r.y, r.x): r.m for r in masks.collect()}
+    assert all(found[1, p, y, x] == (x > 1) for p in range(3) for y in range(4) for x in range(4))
+    assert all(found[4, p, y, x] == 0 for p in range(2) for y in range(4) for x in range(4))
+    assert pixels.schema["image_id"].dataType == requests.schema["image_id"].dataType
