@@ -8,9 +8,11 @@ from ..functions import text as X
 from ..operators import frames as V
 from ..operators import ordering as O
 from ..operators import probes as B
+from ..operators.canvas import quantise
 from ..session import scratch_path
 from ..sources import manifests as M
 from ..sources import media as L
+from ..sources.versions import read_buckets
 from .registry import query
 
 # Python-style suffix of the last path component, lower case.
@@ -81,6 +83,29 @@ def _(t):
     return M.read_manifest(t.spark, merged, "parquet").withColumn("mtime", _ts("mtime"))
 
 
+@query("snk1_published_manifest", f"""
+select video_id, path, case when size % 3 = 1 then size + 1 else size end as size, {TS_SQL.format('mtime')} as mtime, fps, width, height, frame_count
+from manifest_fx""", "manifest_fx")
+def _(t):
+    """Two versions, the second an update of the first; what is read is the second as published."""
+    root = scratch_path(t.spark, "manifest")
+    M.publish_manifest(t.manifest_fx.where("size % 3 <> 0").withColumn("size", F.col("size") + 1), root)
+    M.update_manifest(t.manifest_fx.where("size % 3 <> 1"), root)
+    return M.read_published_manifest(t.spark, root).withColumn("mtime", _ts("mtime"))
+
+
+@query("snk2_replaced_frames", """
+select image_id::varchar as video_id, image_id % 4 as frame_idx, y, x, case when image_id % 7 = 2 then 255 - round_even(v * 255, 0)::int else round_even(v * 255, 0)::int end as v
+from raster_fx""", "raster_fx")
+def _(t):
+    """All frames, then a seventh of them again with other pixels, which replace the first."""
+    root = scratch_path(t.spark, "frames")
+    frames = quantise(t.raster_fx).select(F.col("image_id").cast("string").alias("video_id"), (F.col("image_id") % 4).alias("frame_idx"), "y", "x", "v")
+    M.replace_frames(frames, root, buckets=8)
+    M.replace_frames(frames.where("video_id % 7 = 2").withColumn("v", 255 - F.col("v")), root, buckets=8)
+    return read_buckets(t.spark, root, frames.schema)
+
+
 @query("jsn2_manifest_encode_decode", f"""
 select video_id, path, size, {TS_SQL.format('mtime')} as mtime, fps, width, height, frame_count from manifest_fx""", "manifest_fx")
 def _(t):

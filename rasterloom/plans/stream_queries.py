@@ -51,8 +51,8 @@ def _(t):
     stream = _arriving(t, t.frames_fx, "frames")
     sink, progress = _paths(t, "last")
     key, order = ["video_id", "frame_name"], ["arrived", "payload"]
-    P.keep_last(stream, sink, progress, key, order)
-    return P.read_last(t.spark, sink, key, order).select(*key, "payload")
+    P.keep_last(stream, sink, progress, key, order, buckets=8)
+    return P.read_last(t.spark, sink).select(*key, "payload")
 
 
 @query("str4_changed_source_detection", ACTIONS_SQL, "sources_fx manifest_fx frames_fx")

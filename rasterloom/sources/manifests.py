@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import merge_buckets, publish_table, read_table
+
 MANIFEST_SCHEMA = (
     "video_id string, path string, size bigint, mtime timestamp_ntz, fps double, width int, height int, frame_count int"
 )
@@ -45,6 +47,30 @@ def write_manifest(manifest: DataFrame, path: str, format: str = "parquet") -> N
         manifest.select(*_FIELDS).write.mode("overwrite").parquet(path)
 
 
+def publish_manifest(manifest: DataFrame, root: str) -> int:
+    """Write the manifest as a new version below ``root`` and publish it; readers have the old one until then."""
+    return publish_table(manifest.select(*_FIELDS), root)
+
+
+def update_manifest(touched: DataFrame, root: str) -> int:
+    """Publish the latest manifest with the entries of the videos in ``touched`` replaced and new videos added."""
+    return publish_manifest(merge_manifest(read_published_manifest(touched.sparkSession, root), touched), root)
+
+
+def read_published_manifest(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The latest published manifest, or an older one; no entries before the first."""
+    return read_table(spark, root, MANIFEST_SCHEMA, version)
+
+
+def replace_frames(frames: DataFrame, root: str, key: tuple[str, ...] = ("video_id", "frame_idx"), buckets: int = 256) -> int:
+    """Replace whole frames, known by ``key``, and add new ones; only the buckets of their videos are written."""
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(new.select(*key).distinct(), list(key), "left_anti").select(*new.columns).unionByName(new)
+
+    order = [*key, *(c for c in ("y", "c") if c in frames.columns and c not in key)]
+    return merge_buckets(frames, root, [key[0]], merge, order, buckets)
+
+
 def write_frames(frames: DataFrame, path: str, buckets: int = 256) -> None:
     """Write frame or pixel rows in a fixed number of folders by video.
 

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.constants import FRAME_FILES
 from ..operators.frames import extraction_plan
 from ..session import materialise
+from ..sources.versions import merge_buckets, read_buckets
 
 
 def frame_stream(
@@ -39,11 +40,15 @@ def run_frames(stream: DataFrame, fn: Callable[[DataFrame], DataFrame], sink: st
     return _drain(writer, checkpoint)
 
 
-def upsert_batch(sink: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """Batch writer that keeps, per key, the row that is last in ``order``."""
+def upsert_batch(sink: str, key: list[str], order: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Batch writer that keeps, per key, the row that is last in ``order``, in the buckets that the batch touches.
+
+    A batch is published under its number; repeating it replaces its own files from the versions before it.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        last_rows(batch, key, order).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        settle = lambda old, new: last_rows(old.unionByName(new), key, order)
+        merge_buckets(last_rows(batch, key, order), sink, key, settle, buckets=buckets, version=batch_id)
 
     return write
 
@@ -55,13 +60,14 @@ def last_rows(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(last).select(*key, "_last.*").select(*df.columns)
 
 
-def keep_last(stream: DataFrame, sink: str, checkpoint: str, key: list[str], order: list[str]) -> StreamingQuery:
-    """Last write wins: one row per key and batch; ``read_last`` settles the batches among themselves."""
-    return _drain(stream.writeStream.foreachBatch(upsert_batch(sink, key, order)), checkpoint)
+def keep_last(stream: DataFrame, sink: str, checkpoint: str, key: list[str], order: list[str], buckets: int = 64) -> StreamingQuery:
+    """Last write wins: ``read_last`` finds one row per key. A sink belongs to one checkpoint and number of buckets."""
+    return _drain(stream.writeStream.foreachBatch(upsert_batch(sink, key, order, buckets)), checkpoint)
 
 
-def read_last(spark: SparkSession, sink: str, key: list[str], order: list[str]) -> DataFrame:
-    return last_rows(spark.read.parquet(sink).drop("batch"), key, order)
+def read_last(spark: SparkSession, sink: str) -> DataFrame:
+    """The last row per key of all published batches; nothing is grouped again."""
+    return read_buckets(spark, sink)
 
 
 def completed_videos(stream: DataFrame, manifest: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
