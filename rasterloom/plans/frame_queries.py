@@ -53,6 +53,55 @@ def _(t):
     )
 
 
+# A dozen files by remainder of the page, their names, and their places in the listings (none: not listed).
+VIDEO_FILES = [
+    ("b/Take_10.MP4", 2), ("b/take_9.mkv", 3), ("a.txt", None), ("a/notes.MOV.txt", None), ("a/clip.webm", 1), ("Z.avi", 0), ("c/d/e.M2ts", 6),
+    ("c/d.png", None), ("c.mp4", 5), ("c-1.mp4", 4), ("noext", None), ("c/mp4", None),
+]
+IMAGE_FILES = [
+    ("frame_10.png", 4), ("frame_9.PNG", 3), ("Frame_1.jpg", 0), ("frame_2.webp", 1), ("frame_2b.tiff", 2), ("take 3.bmp", 6), ("take 03a.bmp", 7),
+    ("frame_11.mp4", None), ("sub/frame_1.png", None), ("frame.png.txt", None), ("frame_100.jpeg", 5), ("zebra", None),
+]
+
+
+def _files_sql(files):
+    names = ", ".join(f"({i}, '{path}', {pos})" for i, (path, pos) in enumerate(files) if pos is not None)
+    return f"""
+select path, pos::int as pos, sum(octet_length(encode(url)) + 1)::bigint as size from pages join (values {names}) as f(k, path, pos) on page_id % {len(files)} = k group by path, pos"""
+
+
+def _written_files(t, files):
+    """The pages' addresses in files of these names; as Spark names its own files, each is moved to its place afterwards."""
+    root, parts = scratch_path(t.spark, "files"), scratch_path(t.spark, "parts")
+    t.pages.select((F.col("page_id") % len(files)).alias("k"), "url").repartition("k").write.partitionBy("k").text(parts)
+    jvm = t.spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    store = path(root).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    for k, (name, _) in enumerate(files):
+        found = store.globStatus(path(f"{parts}/k={k}/part-*"))
+        if found:
+            store.mkdirs(path(f"{root}/{name}").getParent())
+            store.rename(found[0].getPath(), path(f"{root}/{name}"))
+    return root
+
+
+def _places(listed):
+    """A listing in order as rows with their place; listings of a folder are short."""
+    return listed.coalesce(1).withColumn("pos", F.monotonically_increasing_id().cast("int")).select("path", "pos", "size")
+
+
+@query("src2_video_names", _files_sql(VIDEO_FILES))
+def _(t):
+    """Videos by suffix in any case, in all folders, in name order."""
+    return _places(L.list_media(t.spark, _written_files(t, VIDEO_FILES)))
+
+
+@query("src3_image_names", _files_sql(IMAGE_FILES))
+def _(t):
+    """Images of one folder in natural order."""
+    return _places(L.list_images(t.spark, _written_files(t, IMAGE_FILES)))
+
+
 @query("src5_manifest_scan", f"""
 select video_id, path, size, {TS_SQL.format('mtime')} as mtime, fps, width, height, frame_count from manifest_fx where frame_count % 5 <> 2""",
        "manifest_fx")
