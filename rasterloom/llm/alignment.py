@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import small
+from .common import held, small
 
 MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
@@ -247,16 +247,6 @@ def _summed(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return once, np.bincount(at, n, len(once)).astype(np.int32)
 
 
-_latest: list[Aligner] = []
-
-
-def _aligner(models: Models) -> Aligner:
-    """The worker's aligner, which later tasks of the same job take over with the chunks it knows."""
-    if not _latest or _latest[0].models is not models:
-        _latest[:] = [Aligner(models)]
-    return _latest[0]
-
-
 NOTHING = (np.zeros(4, np.int64), "", *[np.empty(0, t) for t in (np.int32, np.int32, np.int64, np.int32)])
 
 
@@ -268,7 +258,8 @@ def _align(models):
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(models.value)
+        # Later tasks take it over with the chunks it knows.
+        aligner = held(models.value, lambda: Aligner(models.value))
         for batch in batches:
             first, found, chars = 0, [], 0
             for row, text in enumerate(batch.column(0)):

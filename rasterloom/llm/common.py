@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +77,31 @@ def without(docs: DataFrame, dropped: DataFrame, doc_id: Column, text: str) -> D
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is counted to be small, else unmarked for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def text_slices(texts: pa.Array, rows: int = 500, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """First rows and numbers of rows of slices of a batch: at most ``rows`` rows and, but for a longer text, ``size`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for row, own in enumerate(sizes.tolist()):
+        if row > start and (row - start >= rows or total + own > size):
+            yield start, row - start
+            start, total = row, 0
+        total += own
+    if start < len(sizes):
+        yield start, len(sizes) - start
+
+
+_held: list = []
+
+
+def held(owner: object, make: Callable[[], object]) -> object:
+    """What ``make`` makes for ``owner``, kept by this worker for later tasks of the same job.
+
+    A worker keeps one thing at a time: what it held for another operator's model is let go first, as workers outlive
+    stages and their memory would add up.
+    """
+    if not _held or _held[0] is not owner:
+        _held.clear()
+        _held[:] = [owner, make()]
+    return _held[1]

@@ -19,13 +19,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import remainder, small, text_key
+from .common import held, remainder, small, text_key, text_slices
 
 UNKNOWN = "und"
 #: A word is a run of letters with their marks; digits, signs and spaces are none.
@@ -39,11 +38,9 @@ STEPS = 40
 #: A lexicon word occurs in at least this many texts of the sample.
 LEXICON_TEXTS = 3
 #: Words whose scores a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Words times languages that are worked on at a time, and words of a block.
-SEGMENT, BLOCK = 1 << 20, 128
-#: Texts handed to the field at a time: rows, and characters.
-SLICE_ROWS, SLICE_CHARS = 500, 4 << 20
+SEGMENT, BLOCK = 1 << 19, 128
 #: A document whose declared language differs from the one found with at least this mean probability is rejected.
 CONTRADICTED = 0.9
 
@@ -364,36 +361,14 @@ class Reader:
         return langs, scores
 
 
-_latest: list[Reader] = []
-
-
-def _reader(model: Model) -> Reader:
-    """The worker's reader, which later tasks of the same job take over with the words it knows."""
-    if not _latest or _latest[0].model is not model:
-        _latest[:] = [Reader(model)]
-    return _latest[0]
-
-
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """First rows and numbers of rows, each of at most SLICE_ROWS rows and, but for a longer text, SLICE_CHARS bytes."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    start = held = 0
-    for row, size in enumerate(sizes.tolist()):
-        if row > start and (row - start >= SLICE_ROWS or held + size > SLICE_CHARS):
-            yield start, row - start
-            start, held = row, 0
-        held += size
-    if start < len(sizes):
-        yield start, len(sizes) - start
-
-
 def _predict(shared, at: int, stays: bool):
     """For mapInArrow: languages of the texts in column ``at``, which is handed on or not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(shared.value)
+        # Later tasks take it over with the words it knows.
+        reader = held(shared.value, lambda: Reader(shared.value))
         for batch in batches:
-            for start, n in _slices(batch.column(at)):
+            for start, n in text_slices(batch.column(at)):
                 part = batch.slice(start, n)
                 langs, scores = reader.predict(part.column(at).to_pylist())
                 kept = part if stays else part.select([i for i in range(part.num_columns) if i != at])

@@ -23,11 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, text_slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Chunks, and pairs of pieces, that a worker remembers at most; longer chunks aren't remembered.
 REMEMBERED = 300_000
 REMEMBERED_CHARS = 48
+#: Beginnings that a worker remembers at most; each holds lists.
+REMEMBERED_PREFIXES = 40_000
 #: Beginnings of so many characters whose search is remembered: paths up to there depend on nothing that follows.
 PREFIXES = (7, 5)
 
@@ -77,8 +81,9 @@ class Encoder:
         inside = any(SPACE in p.lstrip(SPACE) for p in vocabulary.pieces)
         #: No piece goes on from another character to a space, so every path has a boundary there.
         self.cut = None if inside else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        #: Neighbouring characters that some piece holds; between any other two every path has a boundary.
-        self.neighbours = {p[i : i + 2] for p in vocabulary.pieces for i in range(len(p) - 1)}
+        joined = {c for p in vocabulary.pieces if len(p) > 1 for c in p}
+        alone = "".join(c for c in "\n\t\r" if c not in joined)
+        self.alone = re.compile(f"[{alone}]") if alone else None
         self.texts = dict.fromkeys(vocabulary.byte_ids, b"") | {i: p.replace(SPACE, " ").encode() for p, i in vocabulary.pieces.items()}
         self.texts |= {i: bytes([n]) for n, i in enumerate(vocabulary.byte_ids)}
 
@@ -139,7 +144,7 @@ class Encoder:
         if begins:
             for size in PREFIXES:
                 if from_here <= size <= len(held):
-                    if len(self.prefixes) >= REMEMBERED:
+                    if len(self.prefixes) >= REMEMBERED_PREFIXES:
                         self.prefixes.clear()
                     self.prefixes[held[:size]] = (back[: size + 1], sums[: size + 1])
 
@@ -191,12 +196,11 @@ class Encoder:
         found = self.older.get(chunk)
         if found is not None:
             return self._remember(chunk, found)
-        if len(chunk) <= REMEMBERED_CHARS:
-            near = self.neighbours
-            cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in near]
-            if cuts:
-                parts = [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
-                return self._remember(chunk, b"".join(map(self._chunk, parts)))
+        found = self.alone.search(chunk) if self.alone and 1 < len(chunk) <= REMEMBERED_CHARS else None
+        if found:  # a character that joins no other: boundaries on both sides
+            at = found.start()
+            parts = (chunk[:at], chunk[at], chunk[at + 1 :])
+            return b"".join(self._chunk(p) for p in parts if p)
         if len(chunk) <= REMEMBERED_CHARS < 4 * self.v.longest:
             # Shorter than the window of the search: one step of it, without the stream around.
             back: list[str | None] = [None]
@@ -242,27 +246,19 @@ class Encoder:
         return line[1:] if line.startswith(" ") else line
 
 
-_latest: list[Encoder] = []
-
-
-def _encoder(vocabulary: Vocabulary) -> Encoder:
-    """The worker's encoder, which later tasks of the same job take over with the chunks it knows."""
-    if not _latest or _latest[0].v is not vocabulary:
-        _latest[:] = [Encoder(vocabulary)]
-    return _latest[0]
-
-
 def _encode(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary.value)
-        for batch in batches:
-            found = [encoder.encode(t.as_py() or "") for t in batch.column(0)]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64))).astype(np.int32)
-            flat = np.concatenate(found) if found else np.empty(0, np.int32)
-            decoded = [encoder.decode(x) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string())],
-                [*batch.schema.names[1:], "ids", "decoded"])
+        # Later tasks take it over with the chunks it knows.
+        encoder = held(vocabulary.value, lambda: Encoder(vocabulary.value))
+        for whole in batches:
+            for start, n in text_slices(whole.column(0)):
+                batch = whole.slice(start, n)
+                found = [encoder.encode(t.as_py() or "") for t in batch.column(0)]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64))).astype(np.int32)
+                decoded = [encoder.decode(x) for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found))), pa.array(decoded, pa.string())],
+                    [*batch.schema.names[1:], "ids", "decoded"])
 
     return run
 

@@ -237,21 +237,20 @@ def test_every_letter_of_a_long_word_counts():
     assert sorted(ids[:125]) != sorted(ids[127:])
 
 
-def test_texts_go_through_the_field_in_bounded_slices(monkeypatch):
+def test_texts_go_through_models_in_bounded_slices():
     import pyarrow as pa
 
     from rasterloom.llm import language
+    from rasterloom.llm.common import text_slices
 
-    monkeypatch.setattr(language, "SLICE_ROWS", 3)
-    monkeypatch.setattr(language, "SLICE_CHARS", 10)
     texts = pa.array(["a" * 4, None, "b" * 4, "", "c" * 30, "d", "e", "f" * 9, "é" * 5])
-    found = list(language._slices(texts))
+    found = list(text_slices(texts, 3, 10))
     assert [a for a, _ in found] == [0, *np.cumsum([n for _, n in found])[:-1].tolist()] and sum(n for _, n in found) == len(texts)
     for a, n in found:
         size = sum(len((t or "").encode()) for t in texts.slice(a, n).to_pylist())
         assert n <= 3 and (size <= 10 or n == 1)
-    assert list(language._slices(pa.array([], pa.string()))) == []
-    assert language.segment(4) == 1 << 18 and language.segment(100) <= (1 << 20) // 100 and language.segment(10**6) == language.BLOCK
+    assert list(text_slices(pa.array([], pa.string()))) == []
+    assert language.segment(4) == 1 << 17 and language.segment(100) <= (1 << 19) // 100 and language.segment(10**6) == language.BLOCK
 
 
 def test_language_stage_uses_its_answer(spark):
