@@ -10,11 +10,6 @@ from ..sources import workflows as W
 from .registry import query
 
 
-def _graphs(t):
-    """The derived edges as a stored table, since every round of a traversal reads them."""
-    return materialise(t.graphs_fx, "edges")
-
-
 def _ends(t, node):
     return t.orders.select(F.col("o_orderkey").alias("graph_id"), F.lit(node).alias("node_id"))
 
@@ -31,14 +26,14 @@ members as (select * from (select * from up intersect select * from down)
 
 @query("grf1_upstream_reach", UP + "select graph_id, node_id from up", "graphs_fx")
 def _(t):
-    return G.upstream(_graphs(t), _ends(t, "end"))[0]
+    return G.upstream(t.graphs_fx, _ends(t, "end"))[0]
 
 
 @query("grf1_upstream_edges", UP + """
 select graph_id, src, src_slot, dst, dst_input, link_type from graphs_fx e where dst = 'end' or exists (select 1 from up where up.graph_id = e.graph_id and up.node_id = e.dst)""",
        "graphs_fx")
 def _(t):
-    return G.upstream(_graphs(t), _ends(t, "end"))[1]
+    return G.upstream(t.graphs_fx, _ends(t, "end"))[1]
 
 
 @query("grf1_customer_ancestors", """
@@ -55,20 +50,18 @@ def _(t):
 inner_nodes as (select graph_id, dst as node_id from used where src = 'start' union select e.graph_id, e.dst from used e join inner_nodes i on i.graph_id = e.graph_id and i.node_id = e.src)
 select graph_id, node_id from inner_nodes""", "graphs_fx")
 def _(t):
-    used = G.upstream(_graphs(t), _ends(t, "end"))[1]
-    return G.downstream(materialise(used, "used"), _ends(t, "start"))[0]
+    return G.inner(t.graphs_fx, _ends(t, "start"), _ends(t, "end"))
 
 
 @query("grf3_subgraph_between", UP + "select graph_id, node_id from members", "graphs_fx")
 def _(t):
-    return G.between(_graphs(t), _ends(t, "start"), _ends(t, "end"))
+    return G.between(t.graphs_fx, _ends(t, "start"), _ends(t, "end"))
 
 
 @query("set2_reach_intersection", UP + "select graph_id, node_id from members", "graphs_fx")
 def _(t):
     starts, ends = _ends(t, "start"), _ends(t, "end")
-    edges = _graphs(t)
-    down, up = G.downstream(edges, starts)[0], G.upstream(edges, ends)[0]
+    down, up = G.both_ways(t.graphs_fx, starts, ends)
     return G.reach_intersection(down, up, starts, ends)
 
 
@@ -77,8 +70,7 @@ select e.graph_id, src, src_slot, dst, dst_input, link_type, case when s.node_id
   case when dst = 'end' then 'Recurse' else dst end as copy_dst, case when s.node_id is not null and src = 'end' then 'Recurse' else src end as copy_src
 from graphs_fx e join members d on d.graph_id = e.graph_id and d.node_id = e.dst left join members s on s.graph_id = e.graph_id and s.node_id = e.src""", "graphs_fx")
 def _(t):
-    edges, ends = _graphs(t), _ends(t, "end")
-    return G.classify_edges(edges, G.between(edges, _ends(t, "start"), ends), ends)
+    return G.classify_between(t.graphs_fx, _ends(t, "start"), _ends(t, "end"))
 
 
 def _workflow_documents(t):
@@ -145,5 +137,6 @@ def _(t):
     at = lambda node: docs.select("graph_id", F.lit(node).alias("node_id"))
     controls = t.spark.createDataFrame(CONTROLS, "type string, position int, input string")
     literals = W.literal_inputs(docs, "document", controls)
-    found = G.classify_inputs(edges, literals, G.between(edges, at("1"), at("3")), at("1"), at("3"), next_index=7)
+    members = materialise(G.between(edges, at("1"), at("3")), "members")
+    found = G.classify_inputs(edges, literals, members, at("1"), at("3"), next_index=7)
     return found.select("graph_id", "src", "dst", "dst_input", "kind", "copy_dst", "value")

@@ -471,3 +471,43 @@ def test_batches_share_masks_and_fail_as_a_whole(spark):
     assert all(found[1, p, y, x] == (x > 1) for p in range(3) for y in range(4) for x in range(4))
     assert all(found[4, p, y, x] == 0 for p in range(2) for y in range(4) for x in range(4))
     assert pixels.schema["image_id"].dataType == requests.schema["image_id"].dataType
+
+
+@pytest.mark.parametrize("small", [25, 4000])
+def test_small_and_large_graphs_have_the_same_loop_bodies(spark, monkeypatch, small):
+    """Walks of whole graphs, rounds, and both in one table give what a plain walk gives."""
+    monkeypatch.setattr(GR, "SMALL", small)
+    rng = random.Random(5)
+    edges, starts, ends = [], [], []
+    for g in range(12):
+        n = rng.choice([2, 5, 30])
+        edges += [(g, str(a), str(b)) for a in range(n) for b in rng.sample(range(n), rng.choice([0, 1, 1, 2]))]
+        starts += [(g, str(rng.randrange(n))) for _ in range(rng.choice([1, 1, 2]))]
+        ends += [(g, str(rng.randrange(n))) for _ in range(rng.choice([0, 1, 2]))]
+    df = spark.createDataFrame([*edges, (3, "0", None), (3, None, "1"), (None, "0", "1")], "graph_id int, src string, dst string")
+    nodes = lambda rows: spark.createDataFrame(rows, "graph_id int, node_id string")
+    first, last = nodes([*starts, (None, "0"), (3, None), (99, "0")]), nodes(ends)
+    rows = lambda found: sorted(((r.graph_id, r.node_id) for r in found.where("graph_id is not null and node_id is not null").collect()))
+    up, down = plain_reach([(g, b, a) for g, a, b in edges], ends), plain_reach(edges, starts)
+    towards = [(g, a, b) for g, a, b in edges if (g, b) in up | set(ends)]
+    inner = plain_reach(towards, starts)
+    members = inner | set(starts) | set(ends) | {(99, "0")}
+    assert rows(GR.upstream(df, last)[0]) == sorted(up) and rows(GR.downstream(df, first)[0]) == sorted(down)
+    used = GR.upstream(df, last)[1].where("src is not null")
+    assert used.columns == df.columns and sorted((r.graph_id, r.src, r.dst) for r in used.collect()) == sorted(towards)
+    assert rows(GR.inner(df, first, last)) == sorted(inner) and rows(GR.between(df, first, last)) == sorted(members)
+    assert rows(GR.reach_intersection(*GR.both_ways(df, first, last), first, last)) == sorted(up & down | members - inner)
+    wanted = sorted((g, a, b, (g, a) in members, (g, b) in set(ends)) for g, a, b in edges if (g, b) in members)
+    for found in (GR.classify_between(df, first, last), GR.classify_edges(df, GR.between(df, first, last), last)):
+        kinds = [(r.graph_id, r.src, r.dst, r.kind == "internal", r.copy_dst == GR.LOOP_END_ID) for r in found.where("src is not null").collect()]
+        assert sorted(kinds) == wanted
+
+
+def test_small_graphs_move_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(GR, "materialise", lambda df, name: written.append(name) or materialise(df, name))
+    edges = spark.createDataFrame([(g, a, b) for g in range(50) for a, b in ("sa", "ab", "be")], "graph_id int, src string, dst string")
+    at = lambda node: spark.range(50).selectExpr("cast(id as int) as graph_id", f"'{node}' as node_id")
+    found = GR.classify_between(edges, at("s"), at("e"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 150 and plan.count("Exchange") == 1 and not written
