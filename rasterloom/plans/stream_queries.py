@@ -14,11 +14,15 @@ from .frame_queries import ACTIONS_SQL
 from .registry import query
 
 
-def _arriving(t, df, name, files=4):
-    """``df`` written as files and read as a stream of two files per batch."""
-    path = scratch_path(t.spark, name)
+# Rows of a file that arrives.
+FILE_ROWS = 500_000
+
+
+def _arriving(t, df, name):
+    """``df`` written as at least four files of at most some ``FILE_ROWS`` rows and read as a stream of half of them per batch."""
+    path, files = scratch_path(t.spark, name), max(4, -(-df.count() // FILE_ROWS))
     df.repartition(files).write.parquet(path)
-    return P.frame_stream(t.spark, path, df.schema, max_files=2)
+    return P.frame_stream(t.spark, path, df.schema, max_files=-(-files // 2))
 
 
 def _paths(t, name):

@@ -150,3 +150,16 @@ def test_readers_see_whole_manifests(spark):
     assert counts(M.read_published_manifest(spark, root))["a"] == 1
     assert M.update_manifest(manifest(entry("a", 4)), root) == 3
     assert counts(M.read_published_manifest(spark, root)) == {"a": 4, "b": 5, "c": 7}
+
+
+def test_arriving_files_stay_small(spark, monkeypatch, tmp_path):
+    """More rows make more files, so that no task reads a fixed share of them all."""
+    from rasterloom.plans import stream_queries as Q
+    from rasterloom.plans.registry import Tables
+
+    monkeypatch.setattr(Q, "FILE_ROWS", 100)
+    monkeypatch.setattr(Q, "scratch_path", lambda session, name: str(tmp_path / name))
+    Q._arriving(Tables(spark, "/root/testdata/sf0.001"), spark.range(1000), "many")
+    Q._arriving(Tables(spark, "/root/testdata/sf0.001"), spark.range(40), "few")
+    files = lambda name: len(list((tmp_path / name).glob("*.parquet")))
+    assert files("many") == 10 and 1 <= files("few") <= 4
