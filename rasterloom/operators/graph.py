@@ -309,11 +309,14 @@ def inner(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
     return found if split.large is None else found.unionByName(_inner(split.large[0], split.large[1][START], split.large[1][END]))
 
 
+def _of_no_graph(*named: DataFrame) -> DataFrame:
+    return _union([df.select(*NODE) for df in named]).where("graph_id is null").distinct()
+
+
 def between(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
     """Nodes on a way from a graph's start to its end, both included."""
     split = _Split(edges, {START: starts, END: ends})
-    unknown = _union([starts.select(*NODE), ends.select(*NODE)]).where("graph_id is null").distinct()
-    found = split.nodes("inner", "given").select(*NODE).unionByName(unknown)
+    found = split.nodes("inner", "given").select(*NODE).unionByName(_of_no_graph(starts, ends))
     if split.large is None:
         return found
     links, named = split.large
@@ -341,6 +344,17 @@ def reach_intersection(down: DataFrame, up: DataFrame, starts: DataFrame, ends:
     return sets.where("(_down and _up) or _given").select(*NODE)
 
 
+def reached_both_ways(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """``reach_intersection`` of what ``both_ways`` finds; of small graphs neither is stored or moved, as the walk knows both."""
+    split = _Split(edges, {START: starts, END: ends})
+    found = split.nodes("down", "up", "given").where("(_down and _up) or _given").select(*NODE).unionByName(_of_no_graph(starts, ends))
+    if split.large is None:
+        return found
+    links, named = split.large
+    down, up = _walked(links, named[START], "src", "dst")[0], _walked(links, named[END], "dst", "src")[0]
+    return found.unionByName(reach_intersection(down, up, named[START], named[END]))
+
+
 def _facts(starts: DataFrame | None, ends: DataFrame, members: DataFrame) -> dict[int, DataFrame]:
     return {MEMBER: members, END: ends} | ({} if starts is None else {START: starts})
 

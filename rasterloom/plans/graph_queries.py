@@ -60,9 +60,7 @@ def _(t):
 
 @query("set2_reach_intersection", UP + "select graph_id, node_id from members", "graphs_fx")
 def _(t):
-    starts, ends = _ends(t, "start"), _ends(t, "end")
-    down, up = G.both_ways(t.graphs_fx, starts, ends)
-    return G.reach_intersection(down, up, starts, ends)
+    return G.reached_both_ways(t.graphs_fx, _ends(t, "start"), _ends(t, "end"))
 
 
 @query("grf4_edge_classification", UP + """

@@ -511,3 +511,20 @@ def test_small_graphs_move_once(spark, monkeypatch):
     found = GR.classify_between(edges, at("s"), at("e"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 150 and plan.count("Exchange") == 1 and not written
+
+
+@pytest.mark.parametrize("small", [3, 4000])
+def test_reach_both_ways_needs_no_table(spark, monkeypatch, small):
+    """Small graphs move once for both directions and their intersection; a null id, and one that no link names, stay."""
+    monkeypatch.setattr(GR, "SMALL", small)
+    written = []
+    monkeypatch.setattr(GR, "materialise", lambda df, name: written.append(name) or materialise(df, name))
+    edges = spark.createDataFrame([(g, a, b) for g in range(20) for a, b in ("sa", "ab", "be", "xb", "ay")], "graph_id int, src string, dst string")
+    edges = edges.union(spark.createDataFrame([(0, None, "a"), (0, "a", None), (None, "s", "e")], edges.schema))
+    at = lambda node: spark.createDataFrame([(g, node) for g in [*range(20), 77, None]], "graph_id int, node_id string")
+    found = GR.reached_both_ways(edges, at("s"), at("e"))
+    if small > 3:
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(graph_id") == 1 and not written
+    rows = lambda df: sorted(((r.graph_id, r.node_id) for r in df.collect()), key=str)
+    assert rows(found) == rows(GR.reach_intersection(*GR.both_ways(edges, at("s"), at("e")), at("s"), at("e")))
+    assert len(rows(found)) == 20 * 4 + 1 + 2 + 2
