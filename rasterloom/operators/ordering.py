@@ -2,15 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
 
+# Groups of up to this many rows are sorted whole in a task.
+WHOLE = 100_000
+
+
 def grouped_position(df: DataFrame, group: list[str], order: list[Column], position: str, total: str) -> DataFrame:
     """Add the 0-based position of a row in its group and the group's size; NULL is a group too.
 
+    Groups of up to ``WHOLE`` rows are ranked by a window, so their rows move once and their order is worked out once.
+    Larger ones, told by a count and broadcast by their keys, are cut into ranges.
+    """
+    sizes = df.groupBy(*group).agg(F.count("*").cast("int").alias("_rows"))
+    large = materialise(sizes.where(F.col("_rows") > WHOLE).select(*(F.col(g).alias(f"_of_{g}") for g in group)), "large")
+    if large.isEmpty():
+        return _ranked_whole(df, group, order, position, total)
+    same = reduce(Column.__and__, (F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group))
+    apart = lambda how: df.join(F.broadcast(large), same, how)
+    return _ranked_whole(apart("left_anti"), group, order, position, total).unionByName(
+        _ranked_in_ranges(apart("left_semi"), group, order, position, total))
+
+
+def _ranked_whole(df: DataFrame, group: list[str], order: list[Column], position: str, total: str) -> DataFrame:
+    keys = [f"_key_{i}" for i in range(len(order))]
+    rows = Window.partitionBy(*group)
+    return df.withColumns(dict(zip(keys, order))).select(
+        *df.columns, F.count("*").over(rows).cast("int").alias(total),
+        (F.row_number().over(rows.orderBy(*keys)) - 1).cast("int").alias(position))
+
+
+def _ranked_in_ranges(df: DataFrame, group: list[str], order: list[Column], position: str, total: str) -> DataFrame:
+    """``grouped_position`` of groups of any size.
+
     Rows are dealt out in ranges of (group, order) that Spark samples from the rows themselves, so a range holds
     about equally many whatever the names look like, and one huge group is cut into many. They are stored with the
     number of their range, ranked inside it and shifted by the sizes of the group's earlier ranges; only these sizes

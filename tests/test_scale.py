@@ -15,6 +15,7 @@ from rasterloom.functions.taps import resampled
 from rasterloom.operators import canvas as K
 from rasterloom.operators import catalogue as C
 from rasterloom.operators import frames as V
+from rasterloom.operators import ordering
 from rasterloom.operators import packed as P
 from rasterloom.operators import resample as R
 from rasterloom.plans.registry import Tables
@@ -273,6 +274,20 @@ def test_positions_whatever_the_names_look_like(spark, pattern):
         assert [r.frame_name for r in own] == sorted(r.frame_name for r in own)
 
 
+def test_small_groups_are_ordered_once_and_large_ones_cut(spark, monkeypatch):
+    """Groups that fit a task move by a window, without a table of ranges; larger ones beside them get the same positions."""
+    written = []
+    monkeypatch.setattr(ordering, "materialise", lambda df, name: written.append(name) or materialise(df, name))
+    rows = [(v, f"frame_{i}.png") for v, n in (("a", 12), (None, 11), ("b", 3)) for i in range(n)]
+    frames = spark.createDataFrame(rows, "video_id string, frame_name string")
+    positions = lambda: sorted((str(r.video_id), r.frame_idx, r.found_count, r.frame_name) for r in V.natural_index(frames).collect())
+    whole = positions()
+    assert written == ["large"]
+    assert whole == sorted((str(v), i, n, f"frame_{i}.png") for v, n in (("a", 12), (None, 11), ("b", 3)) for i in range(n))
+    monkeypatch.setattr(ordering, "WHOLE", 10)
+    assert positions() == whole and "ranged" in written
+
+
 def png_file(samples: np.ndarray, kind: int, depth: int, rng, palette=None, interlaced=False) -> bytes:
     """A PNG file with a random filter per row, filtered byte by byte as the format describes."""
     unit = max(1, samples.shape[2] * depth // 8)
