@@ -57,12 +57,17 @@ def literal_inputs(df: DataFrame, column: str, controls: DataFrame, graph_id: st
         F.transform(F.filter(F.coalesce("inputs", F.array().cast("array<struct<name:string, link:string>>")), lambda i: i["link"].isNotNull()), lambda i: i["name"]).alias("linked"),
         F.try_variant_get("widgets_values", "$", "array<variant>").alias("listed"),
         F.try_variant_get("widgets_values", "$", "map<string, variant>").alias("named"))
-    place = nodes.select("graph_id", "node_id", "type", "linked", F.posexplode("listed").alias("position", "v"))
-    names = controls.select("type", "position", "input")
-    listed = place.join(names, ["type", "position"], "left").withColumn("input", F.coalesce("input", F.concat(F.lit("control_"), "position")))
-    named = nodes.select("graph_id", "node_id", "linked", F.explode("named").alias("input", "v"))
-    columns = ["graph_id", "node_id", "linked", "input", "v"]
-    free = listed.select(*columns).unionByName(named.select(*columns)).where(~F.array_contains("linked", F.col("input")))
+    # Both forms in one array, so that a document is parsed once.
+    value = "array<struct<position:int, input:string, v:variant>>"
+    by_place = F.transform("listed", lambda v, i: F.struct(i.alias("position"), F.lit(None).cast("string").alias("input"), v.alias("v")))
+    by_name = F.transform(F.map_entries("named"), lambda e: F.struct(F.lit(None).cast("int").alias("position"), e["key"].alias("input"), e["value"].alias("v")))
+    held = F.concat(*(F.coalesce(values, F.array().cast(value)) for values in (by_place, by_name)))
+    rows = nodes.select("graph_id", "node_id", "type", "linked", F.inline(held))
+    # Node types are code, so their controls are few whatever the number of documents.
+    names = F.broadcast(controls.select("type", "position", F.col("input").alias("_name")))
+    found = rows.join(names, ["type", "position"], "left").withColumn(
+        "input", F.coalesce("input", "_name", F.concat(F.lit("control_"), "position")))
+    free = found.where(~F.array_contains("linked", F.col("input")))
     return free.select("graph_id", "node_id", "input", F.coalesce(F.to_json("v"), F.lit("null")).alias("value"))
 
 

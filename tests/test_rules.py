@@ -528,3 +528,16 @@ def test_reach_both_ways_needs_no_table(spark, monkeypatch, small):
     rows = lambda df: sorted(((r.graph_id, r.node_id) for r in df.collect()), key=str)
     assert rows(found) == rows(GR.reach_intersection(*GR.both_ways(edges, at("s"), at("e")), at("s"), at("e")))
     assert len(rows(found)) == 20 * 4 + 1 + 2 + 2
+
+
+def test_literals_are_parsed_once_and_stay_where_they_are(spark):
+    """Listed and named controls come from one parse, and the few names of controls are broadcast."""
+    listed = '{"nodes": [{"id": 1, "type": "t", "inputs": [{"name": "b", "link": 4}], "widgets_values": [7, "x", null]}]}'
+    named = '{"nodes": [{"id": 2, "type": "t", "widgets_values": {"c": [1], "d": null}}, {"id": 3, "type": "t"}]}'
+    docs = spark.createDataFrame([(1, listed), (2, named)], "graph_id int, d string")
+    controls = spark.createDataFrame([("t", 0, "a"), ("t", 1, "b")], "type string, position int, input string")
+    found = W.literal_inputs(docs, "d", controls)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate ") == 2 and "hashpartitioning" not in plan
+    rows = sorted((r.graph_id, r.node_id, r.input, r.value) for r in found.collect())
+    assert rows == [(1, "1", "a", "7"), (1, "1", "control_2", "null"), (2, "2", "c", "[1]"), (2, "2", "d", "null")]
