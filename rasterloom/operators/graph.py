@@ -236,15 +236,22 @@ class _Split:
 
     def __init__(self, edges: DataFrame, named: dict[int, DataFrame]):
         parts = [edges, *(df.select(*NODE) for df in named.values())]
-        sizes = _union([df.select("graph_id") for df in parts]).where("graph_id is not null").groupBy("graph_id").count()
-        total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
+        ids = _union([df.select("graph_id") for df in parts])
+        total = ids.count()
+        ids = ids.where("graph_id is not null")
+        # Rows by remainders of a hash, about a third of SMALL in each: where none has more than SMALL rows, no graph has.
+        shared = ids.groupBy(F.pmod(F.xxhash64("graph_id"), F.lit(3 * total // SMALL + 1)).alias("_shared")).count()
+        largest = total if total <= SMALL else shared.agg(F.max("count")).first()[0]
+        sizes = ids.groupBy("graph_id").count()
+        if (largest or 0) > SMALL:
+            largest = sizes.agg(F.max("count")).first()[0]
         self.large = None
         if (largest or 0) > SMALL:
             big = F.broadcast(materialise(sizes.where(F.col("count") > SMALL).select("graph_id"), "large"))
             above = [df.join(big, "graph_id", "left_semi").select(*df.columns) for df in parts]
             self.large = above[0], dict(zip(named, above[1:]))
             parts = [df.join(big, "graph_id", "left_anti").select(*df.columns) for df in parts]
-        self.edges, self.named, self.tasks = parts[0], dict(zip(named, parts[1:])), (total or 0) // TASK_ROWS + 1
+        self.edges, self.named, self.tasks = parts[0], dict(zip(named, parts[1:])), total // TASK_ROWS + 1
 
     def _rows(self, edges: DataFrame) -> DataFrame:
         """Small graphs, dealt out by graph: links and named nodes with their role."""

@@ -513,6 +513,20 @@ def test_small_graphs_move_once(spark, monkeypatch):
     assert found.count() == 150 and plan.count("Exchange") == 1 and not written
 
 
+@pytest.mark.parametrize(("small", "links", "exact", "large"), [(400, 3, False, False), (8, 6, True, False), (8, 9, True, True)])
+def test_sizes_of_graphs_are_counted_only_where_one_may_be_large(spark, monkeypatch, small, links, exact, large):
+    """Counts by remainders of a hash tell that all graphs are small; crowded remainders are no large graphs yet."""
+    monkeypatch.setattr(GR, "SMALL", small)
+    edges = spark.createDataFrame([(g, str(i), str(i + 1)) for g in range(600) for i in range(links if g % 7 == 0 else 3)], "graph_id int, src string, dst string")
+    ends = spark.range(600).selectExpr("cast(id as int) as graph_id", "'3' as node_id")
+    looked, frame = [], type(edges)
+    monkeypatch.setattr(frame, "agg", lambda df, *by, agg=frame.agg: looked.append(df.columns[0]) or agg(df, *by))
+    split = GR._Split(edges, {GR.END: ends})
+    assert looked == ["_shared", "graph_id"][: 1 + exact] and (split.large is not None) == large
+    up = GR.upstream(edges, ends)
+    assert up[0].count() == up[1].count() == 600 * 3
+
+
 @pytest.mark.parametrize("small", [3, 4000])
 def test_reach_both_ways_needs_no_table(spark, monkeypatch, small):
     """Small graphs move once for both directions and their intersection; a null id, and one that no link names, stay."""
