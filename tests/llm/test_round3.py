@@ -284,3 +284,24 @@ def test_frequent_chunks_stay_remembered(monkeypatch, texts):
     few = S.Encoder(vocabulary)
     assert [few.encode(t).tolist() for t in sample[:10]] == wanted
     assert len(few.chunks) <= 20 and len(few.older) <= 20
+
+
+def test_chunks_of_a_batch_are_searched_together(monkeypatch, texts):
+    """Short chunks of known characters take no search of their own; ids are the library's, also of odd characters and cuts."""
+    import random
+
+    import sentencepiece
+
+    from rasterloom.llm import sentencepieces as S
+
+    vocabulary, library, rng = S.read_vocabulary(), sentencepiece.SentencePieceProcessor(model_file=S.MODEL), random.Random(11)
+    alone, one = [], S.Encoder._one
+    monkeypatch.setattr(S.Encoder, "_one", lambda self, chunk: alone.append(chunk) or one(self, chunk))
+    sample = [t for t in texts.values() if t][:40]
+    encoder = S.Encoder(vocabulary)
+    assert [x.tolist() for x in encoder.encode_all(sample)] == [library.encode(t) for t in sample]
+    assert all(len(c) > S.REMEMBERED_CHARS or any(x not in vocabulary.pieces for x in c) for c in alone)
+    characters, pieces = "ab é  .,!\n\t\r\"'()#-_=0189∑日🎉\x00\x7f", list(vocabulary.pieces)
+    odd = ["".join(rng.choices(characters, k=rng.randint(0, 150))) for _ in range(300)] + ["".join(rng.choices(pieces, k=rng.randint(1, 30))) for _ in range(300)]
+    monkeypatch.setattr(S, "BLOCK_CHARS", 500)
+    assert [x.tolist() for x in encoder.encode_all(["", *odd, ""])] == [[], *map(library.encode, odd), []]
