@@ -86,10 +86,10 @@ class Encoder:
         self.sizes = {e: (*sorted(n, reverse=True), 2, 1) for e, n in ends.items()}
         inside = any(SPACE in p.lstrip(SPACE) for p in vocabulary.pieces)
         #: No piece goes on from another character to a space, so every path has a boundary there.
-        self.cut = None if inside else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.cut = None if inside else re.compile(" *[^ ]+| +")
         if self.cut and (marks := _apart(vocabulary.pieces)):
             marks = "".join(f"\\{c}" for c in marks)
-            self.cut = re.compile(f"{SPACE}*(?:[^{SPACE}{marks}]+|[{marks}]+)|{SPACE}+")
+            self.cut = re.compile(f" *(?:[^ {marks}]+|[{marks}]+)| +")
         self.block = _Block(self) if vocabulary.rule == "merges" else None
         self.texts = dict.fromkeys(vocabulary.byte_ids, b"") | {i: p.replace(SPACE, " ").encode() for p, i in vocabulary.pieces.items()}
         self.texts |= {i: bytes([n]) for n, i in enumerate(vocabulary.byte_ids)}
@@ -197,6 +197,7 @@ class Encoder:
                 yield from (self.v.byte_ids[b] for b in piece.encode())
 
     def _one(self, chunk: str) -> bytes:
+        chunk = chunk.replace(" ", SPACE)
         if not len(chunk) <= REMEMBERED_CHARS < 4 * self.v.longest:
             return array("i", self.ids(chunk)).tobytes()
         # Shorter than the window of the search: one step of it, without the stream around.
@@ -238,9 +239,10 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; chunks that several texts hold are looked up or searched once."""
-        lines = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        # Chunks have plain spaces, which keep most strings at a byte a character; U+2581 comes in when they are searched.
+        lines = [" " + t.replace(SPACE, " ") if t else "" for t in texts]
         if self.cut is None:
-            return [np.fromiter(self.ids(line), np.int32) for line in lines]
+            return [np.fromiter(self.ids(line.replace(" ", SPACE)), np.int32) for line in lines]
         cut = [self.cut.findall(line) for line in lines]
         fresh, new = {}, []
         for chunk in set().union(*cut).difference(self.chunks):
@@ -346,7 +348,7 @@ class _Block:
         chunks = sorted(chunks, key=len, reverse=True)
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         starts = np.cumsum(sizes) - sizes
-        letters = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = np.frombuffer("".join(chunks).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = np.minimum(np.searchsorted(self.letters, letters), len(self.letters) - 1)
         codes = np.where(self.letters[codes] == letters, codes, self.width - 1)
         end, size, piece = self._candidates(codes, np.repeat(starts + sizes, sizes) - np.arange(len(codes)))
